@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from gaugeworks.llm.common import raw_texts
 
 UNIT = 576  # bytes of a row of 9 blocks
+_MASK = (1 << np.arange(16)) - 1
+_HALF = (1 << np.arange(16)) >> 1
 MAX_ROWS = 8191  # JPEG heights end at 65,535 lines; longer payloads take several images
 
 
@@ -37,16 +39,18 @@ def _table(kind: int, codes: dict[int, list[int]]) -> bytes:
     return bytes([kind]) + counts + bytes(s for n in range(1, 17) for s in codes.get(n, ()))
 
 
+_CODES = _segment(0xC4, _table(0x00, {1: [9]})) + _segment(0xC4, _table(0x10, {1: [9]}))
+
+
 def encode(payload: bytes) -> bytes:
     """One baseline JPEG (or several, one after another) holding the payload; its length must be a multiple of 576."""
     out = []
     for at in range(0, len(payload), UNIT * MAX_ROWS):
         part = np.frombuffer(payload[at : at + UNIT * MAX_ROWS], np.uint8)
         rows = len(part) // UNIT
-        bits = np.zeros((len(part), 10), np.uint8)  # the code 0, the sign bit 1, eight bits of the byte
-        bits[:, 1] = 1
-        bits[:, 2:] = np.unpackbits(part.reshape(-1, 1), axis=1)
-        scan = np.packbits(bits.reshape(-1, 640), axis=1)
+        quads = part.reshape(-1, 4).astype(np.uint64)  # each: the code 0, the sign bit 1, eight bits of the byte
+        quads = quads[:, 0] << 30 | quads[:, 1] << 20 | quads[:, 2] << 10 | quads[:, 3] | np.uint64(0x4010040100)
+        scan = quads.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].reshape(-1, 80)
         full = scan == 0xFF
         n = len(scan)
         size = 80 + full.sum(1) + 2
@@ -58,7 +62,7 @@ def encode(payload: bytes) -> bytes:
         data[ends - 1] = 0xD0 + np.arange(n) % 8
         head = b"\xff\xd8" + _segment(0xDB, b"\0" + b"\1" * 64)
         head += _segment(0xC0, b"\x08" + (rows * 8).to_bytes(2, "big") + (72).to_bytes(2, "big") + b"\x01\x01\x11\x00")
-        head += _segment(0xC4, _table(0x00, {1: [9]})) + _segment(0xC4, _table(0x10, {1: [9]}))
+        head += _CODES
         head += _segment(0xDD, (1).to_bytes(2, "big")) + _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
         out.append(head + data[:-2].tobytes() + b"\xff\xd9")
     return b"".join(out)
@@ -131,52 +135,58 @@ def _decode_images(images: list[_Image]) -> list[np.ndarray]:
     Each restart interval has its own bit position; all of them take one symbol a step.
     """
     order, first = images[0].order, images[0]
-    bufs, starts, counts, at = [], [], [], 0
+    bufs, starts, counts, offset = [], [], [], 0
     for im in images:
         gone = np.flatnonzero((im.raw[1:] == 0) & (im.raw[:-1] == 0xFF)) + 1  # stuffed zeros
         bufs.append(np.delete(im.raw, gone))
-        starts.append(at + im.starts - np.searchsorted(gone, im.starts))
+        starts.append(offset + im.starts - np.searchsorted(gone, im.starts))
         total = im.mcus[0] * im.mcus[1]
         each = im.restart or total
         n = np.full(len(im.starts), each)
         n[-1] = total - each * (len(im.starts) - 1)
         counts.append(n * len(order))
-        at += len(bufs[-1])
-    buf = np.concatenate([*bufs, np.zeros(8, np.uint8)]).astype(np.uint64)
-    window = buf[:-4] << np.uint64(32) | buf[1:-3] << np.uint64(24) | buf[2:-2] << np.uint64(16) | buf[3:-1] << np.uint64(8) | buf[4:]
-    bit, blocks = np.concatenate(starts).astype(np.int64) * 8, np.concatenate(counts).astype(np.int64)
-    base = np.cumsum(blocks) - blocks
-    luts = np.stack([t for p in first.parts for dc, ac in [first.tables[p[0]]] for t in (first.huff[dc], first.huff[0x10 | ac])])
-    comp_of = np.array(order, np.int64)
-    out = np.zeros((int(blocks.sum()), 64), np.int32)
-    live, done, k = np.arange(len(bit)), np.zeros(len(bit), np.int64), np.zeros(len(bit), np.int64)
-    pred = np.zeros((len(bit), len(first.parts)), np.int64)
-    while len(live):
-        p, kk, comp = bit[live], k[live], comp_of[done[live] % len(order)]
-        w = window[p >> 3] << (p & 7).astype(np.uint64) & np.uint64(0xFFFFFFFFFF)
-        hit = luts[2 * comp + (kk > 0), (w >> np.uint64(24)).astype(np.int64)]
-        if (hit == 0).any():
+        offset += len(bufs[-1])
+    buf = np.concatenate([*bufs, np.zeros(8, np.uint8)]).astype(np.int64)
+    window = buf[:-4] << 32 | buf[1:-3] << 24 | buf[2:-2] << 16 | buf[3:-1] << 8 | buf[4:]
+    p, blocks = np.concatenate(starts).astype(np.int64) * 8, np.concatenate(counts).astype(np.int64)
+    at, last = (np.cumsum(blocks) - blocks) * 64, np.cumsum(blocks) * 64  # of the current block and behind the interval
+    luts = np.stack([t for part in first.parts for dc, ac in [first.tables[part[0]]] for t in (first.huff[dc], first.huff[0x10 | ac])])
+    comp_of, turn = np.array(order, np.int64), np.zeros(len(p), np.int64)
+    out = np.zeros(int(blocks.sum()) * 64, np.int32)
+    k, pred = np.zeros(len(p), np.int64), np.zeros((len(p), len(first.parts)), np.int64)
+    while len(p):
+        comp = comp_of[turn]
+        w = window[p >> 3] << (p & 7)
+        hit = luts[2 * comp + (k > 0), w >> 24 & 0xFFFF]
+        if not hit.all():
             raise ValueError("a code that no table has")
-        length, symbol = hit & 31, hit >> 5
-        size, run = symbol & 15, np.where(kk > 0, symbol >> 4, 0)
-        value = (w << length.astype(np.uint64) & np.uint64(0xFFFFFFFFFF)) >> (40 - size).astype(np.uint64)
-        value = value.astype(np.int64)
-        value = np.where((size > 0) & (value < (1 << size) >> 1), value - (1 << size) + 1, np.where(size > 0, value, 0))
-        bit[live] = p + length + size
-        is_dc = kk == 0
+        length, size, run = hit & 31, hit >> 5 & 15, hit >> 9
+        value = w >> (40 - length - size) & _MASK[size]
+        value -= _MASK[size] * (value < _HALF[size])
+        p += length + size
+        is_dc = k == 0
         if is_dc.any():
-            rows = live[is_dc]
-            pred[rows, comp[is_dc]] += value[is_dc]
-            value[is_dc] = pred[rows, comp[is_dc]]
-        spot = np.minimum(kk + run, 63)
-        put = (size > 0) | is_dc
-        out[(base[live] + done[live])[put], spot[put]] = value[put]
-        ends = ~is_dc & (size == 0) & (run < 15)  # end of block
-        kk = np.where(ends, 64, kk + run + 1)
-        over = kk >= 64
-        k[live] = np.where(over, 0, kk)
-        done[live] += over
-        live = live[done[live] < blocks[live]]
+            run = np.where(is_dc, 0, run)
+            rows = np.flatnonzero(is_dc)
+            pred[rows, comp[rows]] += value[rows]
+            value[rows] = pred[rows, comp[rows]]
+        spot = np.minimum(k + run, 63)
+        if size.all():
+            out[at + spot] = value
+            k = spot + 1
+        else:
+            put = (size > 0) | is_dc
+            out[(at + spot)[put]] = value[put]
+            k = np.where(~is_dc & (size == 0) & (run < 15), 64, spot + 1)  # end of block, or 16 zeros
+        over = k >= 64
+        if over.any():
+            k[over] = 0
+            at[over] += 64
+            turn[over] = (turn[over] + 1) % len(order)
+            if (at >= last).any():
+                live = at < last
+                p, at, last, k, turn, pred = p[live], at[live], last[live], k[live], turn[live], pred[live]
+    out = out.reshape(-1, 64)
     cuts = np.cumsum([len(im.order) * im.mcus[0] * im.mcus[1] for im in images])[:-1]
     return np.split(out, cuts)
 
