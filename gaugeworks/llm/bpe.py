@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +24,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-MEMO = 400_000  # entries of each table; a full one is emptied
+MEMO = 600_000  # entries of each table; a full one is emptied
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 
@@ -117,13 +119,13 @@ class Encoder:
 
     def _packed(self, chunk: str) -> bytes:
         """Ids of a chunk, cut by the pattern, as little-endian unsigned 32-bit integers."""
-        out = []
-        for piece in self.pattern.findall(chunk):
-            if (ids := self.pieces.get(piece)) is None:
-                ids = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+        get, out = self.pieces.get, []
+        for piece in (chunk,) if chunk[1:].isalpha() and chunk[0] == " " else self.pattern.findall(chunk):
+            if (ids := get(piece)) is None:
+                ids = array("I", self.encode_piece(piece.encode())).tobytes()
                 _keep(self.pieces, piece, ids)
             out.append(ids)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Cut before each blank that a non-blank follows: no match of the pattern goes over such a place."""
@@ -140,6 +142,9 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
+
 def _keep(memo: dict[str, bytes], key: str, ids: bytes) -> None:
     if len(key) <= 64:
         if len(memo) >= MEMO:
