@@ -15,5 +15,6 @@ def build_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
