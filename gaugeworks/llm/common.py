@@ -6,7 +6,9 @@ import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cuts of a batch of at most ``most`` bytes of text, one row at least, so memory doesn't follow the batch size."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary())] if batch.num_rows else []
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > most:
@@ -59,6 +61,79 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit integers."""
+    x = x.astype(np.uint64, copy=True)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(by)
+    return x ^ x >> np.uint64(31)
+
+
+def _stars(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (key, member, centre) of each key's star and (key, centre). The centre varies from key to key."""
+    order = np.lexsort((mix(ident.view(np.uint64) ^ mix(key.view(np.uint64))), key))
+    key, ident = key[order], ident[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    centre = np.repeat(ident[first], np.diff(np.append(first, len(key))))
+    other = ident != centre
+    return key[other], ident[other], centre[other], key[first], ident[first]
+
+
+STAR_SCHEMA = "deal long, key long, a long, b long"
+_FLUSH = 1_500_000
+
+
+def star_batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Local stars of (key, id) pairs: an edge for each member, and only the centre goes on to meet other tasks' (b null)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        key, a, b, keys, centres = _stars(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
+        spread = mix(a.view(np.uint64) ^ key.view(np.uint64)).view(np.int64)  # edges go anywhere
+        b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(keys), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((spread, keys), (key, keys), (a, centres))] + [b], names=["deal", "key", "a", "b"])
+
+    for key, ident in pairs:
+        held.append((key, ident))
+        size += len(key)
+        if size > _FLUSH:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def meet(local: DataFrame) -> DataFrame:
+    """``key, a, b``: edges of all stars. A key has at most one row for each map task and flush here, however many ids hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, centres = [], []
+        for x in batches:
+            own = x.column(3).is_null().to_numpy(zero_copy_only=False)
+            keys.append(x.column(1).to_numpy()[own])
+            centres.append(x.column(2).to_numpy()[own])
+            edges = x.filter(pa.array(~own))
+            if edges.num_rows:
+                yield edges.select([1, 2, 3])
+        if keys:
+            key, a, b, _, _ = _stars(np.concatenate(keys), np.concatenate(centres))
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+
+    return local.repartition("deal").mapInArrow(run, "key long, a long, b long")
+
+
+def regroup(rows: DataFrame) -> DataFrame:
+    """Stars anew among (key, id) rows, say of members that failed against their centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from star_batches((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows)
+
+    return meet(rows.select("key", "id").mapInArrow(run, STAR_SCHEMA))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by min-label propagation with pointer jumping: ``(node, root)`` for each node of an edge.
 

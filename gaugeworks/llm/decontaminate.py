@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -143,8 +144,8 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
         sent = sc.broadcast(shard)
         place, last = [c for c, _ in out.dtypes].index(text_col), len(out.columns)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, place=place, last=last) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(sent, window)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex, place=place, last=last) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(sent, key, window)
             for b in batches:
                 n, spans, names = [], b.column(last - 2).to_pylist(), b.column(last - 1).to_pylist()
                 for i in range(b.num_rows):
@@ -174,10 +175,10 @@ def _merged(old, new: list[tuple[int, int]]) -> list[dict]:
 _LAST: list = [None, None]
 
 
-def _automaton(sent, window: int) -> Automaton:
+def _automaton(sent, key: str, window: int) -> Automaton:
     """One automaton is held a worker."""
-    if _LAST[0] != (sent.id, window):
-        _LAST[:] = [(sent.id, window), Automaton(sent.value, window)]
+    if _LAST[0] != (key, window):
+        _LAST[:] = [(key, window), Automaton(sent.value, window)]
     return _LAST[1]
 
 
