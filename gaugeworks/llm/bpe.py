@@ -24,6 +24,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from gaugeworks.llm import common
+
 MEMO = 600_000  # entries of each table; a full one is emptied
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -163,6 +165,11 @@ def _from_path(path: str, pattern: str) -> Encoder:
         return _encoder(f.read(), pattern)
 
 
+def _forget() -> None:
+    _encoder.cache_clear()
+    _from_path.cache_clear()
+
+
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ship: bool = True) -> DataFrame:
     """``id, ids binary (little-endian u32), decoded binary`` for each row; null and empty texts give no ids.
 
@@ -175,6 +182,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
         where = "spark-files:" + rank_path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("bpe", _forget)
         enc = _from_path(where, pattern)
         for b in batches:
             for start in range(0, b.num_rows, 64):

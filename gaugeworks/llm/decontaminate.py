@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import raw_texts
+from gaugeworks.llm.common import enter, raw_texts
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20  # item text of one automaton; more items make more automata, each passed over the documents
@@ -175,8 +175,13 @@ def _merged(old, new: list[tuple[int, int]]) -> list[dict]:
 _LAST: list = [None, None]
 
 
+def _forget() -> None:
+    _LAST[:] = [None, None]
+
+
 def _automaton(sent, key: str, window: int) -> Automaton:
     """One automaton is held a worker."""
+    enter("decontaminate", _forget)
     if _LAST[0] != (key, window):
         _LAST[:] = [(key, window), Automaton(sent.value, window)]
     return _LAST[1]
