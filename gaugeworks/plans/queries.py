@@ -11,6 +11,7 @@ from gaugeworks.operators import classification as c
 from gaugeworks.operators import detection as d
 from gaugeworks.operators import paging
 from gaugeworks.operators import segmentation as s
+from gaugeworks.operators import text
 from gaugeworks.plans import datasets as data
 
 THRESHOLDS, IOUS, SCORES = [0.0, 0.25, 0.5, 0.75], [0.1, 0.5, 0.75], [0.0, 0.5, 0.9]
@@ -195,3 +196,16 @@ def segmentation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segmentation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = s.background(data.pixel_counts(spark, sf_dir), "gt_label <> 'N'", "datum_uid % 2 = 0")
     return out.groupBy("gt_label", "pd_label").agg(F.sum("count").alias("count"))
+
+
+@query("""WITH d AS (SELECT p_partkey AS uid, p_brand || ' ' || p_type AS prediction, unnest([p_type || ' ' || p_brand, p_name]) AS reference, unnest([0, 1]) AS ref FROM part),
+t AS (SELECT uid, ref, side, regexp_extract_all(lower(x), '[a-z0-9]+') AS w
+  FROM (SELECT uid, ref, 0 AS side, prediction AS x FROM d UNION ALL SELECT uid, ref, 1, reference FROM d)),
+g AS (SELECT uid, ref, n, side, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS gram FROM t, (VALUES (1), (2)) v(n)),
+c AS (SELECT uid, ref, n, gram, count(*) FILTER (side = 0) AS p, count(*) FILTER (side = 1) AS r FROM g GROUP BY ALL),
+s AS (SELECT uid, ref, n, sum(least(p, r)) AS hit, sum(p) AS p, sum(r) AS r FROM c GROUP BY ALL)
+SELECT uid, 'rouge' || n AS rouge_type, round(coalesce(max(2 * hit / (p + r)), 0), 9) AS value
+FROM (SELECT DISTINCT uid FROM d) CROSS JOIN (VALUES (1), (2)) v(n) LEFT JOIN s USING (uid, n) GROUP BY ALL""")
+def text_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = data.table(spark, sf_dir, "part")
+    return rounded(text.rouge(parts.selectExpr("p_partkey AS uid", "p_brand || ' ' || p_type AS prediction", "array(p_type || ' ' || p_brand, p_name) AS references")))
