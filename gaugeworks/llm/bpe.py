@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from gaugeworks.llm import common
 
-MEMO = 600_000  # entries of each table; a full one is emptied
+MEMO = 150_000  # entries of each table; a full one is emptied
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 

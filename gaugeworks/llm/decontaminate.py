@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gaugeworks.llm.common import enter, raw_texts
 
@@ -122,29 +123,32 @@ class Automaton:
         return spans, found
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items by hash in shards of bounded text, so that neither the driver nor a broadcast grows with the table."""
+def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[bool, list[tuple[str, list[bytes]]]]]:
+    """Items by hash in shards of bounded text, so that neither the driver nor a broadcast grows with the table; whether it is the last."""
     rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = total // SHARD_BYTES + 1
     for k in range(n):
-        yield [(r.i, words_of(r.t.encode())) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toLocalIterator()]
+        yield k == n - 1, [(r.i, words_of(r.t.encode())) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toLocalIterator()]
 
 
-def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch | None], StructType] | None = None) -> DataFrame:
     """All rows and columns of ``docs`` plus ``_words`` (their number), ``_spans`` array of (start, end) words that an
     item's window covers, and ``_items`` (ids as strings, sorted).
 
     An item of fewer words than a window is one window; items without words have none. Null or empty texts have no
     words. Repeated documents are judged each; repeated item ids count once. With no items nothing is hit.
+    ``then`` maps the result further, with its schema, in the same tasks: a second map would need a worker more a core.
     """
     out = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "_items": F.lit(None).cast("array<string>")})
     sc = docs.sparkSession.sparkContext
-    for shard in _shards(items, item_id, item_text):
+    for final, shard in _shards(items, item_id, item_text):
         sent = sc.broadcast(shard)
         place, last = [c for c, _ in out.dtypes].index(text_col), len(out.columns)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex, place=place, last=last) -> Iterator[pa.RecordBatch]:
+        more, schema = then if final and then else (None, out.schema)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex, place=place, last=last, more=more) -> Iterator[pa.RecordBatch]:
             auto = _automaton(sent, key, window)
             for b in batches:
                 n, spans, names = [], b.column(last - 2).to_pylist(), b.column(last - 1).to_pylist()
@@ -156,9 +160,13 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
                     names[i] = sorted({*(names[i] or ()), *(auto.names[j] for j in found)})
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 cols = [*b.columns[: last - 3], pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+                whole = pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+                if more is None:
+                    yield whole
+                elif (left := more(whole)) is not None:
+                    yield left
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(run, schema)
     return out
 
 
@@ -202,30 +210,28 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", most_covera
 
     Other columns stay as they are; a document without hits keeps its text to the byte.
     """
-    hits = find(docs, items, text_col)
     place, at = docs.columns.index(text_col), len(docs.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, texts = [], []
-            for i, (n, spans) in enumerate(zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True)):
-                raw = b.column(place)[i].cast(pa.binary()).as_py() if b.column(place)[i].is_valid else None
-                if spans:
-                    if sum(s["end"] - s["start"] for s in spans) > most_coverage * n:
-                        continue
-                    folded = np.frombuffer(raw.translate(FOLD), np.uint8) != 32
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], folded, [0]]).astype(np.int8)))
-                    cuts, from_ = [], 0
-                    for s in spans:
-                        cuts.append(raw[from_ : edge[2 * s["start"]]])
-                        from_ = int(edge[2 * s["end"] - 1])
-                    raw = b"".join([*cuts, raw[from_:]])
-                keep.append(i)
-                texts.append(raw)
-            if keep:
-                kept = b.take(pa.array(keep, pa.int32()))
-                cols = list(kept.columns[:at])
-                cols[place] = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:at])
-
-    return hits.mapInArrow(run, docs.schema)
+    def cut_out(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        keep, texts = [], []
+        for i, (n, spans) in enumerate(zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True)):
+            raw = b.column(place)[i].cast(pa.binary()).as_py() if b.column(place)[i].is_valid else None
+            if spans:
+                if sum(s["end"] - s["start"] for s in spans) > most_coverage * n:
+                    continue
+                folded = np.frombuffer(raw.translate(FOLD), np.uint8) != 32
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], folded, [0]]).astype(np.int8)))
+                cuts, from_ = [], 0
+                for s in spans:
+                    cuts.append(raw[from_ : edge[2 * s["start"]]])
+                    from_ = int(edge[2 * s["end"] - 1])
+                raw = b"".join([*cuts, raw[from_:]])
+            keep.append(i)
+            texts.append(raw)
+        if not keep:
+            return None
+        cols = list(b.take(pa.array(keep, pa.int32())).columns[:at])
+        cols[place] = pa.array(texts, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays(cols, names=b.schema.names[:at])
+
+    return find(docs, items, text_col, then=(cut_out, docs.schema))
