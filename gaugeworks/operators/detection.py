@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.errors import EmptyCacheError
 from gaugeworks.functions.geometry import EPSILON, box_iou
 from gaugeworks.functions.ratios import f1, share
 
@@ -118,8 +119,11 @@ def matched(pairs: DataFrame) -> DataFrame:
     return pairs.join(kept, ["datum_uid", "gt_id", "pd_id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
-def confusion_matrix(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
-    """``iou_threshold, score_threshold, gt_label, pd_label, count``; a null label stands for unmatched. Matching comes before thresholds."""
+def outcomes(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
+    """``iou_threshold, score_threshold, datum_uid, gt_id, pd_id, gt_label, pd_label``: matched pairs, and with nulls what has no partner.
+
+    These are the confusion matrix's examples, a row each. Matching comes before thresholds.
+    """
     i, s = _listed(ious), _listed(scores)
     rows = matched(pairs).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("score_threshold", F.explode(F.array(*map(F.lit, s))))
     grid = ["iou_threshold", "score_threshold"]
@@ -132,7 +136,58 @@ def confusion_matrix(pairs: DataFrame, ious: Sequence[float], scores: Sequence[f
         rows.where("pd_id is not null and scored and not p_both").select(*grid, "datum_uid", F.lit(None).cast("bigint").alias("gt_id"), "pd_id", F.lit(None).cast("string").alias("gt_label"), "pd_label"),
         rows.where("gt_id is not null and not g_both").select(*grid, "datum_uid", "gt_id", F.lit(None).cast("bigint").alias("pd_id"), "gt_label", F.lit(None).cast("string").alias("pd_label")),
     ]
-    return parts[0].union(parts[1]).union(parts[2]).distinct().groupBy(*grid, "gt_label", "pd_label").agg(F.count("*").alias("count"))
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
+
+
+def confusion_matrix(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
+    """``iou_threshold, score_threshold, gt_label, pd_label, count``; a null label stands for unmatched."""
+    return outcomes(pairs, ious, scores).groupBy("iou_threshold", "score_threshold", "gt_label", "pd_label").agg(F.count("*").alias("count"))
+
+
+def examples(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
+    """For each datum and threshold: ``true_positives`` (gt_id, pd_id), ``false_positives`` and ``false_negatives`` (ids), sorted.
+
+    A pair of different labels is a false positive and a false negative. The lists are bounded by the boxes of a datum.
+    """
+    right = F.coalesce(F.col("gt_label") == F.col("pd_label"), F.lit(False))
+    return outcomes(pairs, ious, scores).groupBy("datum_uid", "iou_threshold", "score_threshold").agg(
+        F.array_sort(F.collect_set(F.when(right, F.struct("gt_id", "pd_id")))).alias("true_positives"),
+        F.array_sort(F.collect_set(F.when(~right, F.col("pd_id")))).alias("false_positives"),
+        F.array_sort(F.collect_set(F.when(~right, F.col("gt_id")))).alias("false_negatives"),
+    )
+
+
+def summary(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
+    """``metric, label, threshold, value``: AP by IoU, AR by score, their means over labels, over thresholds and over both; nulls where averaged."""
+    none, anything = F.lit(None).cast("double"), F.lit(None).cast("string")
+    out = []
+    for name, over, frame in (("AP", "IOUs", average_precision(pairs, ious).withColumnRenamed("iou_threshold", "t")), ("AR", "Scores", average_recall(pairs, ious, scores).withColumnRenamed("score_threshold", "t"))):
+        cube = frame.cube("label", "t").agg(F.avg("value").alias("value"), F.grouping("label").alias("all_l"), F.grouping("t").alias("all_t"))
+        metric = F.concat(F.when(F.col("all_l") == 1, "m").otherwise(""), F.lit(name), F.when(F.col("all_t") == 1, f"AveragedOver{over}").otherwise(""))
+        out.append(cube.select(metric.alias("metric"), F.coalesce("label", anything).alias("label"), F.coalesce("t", none).alias("threshold"), "value"))
+    return out[0].union(out[1]).where("value is not null")
+
+
+def select(pairs: DataFrame, datums: Column | str | None = None, groundtruths: Column | str | None = None, predictions: Column | str | None = None) -> DataFrame:
+    """Pairs in which a side that isn't selected is null (score -1), with IoU 0 unless both stay; rows without a side go.
+
+    A predicate that is null doesn't select. Raises EmptyCacheError if nothing is left.
+    """
+    out = base = pairs if datums is None else pairs.where(datums)
+    for by, key, side in ((groundtruths, "gt_id", ["gt_id", "gt_label"]), (predictions, "pd_id", ["pd_id", "pd_label"])):
+        if by is None:
+            continue
+        ok = base.where(by).where(F.col(key).isNotNull()).select("datum_uid", key).distinct().withColumn("_ok", F.lit(True))
+        out = out.join(ok, ["datum_uid", key], "left")
+        changed = {c: F.when(F.col("_ok"), F.col(c)) for c in side}
+        if key == "pd_id":
+            changed["pd_score"] = F.when(F.col("_ok"), F.col("pd_score")).otherwise(-1.0)
+        out = out.withColumns(changed).drop("_ok")
+    out = out.where("gt_id is not null or pd_id is not null")
+    out = out.withColumn("iou", F.when(F.col("gt_id").isNotNull() & F.col("pd_id").isNotNull(), F.col("iou")).otherwise(0.0)).select(*pairs.columns)
+    if out.isEmpty():
+        raise EmptyCacheError
+    return out
 
 
 def info(pairs: DataFrame) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.ratios import f1, share
 
+TINY = 2.2250738585072014e-308  # an order without a hit counts as this
+
 
 def words(text: Column) -> Column:
     """Lower-cased runs of a-z and 0-9; null has none."""
@@ -32,3 +40,110 @@ def rouge(data: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
     best = sums.select("uid", "rouge_type", f1(share(F.col("hit"), F.col("p")), share(F.col("hit"), F.col("r"))).alias("v")).groupBy("uid", "rouge_type").agg(F.max("v").alias("v"))
     rows = data.select("uid", F.explode(F.array(*(F.lit(f"rouge{n}") for n in sizes))).alias("rouge_type"))
     return rows.join(best, ["uid", "rouge_type"], "left").select("uid", "rouge_type", F.coalesce("v", F.lit(0.0)).alias("value"))
+
+
+def common_length(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest common subsequence, bit-parallel over ``a``."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        hit = row & where.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def common_places(a: Sequence[str], b: Sequence[str]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence, the last ones of equal choices going by ``b`` first."""
+    grid = [[0] * (len(b) + 1)]
+    for x in a:
+        above, row = grid[-1], [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        grid.append(row)
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif grid[i][j - 1] > grid[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def _measure(hit: int, p: int, r: int) -> float:
+    return 2 * hit / (p + r) if hit else 0.0
+
+
+_WORD = re.compile("[a-z0-9]+")
+
+
+def rouge_l(prediction: str, reference: str) -> float:
+    p, r = _WORD.findall(prediction.lower()), _WORD.findall(reference.lower())
+    return _measure(common_length(p, r), len(p), len(r))
+
+
+def rouge_l_sum(prediction: str, reference: str) -> float:
+    """Lines are sentences: of each reference line the union of what its subsequences with all predicted lines cover, clipped by word."""
+    p, r = ([_WORD.findall(x) for x in t.lower().split("\n")] for t in (prediction, reference))
+    left_p, left_r, hit = Counter(w for x in p for w in x), Counter(w for x in r for w in x), 0
+    sizes = left_p.total(), left_r.total()
+    for line in r:
+        for i in sorted(set().union(*(common_places(line, x) for x in p))):
+            w = line[i]
+            if left_p[w] > 0 and left_r[w] > 0:
+                hit, left_p[w], left_r[w] = hit + 1, left_p[w] - 1, left_r[w] - 1
+    return _measure(hit, *sizes)
+
+
+def rouge_sequences(data: DataFrame) -> DataFrame:
+    """``uid, rouge_type, value``: rougeL and rougeLsum, F-measure of the longest common subsequence; the best reference counts.
+
+    Null texts are empty and give 0, as does a row without references. SQL has no such fold, so Arrow batches are mapped.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values: list[list[float]] = [[], []]
+            for p, refs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for out, f in zip(values, (rouge_l, rouge_l_sum), strict=True):
+                    out.append(max((f(p or "", r or "") for r in refs or ()), default=0.0))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, values)], names=["uid", "rougeL", "rougeLsum"])
+
+    kind = dict(data.dtypes)["uid"]
+    wide = data.select("uid", "prediction", "references").mapInArrow(run, f"uid {kind}, rougeL double, rougeLsum double")
+    return wide.unpivot("uid", ["rougeL", "rougeLsum"], "rouge_type", "value")
+
+
+def bleu_words(text: Column) -> Column:
+    """Words, sums of money and other signs but full stops, with their case; null has none."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(r"(?U)\w+|\$[\d]+|[^\s\.]+"), F.lit(0)), F.array().cast("array<string>"))
+
+
+def bleu(data: DataFrame, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+    """``uid, value`` of ``uid, prediction, references``: weighted n-gram precision, clipped by the best reference, times the brevity penalty.
+
+    The penalty goes by the reference of nearest length, the shorter of two. Without a common word, and below 1e-9, the
+    value is 0; so it is without references. N-grams are counted before and after the shuffle. Each uid must be given once.
+    """
+    if not weights:
+        raise ValueError("at least one weight is needed")
+    sizes = range(1, len(weights) + 1)
+    toks = data.select("uid", bleu_words(F.col("prediction")).alias("p"), F.transform(F.coalesce("references", F.array().cast("array<string>")), bleu_words).alias("r"))
+    gap = F.array_sort(F.transform("r", lambda x: F.struct(F.abs(F.size(x) - F.size("p")).alias("gap"), F.size(x).alias("size"))))
+    lengths = toks.select("uid", F.size("p").alias("n"), F.try_element_at(gap, F.lit(1))["size"].alias("near"))
+    each = toks.select("uid", F.posexplode(F.concat(F.array("p"), "r")).alias("side", "w")).where("size(w) > 0")
+    kinds = F.array(*(F.struct(F.lit(n).alias("n"), _grams("w", n).alias("grams")) for n in sizes))
+    grams = each.select("uid", "side", F.inline(kinds)).select("uid", "side", "n", F.explode("grams").alias("gram")).where("gram is not null")
+    counts = grams.groupBy("uid", "n", "gram", "side").agg(F.count("*").alias("c")).groupBy("uid", "n", "gram")
+    counts = counts.agg(F.coalesce(F.max(F.when(F.col("side") == 0, F.col("c"))), F.lit(0)).alias("p"), F.coalesce(F.max(F.when(F.col("side") > 0, F.col("c"))), F.lit(0)).alias("r"))
+    sums = [x for n in sizes for x in (F.sum(F.when(F.col("n") == n, F.least("p", "r"))).alias(f"hit_{n}"), F.sum(F.when(F.col("n") == n, F.col("p"))).alias(f"all_{n}"))]
+    rows = lengths.join(counts.groupBy("uid").agg(*sums), "uid", "left")
+    logs = reduce(lambda a, b: a + b, (F.lit(float(w)) * F.ln(F.greatest(F.coalesce(F.col(f"hit_{n}") / F.greatest(F.col(f"all_{n}"), F.lit(1)), F.lit(0.0)), F.lit(TINY))) for n, w in zip(sizes, weights, strict=True)))
+    penalty = F.when(F.col("n") > F.col("near"), 1.0).otherwise(F.exp(1 - F.col("near") / F.col("n")))
+    value = F.when(F.col("hit_1") > 0, penalty * F.exp(logs))
+    return rows.select("uid", F.when(value >= 1e-9, value).otherwise(0.0).alias("value"))

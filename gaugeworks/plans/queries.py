@@ -161,6 +161,34 @@ def detection_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.confusion_matrix(data.box_pairs(spark, sf_dir), IOUS, SCORES)
 
 
+@query(f"""WITH {_CURVE},
+ap AS (SELECT label, iou_threshold AS t, sum(precision) / 101.0::DOUBLE AS v FROM curve GROUP BY ALL),
+n AS (SELECT pd_label AS label, iou_threshold, score_threshold, count(*) FILTER ({_HIT}) AS tp FROM ranked, i, st WHERE pd_score >= score_threshold GROUP BY ALL),
+ar AS (SELECT label, score_threshold AS t, avg(coalesce(tp / nullif(n_gt, 0), 0)) AS v
+  FROM labels CROSS JOIN i CROSS JOIN st LEFT JOIN truths USING (label) LEFT JOIN n USING (label, iou_threshold, score_threshold) GROUP BY ALL),
+a AS (SELECT 'AP' AS k, 'IOUs' AS o, * FROM ap UNION ALL SELECT 'AR', 'Scores', * FROM ar)
+SELECT k AS metric, label, t AS threshold, round(v, 9) AS value FROM a
+UNION ALL SELECT 'm' || k, NULL, t, round(avg(v), 9) FROM a GROUP BY k, t
+UNION ALL SELECT k || 'AveragedOver' || o, label, NULL, round(avg(v), 9) FROM a GROUP BY k, o, label
+UNION ALL SELECT 'm' || k || 'AveragedOver' || o, NULL, NULL, round(avg(v), 9) FROM a GROUP BY k, o""")
+def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(d.summary(data.box_pairs(spark, sf_dir), IOUS, SCORES))
+
+
+@query(f"""WITH {data.BOX_CTE},
+k AS (SELECT datum_uid, CASE WHEN gt_id % 4 = 0 THEN gt_id END AS gt_id, CASE WHEN gt_id % 4 = 0 THEN gt_label END AS gt_label, CASE WHEN pd_score > 0.3 THEN pd_id END AS pd_id,
+  CASE WHEN pd_score > 0.3 THEN pd_label END AS pd_label, CASE WHEN pd_score > 0.3 THEN pd_score ELSE -1 END AS pd_score, iou FROM pairs WHERE datum_uid % 3 <> 1)
+SELECT datum_uid, gt_id, gt_label, pd_id, pd_label, pd_score, CASE WHEN gt_id IS NULL OR pd_id IS NULL THEN 0 ELSE round(iou, 9) END AS iou
+FROM k WHERE gt_id IS NOT NULL OR pd_id IS NOT NULL""")
+def detection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(d.select(data.box_pairs(spark, sf_dir), "datum_uid % 3 <> 1", "gt_id % 4 = 0", "pd_score > 0.3"))
+
+
+@query()
+def detection_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.examples(data.box_pairs(spark, sf_dir), IOUS, SCORES)
+
+
 @query(f"""WITH {data.BOX_CTE} SELECT (SELECT count(DISTINCT datum_uid) FROM pairs) AS number_of_datums, (SELECT count(*) FROM g) AS number_of_groundtruths,
   (SELECT count(*) FROM p) AS number_of_predictions, (SELECT count(*) FROM pairs) AS number_of_rows, (SELECT count(*) FROM labels) AS number_of_labels""")
 def detection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,3 +237,25 @@ FROM (SELECT DISTINCT uid FROM d) CROSS JOIN (VALUES (1), (2)) v(n) LEFT JOIN s
 def text_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = data.table(spark, sf_dir, "part")
     return rounded(text.rouge(parts.selectExpr("p_partkey AS uid", "p_brand || ' ' || p_type AS prediction", "array(p_type || ' ' || p_brand, p_name) AS references")))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return data.table(spark, sf_dir, "part").selectExpr("p_partkey AS uid", "p_brand || ' ' || p_type AS prediction", "array(p_type || ' ' || p_brand, p_name) AS references")
+
+
+@query()
+def text_rouge_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(text.rouge_sequences(_texts(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT p_partkey AS uid, p_brand || ' ' || p_type AS prediction, [p_type || ' ' || p_brand, p_name] AS refs FROM part),
+t AS (SELECT uid, 0 AS side, prediction AS x FROM d UNION ALL SELECT uid, unnest([1, 2]), unnest(refs) FROM d),
+w AS (SELECT uid, side, regexp_extract_all(x, '[\\p{L}\\p{N}_]+|\\$[0-9]+|[^\\s\\.]+') AS w FROM t),
+g AS (SELECT uid, side, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS gram FROM w, (VALUES (1), (2)) v(n)),
+c AS (SELECT uid, n, gram, side, count(*) AS c FROM g GROUP BY ALL),
+m AS (SELECT uid, n, gram, coalesce(max(c) FILTER (side = 0), 0) AS p, coalesce(max(c) FILTER (side > 0), 0) AS r FROM c GROUP BY ALL),
+s AS (SELECT uid, sum(least(p, r)) FILTER (n = 1) AS h1, sum(p) FILTER (n = 1) AS a1, coalesce(sum(least(p, r)) FILTER (n = 2), 0) AS h2, greatest(coalesce(sum(p) FILTER (n = 2), 0), 1) AS a2 FROM m GROUP BY 1),
+l AS (SELECT p.uid, len(p.w) AS c, arg_min(len(r.w), (abs(len(r.w) - len(p.w)), len(r.w))) AS near FROM w p JOIN w r ON p.uid = r.uid AND p.side = 0 AND r.side > 0 GROUP BY ALL)
+SELECT uid, round(CASE WHEN h1 > 0 AND h2 > 0 THEN (CASE WHEN c > near THEN 1 ELSE exp(1 - near / c) END) * exp(0.5 * ln(h1 / a1) + 0.5 * ln(h2 / a2)) ELSE 0 END, 9) AS value FROM l JOIN s USING (uid)""")
+def text_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(text.bleu(_texts(spark, sf_dir), (0.5, 0.5)))

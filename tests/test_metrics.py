@@ -67,6 +67,10 @@ def test_iou_boundary(spark):
     assert {r.pd_id: r.iou_prev for r in d.rank(pairs).collect()} == {0: 0.0, 1: 0.1, 2: 2.0, 3: 2.0}
     cells = {(r.gt_label, r.pd_label): r["count"] for r in d.confusion_matrix(pairs, [0.05], [0.5]).collect()}
     assert cells == {("a", "a"): 1, (None, "a"): 2, (None, "b"): 1}
+    (row,) = d.examples(pairs, [0.05], [0.5]).collect()
+    with pytest.raises(EmptyCacheError):
+        d.select(pairs, "datum_uid = 5")
+    assert ([tuple(x) for x in row.true_positives], row.false_positives, row.false_negatives) == ([(0, 0)], [1, 2, 3], [])
 
 
 def test_page(spark):

@@ -1,3 +1,8 @@
+import itertools
+import random
+
+import pytest
+
 from gaugeworks.operators import text
 
 
@@ -6,3 +11,36 @@ def test_rouge_literals(spark):
     out = text.rouge(spark.createDataFrame(rows, "uid long, prediction string, references array<string>"))
     got = {(r.uid, r.rouge_type): round(r.value, 9) for r in out.collect()}
     assert got == {(1, "rouge1"): round(2 / 3, 9), (1, "rouge2"): 0.5, (2, "rouge1"): 0, (2, "rouge2"): 0, (3, "rouge1"): 0, (3, "rouge2"): 0, (4, "rouge1"): 0.8, (4, "rouge2"): round(2 / 3, 9)}
+
+
+@pytest.mark.parametrize(("weights", "want"), [((1,), 2 / 3), ((0, 1), 0.5), ((0, 0, 1), 0), ((0.25,) * 4, 0)])
+def test_bleu_literals(spark, weights, want):
+    rows = [(1, "Mary loves Joe", ["Mary loves Jane"]), (2, "MARY LOVES JOE", ["Mary loves Joe"]), (3, None, None), (4, "a b", []), (5, "", ["a"])]
+    got = {r.uid: r.value for r in text.bleu(spark.createDataFrame(rows, "uid long, prediction string, references array<string>"), weights).collect()}
+    assert got == pytest.approx({1: want, 2: 0, 3: 0, 4: 0, 5: 0})
+
+
+def test_bleu_penalty(spark):
+    """Of references equally near the shorter counts; short predictions pay."""
+    rows = [(1, "a b c", ["a b", "a b c d"]), (2, "a b", ["a b c d"])]
+    got = {r.uid: r.value for r in text.bleu(spark.createDataFrame(rows, "uid long, prediction string, references array<string>"), [1]).collect()}
+    assert got == pytest.approx({1: 1.0, 2: 2.718281828459045**-1})
+    with pytest.raises(ValueError):
+        text.bleu(spark.range(1), [])
+
+
+def test_rouge_sequences(spark):
+    rows = [(1, "Mary loves Joe", ["Mary loves Jane"]), (2, None, ["x"]), (3, "a", None), (4, "c d\na b", ["a b\nc d", "z"])]
+    got = {(r.uid, r.rouge_type): r.value for r in text.rouge_sequences(spark.createDataFrame(rows, "uid long, prediction string, references array<string>")).collect()}
+    want = {(1, "rougeL"): 2 / 3, (1, "rougeLsum"): 2 / 3, (4, "rougeL"): 0.5, (4, "rougeLsum"): 1.0}
+    assert got == pytest.approx({**{(i, k): 0.0 for i in (2, 3) for k in ("rougeL", "rougeLsum")}, **want})
+
+
+def test_common_subsequence_brute():
+    rnd = random.Random(5)
+    for _ in range(200):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 7))] for _ in range(2))
+        subs = {c for n in range(len(b) + 1) for c in itertools.combinations(b, n)}
+        best = max(n for n in range(len(a) + 1) if any(c in subs for c in itertools.combinations(a, n)))
+        places = sorted(text.common_places(a, b))
+        assert text.common_length(a, b) == best == len(places) and tuple(a[i] for i in places) in subs
