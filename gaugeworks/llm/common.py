@@ -169,3 +169,88 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if step.where("was <> root").isEmpty():
             return step.select("node", "root")
         labels = step.select("node", "root")
+
+
+BLOCK = 1 << 20  # bytes of sets in a block of a band's members
+
+
+def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All elements, sorted, and the set of each."""
+    owner, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    return flat[order], owner[order]
+
+
+def _overlaps(mine: np.ndarray, postings: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Elements that ``mine`` shares with each of the ``n`` sets."""
+    flat, owner = postings
+    lo = np.searchsorted(flat, mine, "left")
+    count = np.searchsorted(flat, mine, "right") - lo
+    at = np.arange(int(count.sum())) + np.repeat(lo - np.cumsum(count) + count, count)
+    return np.bincount(owner[at], minlength=n)
+
+
+def _block_links(key: int, rows: list[tuple], to_sets: Callable[[list], list[np.ndarray]], least: float) -> Iterator[tuple[int, int]]:
+    """Links of one block pair: rows (left, same, id, root, keys, payload). A pair is tested in the least band it shares."""
+    left = [r for r in rows if r[0]]
+    same = rows[0][1]
+    right = left if same else [r for r in rows if not r[0]]
+    if not left or not right or len({r[3] for r in rows}) < 2:
+        return
+    sets = to_sets([r[5] for r in right])
+    others = sets if same else to_sets([r[5] for r in left])
+    ids, roots, sizes = (np.array(x, np.int64) for x in ([r[2] for r in right], [r[3] for r in right], [len(x) for x in sets]))
+    lesser = [np.array([k for k in r[4] if k < key], np.int64) for r in right]
+    before, elements = _postings(lesser), _postings(sets)
+    for i, (row, mine) in enumerate(zip(left, others, strict=True)):
+        ok = (roots != row[3]) & (np.minimum(sizes, len(mine)) >= least * np.maximum(sizes, len(mine)))
+        if same:
+            ok[: i + 1] = False
+        if ok.any():
+            ok &= _overlaps(np.array([k for k in row[4] if k < key], np.int64), before, len(right)) == 0
+        if ok.any():
+            both = _overlaps(mine, elements, len(right))
+            hit = np.flatnonzero(ok & (both / (sizes + len(mine) - both) >= least))
+            for j in hit[np.unique(roots[hit], return_index=True)[1]]:  # one of each component joins all of it
+                yield row[2], int(ids[j])
+
+
+def across(members: DataFrame, payloads: DataFrame, to_sets: Callable[[list], list[np.ndarray]], least: float) -> DataFrame:
+    """Verified edges ``a, b`` between members of one band whose components differ, by comparing every such pair.
+
+    ``members``: distinct ``key, id, root, size``; ``payloads``: ``k, s`` with the set of each id, which ``to_sets`` reads.
+    A band's members are dealt to blocks of about BLOCK bytes and each pair of blocks meets in one group. Members of the
+    band's largest component don't meet each other, so a band of near copies costs what its other members cost.
+    """
+    per = members.groupBy("key", "root").agg(F.sum(F.col("size") * 8 + 64).alias("bytes"))
+    per = per.groupBy("key").agg(F.max(F.struct("bytes", "root")).alias("top"), F.sum("bytes").alias("every")).where("every > top.bytes")
+    mixed = per.select("key", F.col("top.root").alias("top"), F.ceil((F.col("every") - F.col("top.bytes")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.bytes") / BLOCK).cast("int").alias("many"))
+    by_id = members.join(mixed, "key").groupBy("id").agg(F.first("root").alias("root"), F.collect_list(F.struct("key", "top", "few", "many")).alias("bands"))
+    rows = by_id.join(payloads.withColumnRenamed("k", "id"), "id")
+    rows = rows.select("id", "root", "s", F.transform("bands", lambda x: x["key"]).alias("keys"), F.explode("bands").alias("m")).select("id", "root", "s", "keys", "m.*")
+    rare = F.col("root") != F.col("top")
+    at = F.when(rare, F.pmod(F.xxhash64("id"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(rare, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1).cast("int"))
+    rows = rows.withColumn("at", at).withColumn("other", F.explode(meets)).withColumns({"x": F.least("at", "other"), "y": F.greatest("at", "other")})
+    rows = rows.select(F.xxhash64("key", "x", "y").alias("deal"), "key", "x", "y", (F.col("at") == F.col("x")).alias("left"), (F.col("x") == F.col("y")).alias("same"), "id", "root", "keys", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[tuple[int, list[tuple]]]:
+            now, held = None, []
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if row[:3] != now:
+                        if held:
+                            yield now[0], held
+                        now, held = row[:3], []
+                    held.append(row[3:])
+            if held:
+                yield now[0], held
+
+        for key, held in groups():
+            if found := list(_block_links(key, held, to_sets, least)):
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition("deal").sortWithinPartitions("deal", "key", "x", "y").select("key", "x", "y", "left", "same", "id", "root", "keys", "s")
+    return cut(dealt.mapInArrow(run, "a long, b long"))

@@ -160,15 +160,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, ok boolean")
 
 
+def _shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    h, owner = _shingles(lines)
+    return [np.unique(x) for x in np.split(h, np.flatnonzero(np.diff(owner)) + 1)]
+
+
 def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Verified edges between line ids. The centre of a star varies from band to band; members of a band that failed
-    against it meet a second and a third one. All rounds are linear in the number of lines: a link is missed only if
-    in every band that two lines share neither is a centre and no other similar line joins them."""
+    against it meet a second and a third one. Then all pairs of a band whose lines ended in different components are
+    compared, so two similar lines that share a band are always joined."""
     edges = common.cut(_candidates(docs))
     common.release(docs.sparkSession)
     ids = common.cut(edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "k"))
     texts = common.cut(_line_texts(docs, ids))
-    tested = None
+    tested, every, failing = None, edges, None
     for left in reversed(range(STAR_ROUNDS)):
         pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
@@ -178,8 +183,16 @@ def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         if left:
             bad = now.where("not ok").select(F.col("a").alias("x"), F.col("b").alias("y"))
             failed = edges.join(bad, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("key", F.col("a").alias("id"))
+            if failing is None:  # bands whose first star isn't one component
+                failed = common.cut(failed)
+                failing = failed.select("key").distinct()
             edges = common.cut(common.regroup(failed))
-    return tested.where("ok").select("a", "b")
+    found = tested.where("ok").select("a", "b")
+    roots = common.components(found).withColumnRenamed("node", "k")
+    nodes = texts.join(roots, "k", "left").select(F.col("k").alias("id"), F.coalesce("root", "k").alias("root"), F.length("s").alias("size"))
+    some = every.join(failing, "key", "left_semi")
+    members = some.select("key", F.col("a").alias("id")).union(some.select("key", F.col("b").alias("id"))).distinct().join(nodes, "id")
+    return found.union(common.across(common.cut(members), texts, _shingle_sets, least))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -215,3 +215,48 @@ def test_quality(spark, docs):
 def test_odd_rows(odd, f):
     assert f(odd).count() == len(ODD)
     assert f(odd.limit(0)).count() == 0
+
+
+def _same_band_components(keys, alike):
+    root = list(range(len(keys)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in range(len(keys)):
+        for j in range(i):
+            if (keys[i] == keys[j]).any() and alike(i, j):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {frozenset(j for j in range(len(keys)) if find(j) == r) for r in {find(i) for i in range(len(keys))}}
+
+
+def _groups(n, at, edges):
+    root = {i: i for i in range(n)}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for r in edges:
+        a, b = find(at[r.a]), find(at[r.b])
+        root[max(a, b)] = min(a, b)
+    return {frozenset(j for j in root if find(j) == r) for r in {find(i) for i in root}}
+
+
+@pytest.mark.parametrize("block", [None, 3000])
+def test_lines_of_one_template(spark, monkeypatch, block):
+    """Bands of many different lines: pairs that no centre meets are joined."""
+    if block:
+        monkeypatch.setattr("gaugeworks.llm.common.BLOCK", block)
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    head, texts = draw(86), []
+    for _ in range(150):
+        slot = draw(6)
+        texts += [head + slot, head + slot[:4] + draw(2)]
+    texts = sorted(set(texts))
+    sets = [lines._set(x) for x in texts]
+    want = _same_band_components(lines.band_keys(lines.signatures(texts)), lambda i, j: lines.jaccard(texts[i], texts[j]) >= 0.9)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = _groups(len(texts), {lines.line_id(x): i for i, x in enumerate(texts)}, lines.links(docs, 0.9).collect())
+    assert sets and 1 < len(want) and got == want
