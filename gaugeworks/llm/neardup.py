@@ -8,7 +8,6 @@ ROWS registers; a pair counts if the Jaccard of the two shingle sets is at least
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm import common
 
 SHINGLE, SIMILAR = 5, 0.8
-STAR_ROUNDS, LAST_ROUNDS = 2, 2
+STAR_ROUNDS = 2
 BANDS, ROWS = 20, 5  # a pair at 0.8 is missed with a chance of (1 - 0.8**5)**20 = 0.0004
 REGISTERS = BANDS * ROWS
 SLICE = 4 << 20
@@ -152,9 +151,8 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def links(docs: DataFrame, prints: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Verified edges ``a, b`` between texts. Each band's members meet a centre that varies by band; those that fail
-    against it meet a second one. At last the members of each band whose texts ended in different components meet
-    LAST_ROUNDS more centres, where the sizes allow a link. All of it is linear in the members of a band: a link is missed
-    only if in every band that two texts share neither is ever a centre and no other similar text joins them."""
+    against it meet a second one. At last all pairs of a band whose texts ended in different components are compared,
+    where the sizes allow a link, so two similar texts that share a band are always joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -182,21 +180,12 @@ def links(docs: DataFrame, prints: DataFrame, least: float = SIMILAR) -> DataFra
             bad = now.where("not ok").select(F.col("a").alias("x"), F.col("b").alias("y"))
             edges = common.cut(common.regroup(edges.join(bad, (lo == bad["x"]) & (hi == bad["y"])).select("key", F.col("a").alias("id"))))
     found = tested.where("ok").select("a", "b")
-    # members of a band whose components differ: pairs that no centre has joined
     roots = common.components(found)
     several = prints.where("bands is not null").join(ids, "k", "left_semi")
     members = several.select("k", "size", F.explode("bands").alias("key")).distinct()
     members = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    members = common.cut(members.join(mixed, "key"))
-    salted = [members.select(F.xxhash64("key", F.lit(i)).alias("key"), F.col("k").alias("id")) for i in range(LAST_ROUNDS)]
-    more = common.regroup(functools.reduce(DataFrame.union, salted)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = members.select("k", "root", "size").distinct()
-    for end in ("a", "b"):
-        more = more.join(side.toDF(end, f"root_{end}", f"size_{end}"), end)
-    fit = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
-    more = more.where((F.col("root_a") != F.col("root_b")) & fit).select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return found.union(common.cut(verify(more, sets, least)).where("ok").select("a", "b"))
+    members = members.select("key", F.col("k").alias("id"), "root", "size")
+    return found.union(common.across(members, sets, lambda s: [np.frombuffer(x, np.uint64) for x in s], least))
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:

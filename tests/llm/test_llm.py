@@ -260,3 +260,24 @@ def test_lines_of_one_template(spark, monkeypatch, block):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
     got = _groups(len(texts), {lines.line_id(x): i for i, x in enumerate(texts)}, lines.links(docs, 0.9).collect())
     assert sets and 1 < len(want) and got == want
+
+
+@pytest.mark.parametrize("block", [None, 20_000])
+def test_near_duplicates_of_one_boilerplate(spark, monkeypatch, block):
+    """Bands of many different texts: pairs that no centre meets are joined."""
+    if block:
+        monkeypatch.setattr("gaugeworks.llm.common.BLOCK", block)
+    rng = random.Random(9)
+    draw = lambda n: [str(rng.random()) for _ in range(n)]
+    head, texts = draw(90), []
+    for _ in range(150):
+        tail = draw(14)
+        texts += [head + tail, head + tail[:8] + draw(6)]
+    sets = [np.unique(neardup.shingle_hashes(x)) for x in texts]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    keys = neardup.band_keys(neardup.prob_min_hash(np.concatenate(sets), np.ones(len(owner)), owner, len(sets)))
+    want = _same_band_components(keys, lambda i, j: neardup.similar(sets[i].tobytes(), sets[j].tobytes()) >= 0.85)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
+    prints = neardup.common.cut(neardup.fingerprints(docs))
+    got = _groups(len(texts), {neardup.key_of(x): i for i, x in enumerate(texts)}, neardup.links(docs, prints, 0.85).collect())
+    assert 1 < len(want) and got == want
