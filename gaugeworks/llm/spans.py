@@ -45,9 +45,11 @@ def runs(parts: list[str]) -> Iterator[tuple[int, int, str]]:
 
 
 def _sort(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns by (h1, h2, ord, r, start) and where a new hash begins."""
+    """Columns by (h1, h2, ord, r, start), each such place once (rows of equal doc_id and text are one document), and where a new hash begins."""
     order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))
     cols = [c[order] for c in cols]
+    once = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:5]], axis=0)])
+    cols = [c[once] for c in cols]
     return cols, np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
 
 

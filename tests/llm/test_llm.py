@@ -281,3 +281,13 @@ def test_near_duplicates_of_one_boilerplate(spark, monkeypatch, block):
     prints = neardup.common.cut(neardup.fingerprints(docs))
     got = _groups(len(texts), {neardup.key_of(x): i for i, x in enumerate(texts)}, neardup.links(docs, prints, 0.85).collect())
     assert 1 < len(want) and got == want
+
+
+def test_spans_of_repeated_rows(spark):
+    """Rows of equal doc_id and text are one document: its sentences stay, and go from later documents."""
+    text = " ".join(f"Sentence {i} of this text has quite a few words to fill a run." for i in range(6))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text.upper() + " x"), (None, text.upper() + " x"), (7, text)], "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.n_sentences, r.n_removed) for r in spans.report(docs.repartition(3)).collect())
+    assert out == [(0, 7, 0), (0, 7, 0), (1, 6, 6), (1, 6, 6), (7, 6, 6)]
+    out = spans.report(docs.where("doc_id = 1")).collect()
+    assert [r.text for r in out] == [text, text]
