@@ -291,3 +291,13 @@ def test_spans_of_repeated_rows(spark):
     assert out == [(0, 7, 0), (0, 7, 0), (1, 6, 6), (1, 6, 6), (7, 6, 6)]
     out = spans.report(docs.where("doc_id = 1")).collect()
     assert [r.text for r in out] == [text, text]
+
+
+def test_toxicity_shared_opening(spark):
+    """Labelled texts that begin alike are counted one by one."""
+    head = "this page was sent by the forum and all of its pages have one and the same opening line "
+    docs = spark.createDataFrame([(i, f"{head} {'zorgle' if i % 2 else 'fine'} number {i}") for i in range(120)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    assert "zorgle" in toxicity.fit(docs, labels)["lexicon"]
+    scores = {r.doc_id: r.score for r in toxicity.report(docs, labels).collect()}
+    assert min(scores[i] for i in scores if i % 2) > max(scores[i] for i in scores if i % 2 == 0)
