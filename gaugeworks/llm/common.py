@@ -1,4 +1,4 @@
-"""What the operators share: Arrow mapping, text access, cuts of lineage, connected components."""
+"""What the operators share: text access, row identities, cuts of lineage, stars of bands, connected components."""
 
 from __future__ import annotations
 
@@ -10,21 +10,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """Map each Arrow batch through ``fn``, which returns columns by name (or None for no rows)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield pa.RecordBatch.from_pydict(out)
-
-    return df.mapInArrow(run, schema)
-
-
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -44,10 +33,38 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder where spark.checkpoint.dir names one; a local one only where it is unset (tests)."""
+    """The shared folder that spark.checkpoint.dir names; where it is unset, a local one in local mode, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugeworks-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gaugeworks-"))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that clash with none of ``taken``, upper or lower case."""
+    low = {x.lower() for x in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_id(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """128 bits that name a row by its doc_id and text; equal rows are one document."""
+    i = F.col(doc_id).cast("string")
+    return F.xxhash64(i, F.col(text)), F.xxhash64(F.lit(0x5851F42D), F.col(text), i)
+
+
+def order_of(docs: DataFrame) -> Column:
+    """Documents' order as a long: an integer doc_id itself, another kind of id by its hash, null first."""
+    kind = dict(docs.dtypes)["doc_id"]
+    at = F.col("doc_id").cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64("doc_id")
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), at), F.lit(-(2**63)))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -88,67 +105,149 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _stars(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (key, member, centre) of each key's star and (key, centre). The centre varies from key to key."""
-    order = np.lexsort((mix(ident.view(np.uint64) ^ mix(key.view(np.uint64))), key))
+    """Edges (key, member, centre) of each key's star, and (key, centre) in the order of keys. Keys are hashes, so the centre varies from key to key."""
+    order = np.argsort(key)
     key, ident = key[order], ident[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    centre = np.repeat(ident[first], np.diff(np.append(first, len(key))))
+    many = np.diff(np.append(first, len(key)))
+    keys, centres = key[first], ident[first]
+    several = np.flatnonzero(many > 1)
+    part = np.repeat(many > 1, many)
+    key, ident, many = key[part], ident[part], many[several]
+    if len(key):
+        first = np.cumsum(many) - many
+        draw = (ident ^ key).view(np.uint64)
+        won = np.flatnonzero(draw == np.repeat(np.minimum.reduceat(draw, first), many))
+        centres[several] = ident[won[np.searchsorted(won, first)]]
+    centre = np.repeat(centres[several], many)
     other = ident != centre
-    return key[other], ident[other], centre[other], key[first], ident[first]
+    return key[other], ident[other], centre[other], keys, centres
 
 
-STAR_SCHEMA = "deal long, key long, a long, b long"
+#: Rows of blocks: a deal's 64-bit integers of one kind, row by row. JVM work follows the number of blocks.
+BLOCKS = "deal int, kind byte, data binary"
+EDGES, CENTRES, PLACES, GONE = range(4)
+WIDTH = (3, 2, 6, 3)
 _FLUSH = 1_500_000
 
 
-def star_batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Local stars of (key, id) pairs: an edge for each member, and only the centre goes on to meet other tasks' (b null)."""
+def deals(spark: SparkSession) -> int:
+    """Deals of an exchange of blocks: several for each partition, so that a task holds a part of its own at a time."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def blocks(kind: int, by: np.ndarray, cols: list[np.ndarray], n: int) -> pa.RecordBatch:
+    """``cols`` dealt by the hashes ``by``, one row for each deal; nothing is moved if these are in order."""
+    deal = ((by >> 40) + (1 << 23)) * n >> 24
+    table = np.stack(cols, 1)
+    if (deal[1:] < deal[:-1]).any():
+        order = np.argsort(deal, kind="stable")
+        table, deal = table[order], deal[order]
+    first = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]]))
+    ends = np.append(first, len(deal)) * 8 * len(cols)
+    data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(table))])
+    return pa.RecordBatch.from_arrays([pa.array(deal[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int8)), data], names=["deal", "kind", "data"])
+
+
+def star_blocks(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[pa.RecordBatch]:
+    """Local stars of (key, id) pairs: an edge for each member, and only the centre goes on to meet other tasks'."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         key, a, b, keys, centres = _stars(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
-        spread = mix(a.view(np.uint64) ^ key.view(np.uint64)).view(np.int64)  # edges go anywhere
-        b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(keys), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((spread, keys), (key, keys), (a, centres))] + [b], names=["deal", "key", "a", "b"])
+        if len(key):
+            yield blocks(EDGES, a ^ key, [key, a, b], n)  # edges go anywhere
+        yield blocks(CENTRES, keys, [keys, centres], n)
 
     for key, ident in pairs:
         held.append((key, ident))
         size += len(key)
         if size > _FLUSH:
-            yield flush()
+            yield from flush()
             held, size = [], 0
     if size:
-        yield flush()
+        yield from flush()
+
+
+def _by_deal(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[np.ndarray]]]:
+    """Tables of each kind of one deal at a time; rows come sorted by deal."""
+    now, held = None, [[] for _ in WIDTH]
+    for b in batches:
+        for deal, kind, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if deal != now:
+                if now is not None:
+                    yield held
+                now, held = deal, [[] for _ in WIDTH]
+            held[kind].append(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, WIDTH[kind]))
+    if now is not None:
+        yield held
+
+
+def later_places(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of (k, h, ord, r, q, at) rows without repeated ones, and which of these are first of their (k, h)."""
+    order = np.lexsort(cols[::-1])
+    k, h, o, r, q, at = (c[order] for c in cols)
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+    again = np.concatenate([[False], ~new[1:] & (o[1:] == o[:-1]) & (r[1:] == r[:-1]) & (q[1:] == q[:-1]) & (at[1:] == at[:-1])])
+    return order[~again], new[~again]
 
 
 def meet(local: DataFrame) -> DataFrame:
-    """``key, a, b``: edges of all stars. A key has at most one row for each map task and flush here, however many ids hold it."""
+    """``kind, x, y, z``: edges (key, a, b) of all stars, and places (r, q, at) that aren't first of their (k, h).
+
+    A key has at most one entry for each map task and flush here, however many ids hold it.
+    """
+    names = ["kind", "x", "y", "z"]
+
+    def rows(kind: int, cols: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int8)), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, centres = [], []
-        for x in batches:
-            own = x.column(3).is_null().to_numpy(zero_copy_only=False)
-            keys.append(x.column(1).to_numpy()[own])
-            centres.append(x.column(2).to_numpy()[own])
-            edges = x.filter(pa.array(~own))
-            if edges.num_rows:
-                yield edges.select([1, 2, 3])
-        if keys:
-            key, a, b, _, _ = _stars(np.concatenate(keys), np.concatenate(centres))
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)], names=["key", "a", "b"])
-
-    return local.repartition("deal").mapInArrow(run, "key long, a long, b long")
+        for held in _by_deal(batches):
+            for kind in (EDGES, GONE):
+                for t in held[kind]:
+                    yield rows(kind, list(t.T))
+            if held[CENTRES]:
+                t = np.concatenate(held[CENTRES])
+                key, a, b, _, _ = _stars(np.ascontiguousarray(t[:, 0]), np.ascontiguousarray(t[:, 1]))
+                if len(key):
+                    yield rows(EDGES, [key, a, b])
+            if held[PLACES]:
+                t = np.concatenate(held[PLACES])
+                order, first = later_places(list(t.T))
+                if not first.all():
+                    yield rows(GONE, list(t[order[~first]][:, 3:].T))
+
+    n = int(local.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return local.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, "kind byte, x long, y long, z long")
+
+
+def edges_of(met: DataFrame) -> DataFrame:
+    return met.where(F.col("kind") == EDGES).select(F.col("x").alias("key"), F.col("y").alias("a"), F.col("z").alias("b"))
 
 
 def regroup(rows: DataFrame) -> DataFrame:
     """Stars anew among (key, id) rows, say of members that failed against their centre."""
+    n = deals(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from star_batches((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows)
-
-    return meet(rows.select("key", "id").mapInArrow(run, STAR_SCHEMA))
+        yield from star_blocks(((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows), n)
+
+    return edges_of(meet(rows.select("key", "id").mapInArrow(run, BLOCKS)))
+
+
+def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``node, root`` of the components ``roots`` once the edges ``a, b`` of ``more`` are added to theirs."""
+    at = roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra")
+    with_a = more.join(at, "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
+    bt = roots.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")
+    between = cut(with_a.join(bt, "b", "left").select("a", F.coalesce("rb", "b").alias("b")).distinct())
+    if between.isEmpty():
+        return roots
+    higher = components(between)  # of roots, and of nodes without an edge so far
+    out = roots.join(higher.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return cut(out.union(higher.join(roots.select("node"), "node", "left_anti").select("node", "root")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -2,13 +2,13 @@
 
 Lines are compared lower-cased with blanks folded. A signature has one hash of each shingle of eight characters dealt to
 45 bins (one-permutation MinHash, empty bins borrow from the next), cut into nine bands of five. The line kept is the
-first by (doc_id, place). Lines without visible characters stay.
+first by (doc_id, place). Lines without visible characters stay. Lines are told apart by 128 bits; of two lines whose
+first 64 agree by chance only one is linked to others, and neither is taken for the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,9 @@ from gaugeworks.llm import common
 SHINGLE, SIMILAR = 8, 0.8
 BANDS, ROWS = 9, 5  # a pair at 0.8 is missed with a chance of (1 - 0.8**5)**9 = 0.03, at 0.9 of 0.0003
 BINS = BANDS * ROWS
-STAR_ROUNDS = 3
-SLICE, SEEN = 1 << 20, 400_000
+STAR_ROUNDS = 2
+SLICE, SEEN, TEXTS = 1 << 18, 400_000, 32 << 20
+_NONE = 2**63 - 1
 FILTER_BITS = 27  # the filter that spares other lines a shuffle has this fixed size
 
 
@@ -30,41 +31,67 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_id(line: str) -> int:
-    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def line_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each line: the first half is its id, the other one tells lines with equal ids apart."""
+    flat = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), "<i8").reshape(-1, 2)
+    return np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1])
 
 
-def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles and the line of each; a line of fewer characters is one shingle, filled up."""
-    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    by = np.uint64(0x9E3779B97F4A7C15)
-    for gap in (1, 2, 4):
-        h = h[:-gap] * by + h[gap:]
-        by = np.uint64(int(by) ** 2 & 2**64 - 1)
-    ends = np.cumsum(sizes)
-    start = np.repeat(ends - sizes, sizes - SHINGLE + 1)
-    count = sizes - SHINGLE + 1
-    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + start
-    return common.mix(h[place]), np.repeat(np.arange(len(lines)), count)
+def _windows(text: str) -> np.ndarray:
+    """A number for each run of eight characters: its bytes where all are below 256, else a hash."""
+    try:
+        raw = text.encode("latin-1")
+        return np.ndarray(len(raw) - SHINGLE + 1, "<u8", raw, strides=(1,)).copy()
+    except UnicodeEncodeError:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = np.minimum(points, 255).astype(np.uint8).tobytes()
+    plain = np.ndarray(len(raw) - SHINGLE + 1, "<u8", raw, strides=(1,)).copy()
+    high = np.concatenate([[0], np.cumsum(points > 255)])
+    wide = np.flatnonzero(high[SHINGLE:] > high[:-SHINGLE])
+    h = np.zeros(len(wide), np.uint64)
+    for i in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[wide + i]
+    plain[wide] = common.mix(h)
+    return plain
+
+
+def shingles(line: str) -> np.ndarray:
+    """The distinct runs of eight characters, sorted; a line of fewer characters is one, filled up."""
+    x = _windows(line.ljust(SHINGLE, "\0"))
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    h, owner = _shingles(lines)
-    least = np.full(len(lines) * BINS, 2**63 - 1, np.int64)
-    spot = owner * BINS + ((h >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
-    np.minimum.at(least, spot, (common.mix(h) >> np.uint64(2)).view(np.int64))
-    sig = least.reshape(-1, BINS)
-    empty = sig == 2**63 - 1
-    for step in range(1, BINS):  # borrow, marked by the distance
-        if not empty.any():
-            break
-        lend = np.roll(least.reshape(-1, BINS), -step, 1)
-        take = empty & (lend != 2**63 - 1)
-        sig = np.where(take, lend + step * 0x1000193, sig)
-        empty &= ~take
+    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = _windows("".join(lines))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
+    spot = ((h >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).view(np.int64)
+    spot += np.repeat(np.arange(len(lines)) * BINS, sizes)[: len(h)]
+    worth = (h << np.uint64(22) | h >> np.uint64(42)).view(np.int64)  # the bits that don't choose the bin come first
+    worth &= _NONE
+    ends = np.cumsum(sizes)[:-1]
+    worth[(ends[:, None] - np.arange(1, SHINGLE)).reshape(-1)] = _NONE  # runs across two lines
+    least = np.full(len(lines) * BINS, _NONE, np.int64)
+    np.minimum.at(least, spot, worth)
+    sig = own = least.reshape(-1, BINS)
+    empty = own == _NONE
+    short = np.flatnonzero(empty.any(1))
+    if len(short):  # an empty bin borrows, marked by the distance
+        own, gaps, sig = own[short], empty[short], own.copy()
+        filled = own.copy()
+        for step in range(1, BINS):
+            lend = np.roll(own, -step, 1)
+            take = gaps & (lend != _NONE)
+            filled = np.where(take, lend + step * 0x1000193, filled)
+            gaps &= ~take
+            if not gaps.any():
+                break
+        sig[short] = filled
     return sig
 
 
@@ -76,103 +103,162 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _new_lines(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids and texts of the lines of a task, each about once."""
-    common.enter("lines", _forget)
-    seen: set[int] = set()
+def _normal_lines(text: str | None) -> tuple[list[int], list[str]]:
+    """Places and normalised texts of the lines with visible characters."""
+    at, lines = [], []
+    for i, line in enumerate((text or "").lower().split("\n")):
+        line = line.strip() if "  " not in line and line.isprintable() else " ".join(line.split())  # blanks but spaces aren't printable
+        if line:
+            at.append(i)
+            lines.append(line)
+    return at, lines
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Columns (k, h, ord, r, q, at) and texts of a slice's lines; batches hold ord, r, q, text."""
     for batch in batches:
-        for b in common.slices(batch, column, SLICE):
-            fresh: dict[int, str] = {}
-            for text in b.column(column).to_pylist():
-                for line in (text or "").split("\n"):
-                    if (n := normal(line)) and (i := line_id(n)) not in seen:
-                        fresh[i] = n
-            if len(seen) > SEEN:
-                seen.clear()
-            seen.update(fresh)
-            if fresh:
-                yield list(fresh), list(fresh.values())
-
-
-def _candidates(docs: DataFrame) -> DataFrame:
+        for b in common.slices(batch, batch.schema.names[3], SLICE):
+            found = [_normal_lines(t) for t in b.column(3).to_pylist()]
+            lines = [x for _, xs in found for x in xs]
+            if lines:
+                many = [len(xs) for _, xs in found]
+                of = [np.repeat(b.column(i).to_numpy(), many) for i in range(3)]
+                yield np.stack([*line_ids(lines), *of, np.concatenate([np.array(a, np.int64) for a, _ in found])], 1), lines
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """Bands of all lines, and their repeats: one pass over the texts."""
+    n = common.deals(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for ids, lines in _new_lines(batches, "text"):
-                yield band_keys(signatures(lines)).reshape(-1), np.repeat(np.array(ids, np.int64), BANDS)
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        out: list[pa.RecordBatch] = []
 
-        yield from common.star_batches(pairs())
+        def flush() -> None:
+            t = np.concatenate(held)
+            order, first = common.later_places(list(t.T))
+            for kind, rows, width in ((common.PLACES, t[order[first]], 0), (common.GONE, t[order[~first]], 3)):
+                if len(rows):
+                    out.append(common.blocks(kind, np.ascontiguousarray(rows[:, 0]) ^ (rows[:, 5] if width else 0), list(rows.T[width:]), n))
 
-    return common.meet(docs.select("text").mapInArrow(run, common.STAR_SCHEMA))
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            size = 0
+            for t, lines in _places(batches):
+                held.append(t)
+                size += len(t)
+                if size > SEEN:
+                    flush()
+                    held.clear()
+                    size = 0
+                if len(seen) > SEEN:
+                    seen.clear()
+                fresh = {k: i for i, k in enumerate(t[:, 0].tolist()) if k not in seen}
+                seen.update(fresh)
+                if fresh:
+                    ids = np.fromiter(fresh, np.int64, len(fresh))
+                    yield band_keys(signatures([lines[i] for i in fresh.values()])).reshape(-1), np.repeat(ids, BANDS)
+
+        for b in common.star_blocks(pairs(), n):
+            yield b
+            yield from out
+            out.clear()
+        if held:
+            flush()
+        yield from out
+
+    return common.meet(docs.mapInArrow(run, common.BLOCKS))
 
 
 def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of an id: 16 MB whatever the number of ids, so more of them only make it pass more."""
-    spots = ids.select(F.pmod(F.xxhash64("k"), F.lit(1 << FILTER_BITS)).alias("spot"))
-    words = spots.selectExpr("spot div 64 AS w", "shiftleft(1L, cast(spot % 64 AS int)) AS bit")
+    """A bit for each id's last FILTER_BITS bits: 16 MB whatever the number of ids, so more of them only make it pass more."""
+    words = ids.selectExpr(f"(k & {(1 << FILTER_BITS) - 1}) div 64 AS w", "shiftleft(1L, cast(k & 63 AS int)) AS bit")
     got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     return out
 
 
-def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``k, s``: normalised text of each wanted line."""
+def _linked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``k, h, ord, r, q, at, s``: wanted lines with their texts; a task's first place of each, all lines of a flush once."""
     sent = docs.sparkSession.sparkContext.broadcast(_filter_words(ids))
+    names = ["k", "h", "ord", "r", "q", "at", "s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, size = sent.value, 1 << FILTER_BITS
-        for got, lines in _new_lines(batches, "text"):
-            ks, ls = [], []
-            for k, line in zip(got, lines, strict=True):
-                h = xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), 42)  # Spark's xxhash64 of a long
-                spot = (h - (1 << 64) if h >> 63 else h) % size
-                if int(words[spot >> 6]) >> (spot & 63) & 1:
-                    ks.append(k)
-                    ls.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ls, pa.string())], names=["k", "s"])
+        words = sent.value
+        held, texts, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            t = np.concatenate(held)
+            order, first = common.later_places(list(t.T))
+            pick = order[first]
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in t[pick].T), pa.array([texts[i] for i in pick.tolist()], pa.string())], names=names)
+
+        for t, lines in _places(batches):
+            low = t[:, 0] & ((1 << FILTER_BITS) - 1)
+            pick = np.flatnonzero(words[low >> 6] >> (low & 63) & 1)
+            if len(pick):
+                held.append(t[pick])
+                texts += [lines[i] for i in pick.tolist()]
+                size += sum(map(len, texts[-len(pick) :]))
+            if size > TEXTS:
+                yield flush()
+                held, texts, size = [], [], 0
+        if held:
+            yield flush()
 
-    some = docs.select("text").mapInArrow(run, "k long, s string")
-    return some.join(ids, "k", "left_semi").dropDuplicates(["k"])
+    some = docs.mapInArrow(run, "k long, h long, ord long, r long, q long, at long, s string")
+    return some.join(ids, "k", "left_semi")
 
 
-@lru_cache(64)  # pairs come sorted by one side
-def _set(s: str) -> frozenset[str]:
-    return frozenset([s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))])
+class _Sets(dict):
+    """Shingles by line; emptied when it holds 64. Pairs come sorted by one side."""
 
+    def __missing__(self, line: str) -> np.ndarray:
+        if len(self) > 64:
+            self.clear()
+        out = self[line] = shingles(line)
+        return out
 
-def _forget() -> None:
-    _set.cache_clear()
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    every = np.concatenate([x, y])
+    every.sort()
+    both = int((every[1:] == every[:-1]).sum())
+    return both / (len(every) - both)
 
 
 def jaccard(a: str, b: str) -> float:
-    x, y = _set(a), _set(b)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+    return _jaccard(shingles(a), shingles(b))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets()
         for b in batches:
-            ok = [jaccard(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], names=["a", "b", "ok"])
+            ok = []
+            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = sets[s], sets[t]
+                ok.append(min(len(x), len(y)) >= least * max(len(x), len(y)) and _jaccard(x, y) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     ta, tb = texts.select(F.col("k").alias("a"), F.col("s").alias("sa")), texts.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def _shingle_sets(lines: list[str]) -> list[np.ndarray]:
-    h, owner = _shingles(lines)
-    return [np.unique(x) for x in np.split(h, np.flatnonzero(np.diff(owner)) + 1)]
-
+def links(docs: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``node, root``: components of line ids; ``k, h, ord, r, q, at``: first places of the lines in bands with others;
+    ``r, q, at``: places that repeat an earlier line to the letter. ``docs`` has ord, r, q, text.
 
-def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Verified edges between line ids. The centre of a star varies from band to band; members of a band that failed
-    against it meet a second and a third one. Then all pairs of a band whose lines ended in different components are
-    compared, so two similar lines that share a band are always joined."""
-    edges = common.cut(_candidates(docs))
+    The centre of a star varies from band to band; members of a band that failed against it meet another one. Then all
+    pairs of a band whose lines ended in different components are compared, so two similar lines that share a band are
+    always joined."""
+    met = common.cut(_scan(docs))
     common.release(docs.sparkSession)
+    edges, again = common.edges_of(met), met.where(F.col("kind") == common.GONE).selectExpr("x AS r", "y AS q", "z AS at")
     ids = common.cut(edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "k"))
-    texts = common.cut(_line_texts(docs, ids))
+    wanted = common.cut(_linked(docs, ids))
+    texts = wanted.select("k", "h", "s").dropDuplicates(["k"])
     tested, every, failing = None, edges, None
     for left in reversed(range(STAR_ROUNDS)):
         pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -180,85 +266,73 @@ def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         now = common.cut(_verify(pairs, texts, least))
         tested = now if tested is None else tested.union(now)
+        bad = now.where("not ok").select(F.col("a").alias("x"), F.col("b").alias("y"))
+        failed = edges.join(bad, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("key", F.col("a").alias("id"))
+        if failing is None:  # bands whose first star isn't one component
+            failed = common.cut(failed)
+            failing = failed.select("key").distinct()
         if left:
-            bad = now.where("not ok").select(F.col("a").alias("x"), F.col("b").alias("y"))
-            failed = edges.join(bad, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("key", F.col("a").alias("id"))
-            if failing is None:  # bands whose first star isn't one component
-                failed = common.cut(failed)
-                failing = failed.select("key").distinct()
             edges = common.cut(common.regroup(failed))
     found = tested.where("ok").select("a", "b")
-    roots = common.components(found).withColumnRenamed("node", "k")
-    nodes = texts.join(roots, "k", "left").select(F.col("k").alias("id"), F.coalesce("root", "k").alias("root"), F.length("s").alias("size"))
+    roots = common.components(found)
+    named = roots.withColumnRenamed("node", "k")
+    nodes = texts.join(named, "k", "left").select(F.col("k").alias("id"), F.coalesce("root", "k").alias("root"), F.length("s").alias("size"))
     some = every.join(failing, "key", "left_semi")
     members = some.select("key", F.col("a").alias("id")).union(some.select("key", F.col("b").alias("id"))).distinct().join(nodes, "id")
-    return found.union(common.across(common.cut(members), texts, _shingle_sets, least))
-
+    more = common.across(common.cut(members), texts.select("k", "s"), lambda lines: [shingles(x) for x in lines], least)
+    firsts = wanted.join(texts.select("k", "h"), ["k", "h"], "left_semi").select("k", "ord", "r", "q", "at")
+    return common.joined(roots, more), firsts, again
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_r", F.xxhash64(F.col("doc_id").cast("string"), "text"))
 
-
-def kept_places(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """``_r, places``: for each document the places of the lines that are first of their component.
-
-    Lines that no document repeats are among them. Equal lines are combined in each task and then by hash, so a very
-    common line is one row of each task at most.
-    """
-    roots = common.components(common.cut(links(docs, least))).withColumnRenamed("node", "k")
-    common.release(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first: dict[int, tuple] = {}
-            for doc, r, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                order = (doc is not None, doc if doc is not None else 0, r)
-                for at, line in enumerate((text or "").split("\n")):
-                    if n := normal(line):
-                        k = line_id(n)
-                        old = first.get(k)
-                        if old is None or (*order, at) < old[0]:
-                            first[k] = ((*order, at), doc)
-            keys = list(first)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([first[k][1] for k in keys], batch.schema.field(0).type), pa.array([first[k][0][2] for k in keys], pa.int64()), pa.array([first[k][0][3] for k in keys], pa.int32())], names=["k", "doc_id", "_r", "at"])
-
-    occurs = _keyed(docs).select("doc_id", "_r", "text").mapInArrow(run, f"k long, doc_id {kind}, _r long, at int")
-    first = occurs.groupBy("k").agg(F.min(F.struct("doc_id", "_r", "at")).alias("o"))
-    first = first.join(roots, "k", "left").groupBy(F.coalesce("root", "k").alias("root")).agg(F.min("o").alias("o"))
-    return first.select("o._r", "o.at").groupBy("_r").agg(F.collect_list("at").alias("places"))
+def gone_places(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``_r, _q, places``: for each document with such the places of the lines that aren't first of their component."""
+    roots, firsts, again = links(docs, least)
+    o = F.struct("ord", "r", "q", "at")
+    own = firsts.groupBy("k").agg(F.min(o).alias("o")).join(roots.withColumnRenamed("node", "k"), "k")
+    least_of = own.groupBy("root").agg(F.min("o").alias("first"))
+    later = own.join(least_of, "root").where("o <> first").select("o.r", "o.q", "o.at")
+    return again.union(later).groupBy(F.col("r").alias("_r"), F.col("q").alias("_q")).agg(F.collect_set(F.col("at").cast("int")).alias("_gone"))
 
 
 def dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """All rows and columns of ``docs``, the text without lines whose component has an earlier one, plus ``_lines`` and ``_removed``.
+    """All rows and columns of ``docs``, the text without lines whose component has an earlier one, then two columns more:
+    the number of lines and of those removed (``_lines`` and ``_removed``, with more underscores where ``docs`` has such).
 
-    Null texts stay null. Rows with equal doc_id and text count as one document; null doc_ids come first in order.
-    Text of which nothing is removed stays as it is to the byte.
+    Null texts stay null and have no lines; empty tables give none. Rows with equal doc_id and text count as one
+    document; null doc_ids come first in order. Text of which nothing is removed stays as it is to the byte.
     """
-    names, place = [*docs.columns, "_lines", "_removed"], docs.columns.index("text")
+    own, place = list(docs.columns), docs.columns.index("text")
+    r, q = common.row_id()
+    plain = docs.select("doc_id", "text").select(common.order_of(docs).alias("ord"), r.alias("r"), q.alias("q"), "text")
+    names = [*own, *common.fresh(own, "_lines", "_removed")]
+    kr, kq, kg = common.fresh(own, "_r", "_q", "_gone")
+    gone = gone_places(plain, least).toDF(kr, kq, kg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, total, gone = [], [], []
-            for text, places in zip(b.column(place).to_pylist(), b.column(len(names) - 2).to_pylist(), strict=True):
-                lines, keep = (text or "").split("\n"), set(places or ())
-                left = [x for i, x in enumerate(lines) if i in keep or not normal(x)]
-                total.append(len(lines) if text else 0)
-                gone.append(len(lines) - len(left))
-                texts.append(text if text is None or len(left) == len(lines) else "\n".join(left))
-            cols = list(b.columns[: len(names) - 2])
+            texts, total, removed = [], [], []
+            for text, cuts in zip(b.column(place).to_pylist(), b.column(len(own)).to_pylist(), strict=True):
+                total.append(text.count("\n") + 1 if text else 0)
+                removed.append(len(cuts or ()))
+                if cuts:
+                    out = set(cuts)
+                    text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in out])
+                texts.append(text)
+            cols = list(b.columns[: len(own)])
             cols[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=names)
 
-    joined = _keyed(docs).join(kept_places(docs, least), "_r", "left").select(*docs.columns, "places")
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_lines long", "_removed long"])
-    return joined.mapInArrow(run, schema)
+    matched = docs.withColumns({kr: r, kq: q}).join(gone, [kr, kq], "left").select(*(f"`{c}`" for c in own), kg)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), *(f"`{c}` long" for c in names[len(own) :])])
+    return matched.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_lines, n_removed, text`` for each row of ``docs``; other columns aren't looked at. Odd rows: as in ``dedup``."""
     out = dedup(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    return dedup(docs).select(*docs.columns)
+    """The rows and columns of ``docs``, similar lines of the texts removed; odd rows as in ``dedup``."""
+    return dedup(docs).select(*(f"`{c}`" for c in docs.columns))

@@ -3,7 +3,8 @@
 Each shingle of five words has its count as weight. Its arrivals form a Poisson process of that rate; an arrival goes to
 a random register, which keeps the earliest. A shingle ends as soon as its next arrival is later than all registers of
 the document. Registers of two documents agree with the probability Jaccard of their weights. Candidates share a band of
-ROWS registers; a pair counts if the Jaccard of the two shingle sets is at least 0.8, computed exactly.
+ROWS registers; a pair counts if the Jaccard of the two shingle sets is at least 0.8, computed exactly. Texts are told
+apart by 128 bits; of two texts whose first 64 agree by chance only one is linked to others.
 """
 
 from __future__ import annotations
@@ -42,9 +43,10 @@ def _forget() -> None:
     _WORDS.clear()
 
 
-def key_of(words: list[str]) -> int | None:
-    """Identity of a text: its lower-cased words. Texts without words have none."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest("\0".join(words).encode("utf-8", "surrogatepass"))).view(np.int64)) if words else None
+def key_of(words: list[str]) -> tuple[int, int]:
+    """128 bits that name a text by its lower-cased words: those of k, by which texts are linked, and the rest."""
+    d = xxhash.xxh3_128_digest("\0".join(words).encode("utf-8", "surrogatepass"))
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def shingle_hashes(words: list[str]) -> np.ndarray:
@@ -88,7 +90,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, k, size, bands``: k is the text's identity, size its distinct shingles, bands its keys; all null for a text without words."""
+    """``doc_id, k, h, size, bands``: k and h name the text's words, size is the number of its distinct shingles, bands are its keys (no size or bands without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.enter("neardup", _forget)
@@ -96,7 +98,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for b in common.slices(batch, "text", SLICE):
                 words = [(x or "").lower().split() for x in b.column(1).to_pylist()]
                 keys = [key_of(w) for w in words]
-                rows = {k: i for i, k in reversed(list(enumerate(keys))) if k is not None}
+                rows = {k: i for i, k in reversed(list(enumerate(keys))) if words[i]}
                 sets = [np.unique(shingle_hashes(words[i]), return_counts=True) for i in rows.values()]
                 bands: list = [None] * len(words)
                 if sets:
@@ -105,28 +107,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     for i, row in zip(rows.values(), band_keys(sig), strict=True):
                         bands[i] = row
                 size = {i: len(e) for i, (e, _) in zip(rows.values(), sets, strict=True)}
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(map(size.get, range(len(words))), pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "k", "size", "bands"])
+                cols = [b.column(0), *(pa.array(x, pa.int64()) for x in zip(*keys, strict=True)), pa.array(map(size.get, range(len(words))), pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "h", "size", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, size int, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, h long, size int, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``k, s``: sorted shingle hashes of one document of each wanted (doc_id, k)."""
+    """``k, s``: sorted shingle hashes of one document of each wanted (doc_id, k, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.enter("neardup", _forget)
         for batch in batches:
             for b in common.slices(batch, "text", SLICE):
                 ks, sets = [], []
-                for x, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for x, *key in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     words = (x or "").lower().split()
-                    if key_of(words) == k:
-                        ks.append(k)
+                    if key_of(words) == tuple(key):
+                        ks.append(key[0])
                         sets.append(np.unique(shingle_hashes(words)).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(sets, pa.binary())], names=["k", "s"])
 
     texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id")
-    return texts.select("text", "k").mapInArrow(run, "k long, s binary")
+    return texts.select("text", "k", "h").mapInArrow(run, "k long, s binary").dropDuplicates(["k"])
 
 
 def similar(a: bytes, b: bytes) -> float:
@@ -150,68 +153,72 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def links(docs: DataFrame, prints: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Verified edges ``a, b`` between texts. Each band's members meet a centre that varies by band; those that fail
-    against it meet a second one. At last all pairs of a band whose texts ended in different components are compared,
-    where the sizes allow a link, so two similar texts that share a band are always joined."""
+    """``k, h, root``: components of similar texts, of each that has a similar one. Each band's members meet a centre that
+    varies by band; those that fail against it meet another one. At last all pairs of a band whose texts ended in different
+    components are compared, where the sizes allow a link, so two similar texts that share a band are always joined."""
+    n = common.deals(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for b in batches:
-                keep = b.filter(b.column(1).is_valid())
-                if keep.num_rows:
-                    flat = keep.column(1).flatten().to_numpy()
-                    yield flat, np.repeat(keep.column(0).to_numpy(), BANDS)
+                if b.num_rows:
+                    yield b.column(1).flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), BANDS)
 
-        yield from common.star_batches(pairs())
+        yield from common.star_blocks(pairs(), n)
 
-    edges = common.cut(common.meet(prints.select("k", "bands").where("k is not null").mapInArrow(run, common.STAR_SCHEMA)))
+    edges = common.cut(common.edges_of(common.meet(prints.where("bands is not null").select("k", "bands").mapInArrow(run, common.BLOCKS))))
     ids = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "k")
-    one = prints.where("k is not null and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id")).join(ids, "k", "left_semi")
+    one = prints.where("bands is not null and doc_id is not null").groupBy("k").agg(F.min(F.struct("doc_id", "h")).alias("o")).join(ids, "k", "left_semi")
+    one = common.cut(one.select("o.doc_id", "k", "o.h"))
     sets = common.cut(_sets(docs, one))
     tested = None
-    for _ in range(STAR_ROUNDS):
+    for left in reversed(range(STAR_ROUNDS)):
         pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         now = common.cut(verify(pairs, sets, least))
         tested = now if tested is None else tested.union(now)
-        if _ + 1 < STAR_ROUNDS:
+        if left:
             lo, hi = F.least(edges["a"], edges["b"]), F.greatest(edges["a"], edges["b"])
             bad = now.where("not ok").select(F.col("a").alias("x"), F.col("b").alias("y"))
             edges = common.cut(common.regroup(edges.join(bad, (lo == bad["x"]) & (hi == bad["y"])).select("key", F.col("a").alias("id"))))
     found = tested.where("ok").select("a", "b")
     roots = common.components(found)
-    several = prints.where("bands is not null").join(ids, "k", "left_semi")
+    several = prints.where("bands is not null").join(one.select("k", "h"), ["k", "h"], "left_semi").dropDuplicates(["k"])
     members = several.select("k", "size", F.explode("bands").alias("key")).distinct()
     members = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     members = members.select("key", F.col("k").alias("id"), "root", "size")
-    return found.union(common.across(members, sets, lambda s: [np.frombuffer(x, np.uint64) for x in s], least))
+    more = common.across(members, sets, lambda s: [np.frombuffer(x, np.uint64) for x in s], least)
+    return common.joined(roots, more).withColumnRenamed("node", "k").join(one.select("k", "h"), "k").select("k", "h", "root")
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``doc_id, class_id, n_class``: class_id is the least doc_id of the component of equal or similar texts.
 
-    Texts are compared as lower-cased words. One without words, or without a doc_id, is a class of its own; rows with
-    the same doc_id and text count once each in ``n_class``. Other columns aren't looked at.
+    Texts are compared as lower-cased words; all texts without words (null ones too) are equal. A row without a doc_id is
+    a class of its own; rows with the same doc_id and text count once each in ``n_class``. Other columns aren't looked at.
     """
     prints = common.cut(fingerprints(docs))
-    found = common.cut(links(docs, prints, least))
-    roots = common.components(found) if not found.isEmpty() else found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    texts = prints.where("k is not null and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    texts = texts.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    groups = texts.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_class"))
-    by_text = common.cut(texts.join(groups, "root").select("k", "class_id", "n_class"))
-    out = prints.select("doc_id", "k").join(by_text, "k", "left")
-    own = F.col("k").isNull() | F.col("doc_id").isNull()
+    roots = links(docs, prints, least)
+    texts = prints.where("doc_id is not null").groupBy("k", "h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    group = F.when(F.col("root").isNotNull(), F.struct("root", F.lit(None).cast("long").alias("h"))).otherwise(F.struct(F.col("k").alias("root"), "h"))
+    texts = texts.join(roots, ["k", "h"], "left").withColumn("g", group)
+    groups = texts.groupBy("g").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_class"))
+    by_text = common.cut(texts.join(groups, texts["g"].eqNullSafe(groups["g"])).select("k", "h", "class_id", "n_class"))
+    out = prints.select("doc_id", "k", "h").join(by_text, ["k", "h"], "left")
+    own = F.col("doc_id").isNull()
     return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.lit(1).cast("long")).otherwise(F.col("n_class")).alias("n_class"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` with one document of each class, that of least doc_id; rows without doc_id stay."""
+    """The rows of ``docs`` with one document of each class, that of least doc_id, one row of it; rows without doc_id stay.
+
+    Of the texts without words, null ones too, one stays. Other columns stay as they are.
+    """
     first = classes(docs, least).where("doc_id = class_id").select("doc_id").distinct()
     mine = docs.where("doc_id is not null").join(first.hint("shuffle_hash"), "doc_id", "left_semi")
     # a doc_id given twice: one row of it
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     single = mine.join(twice.hint("shuffle_hash"), "doc_id", "left_anti")
     rest = mine.join(twice.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(rest).unionByName(docs.where("doc_id is null"))
+    return single.unionByName(rest).unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))

@@ -124,7 +124,7 @@ def test_lines(docs):
     def find(x):
         return x if root[x] == x else find(root[x])
 
-    sets = [lines._set(n) for n in names]
+    sets = [lines.shingles(n).tolist() for n in names]
     for j, s in enumerate(sets):
         root[j], shared = j, Counter()
         for g in s:
@@ -231,16 +231,12 @@ def _same_band_components(keys, alike):
     return {frozenset(j for j in range(len(keys)) if find(j) == r) for r in {find(i) for i in range(len(keys))}}
 
 
-def _groups(n, at, edges):
-    root = {i: i for i in range(n)}
-
-    def find(x):
-        return x if root[x] == x else find(root[x])
-
-    for r in edges:
-        a, b = find(at[r.a]), find(at[r.b])
-        root[max(a, b)] = min(a, b)
-    return {frozenset(j for j in root if find(j) == r) for r in {find(i) for i in root}}
+def _groups(at, roots):
+    """Sets of texts of one root; ``roots`` by id, texts without one are alone."""
+    groups = defaultdict(set)
+    for k, i in at.items():
+        groups[roots.get(k, k)].add(i)
+    return set(map(frozenset, groups.values()))
 
 
 @pytest.mark.parametrize("block", [None, 3000])
@@ -255,11 +251,11 @@ def test_lines_of_one_template(spark, monkeypatch, block):
         slot = draw(6)
         texts += [head + slot, head + slot[:4] + draw(2)]
     texts = sorted(set(texts))
-    sets = [lines._set(x) for x in texts]
     want = _same_band_components(lines.band_keys(lines.signatures(texts)), lambda i, j: lines.jaccard(texts[i], texts[j]) >= 0.9)
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
-    got = _groups(len(texts), {lines.line_id(x): i for i, x in enumerate(texts)}, lines.links(docs, 0.9).collect())
-    assert sets and 1 < len(want) and got == want
+    plain = docs.selectExpr("doc_id AS ord", "doc_id AS r", "doc_id AS q", "text")
+    got = _groups({int(k): i for i, k in enumerate(lines.line_ids(texts)[0])}, {r.node: r.root for r in lines.links(plain, 0.9)[0].collect()})
+    assert 1 < len(want) and got == want
 
 
 @pytest.mark.parametrize("block", [None, 20_000])
@@ -279,7 +275,7 @@ def test_near_duplicates_of_one_boilerplate(spark, monkeypatch, block):
     want = _same_band_components(keys, lambda i, j: neardup.similar(sets[i].tobytes(), sets[j].tobytes()) >= 0.85)
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
     prints = neardup.common.cut(neardup.fingerprints(docs))
-    got = _groups(len(texts), {neardup.key_of(x): i for i, x in enumerate(texts)}, neardup.links(docs, prints, 0.85).collect())
+    got = _groups({neardup.key_of(x)[0]: i for i, x in enumerate(texts)}, {r.k: r.root for r in neardup.links(docs, prints, 0.85).collect()})
     assert 1 < len(want) and got == want
 
 
