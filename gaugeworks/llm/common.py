@@ -353,3 +353,41 @@ def across(members: DataFrame, payloads: DataFrame, to_sets: Callable[[list], li
 
     dealt = rows.repartition("deal").sortWithinPartitions("deal", "key", "x", "y").select("key", "x", "y", "left", "same", "id", "root", "keys", "s")
     return cut(dealt.mapInArrow(run, "a long, b long"))
+
+
+STAR_ROUNDS = 2
+
+
+def linked(edges: DataFrame, verify: Callable[[DataFrame], DataFrame], sizes: DataFrame, payloads: DataFrame, to_sets: Callable[[list], list[np.ndarray]], least: float) -> DataFrame:
+    """``node, root``: components of similar ids, from stars ``key, a, b`` of bands. ``verify`` adds ``ok`` to pairs ``a, b``;
+    ``sizes`` has ``id, size`` of each id; ``payloads`` and ``to_sets`` are as in ``across``.
+
+    Members of a band that failed against their centre meet another one. Then all pairs of a band whose ids ended in
+    different components are compared, so two similar ids that share a band are always joined. A band of two is done
+    after its first star.
+    """
+    spark = edges.sparkSession
+    every, tested, failing = edges, None, None
+    for left in reversed(range(STAR_ROUNDS)):
+        pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        now = cut(verify(pairs))
+        tested = now if tested is None else tested.union(now)
+        if failing is None:  # bands of three or more whose star isn't one component
+            bad = now.where("not ok").select(F.col("a").alias("x"), F.col("b").alias("y"))
+            failed = edges.join(bad, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("key", F.col("a").alias("id"))
+            large = edges.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+            failing = cut(failed.join(large, "key", "left_semi"))
+        if left:
+            edges = cut(regroup(failing))
+        release(spark)
+    roots = components(tested.where("ok").select("a", "b"))
+    release(spark)
+    some = every.join(failing.select("key").distinct(), "key", "left_semi")
+    members = some.select("key", F.col("a").alias("id")).union(some.select("key", F.col("b").alias("id"))).distinct()
+    members = members.join(sizes, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    more = across(cut(members.select("key", "id", "root", "size")), payloads, to_sets, least)
+    out = joined(roots, more)
+    release(spark)
+    return out

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,6 @@ from gaugeworks.llm import common
 SHINGLE, SIMILAR = 8, 0.8
 BANDS, ROWS = 9, 5  # a pair at 0.8 is missed with a chance of (1 - 0.8**5)**9 = 0.03, at 0.9 of 0.0003
 BINS = BANDS * ROWS
-STAR_ROUNDS = 2
 SLICE, SEEN, TEXTS = 1 << 18, 400_000, 32 << 20
 _NONE = 2**63 - 1
 FILTER_BITS = 27  # the filter that spares other lines a shuffle has this fixed size
@@ -250,38 +250,17 @@ def links(docs: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame
     """``node, root``: components of line ids; ``k, h, ord, r, q, at``: first places of the lines in bands with others;
     ``r, q, at``: places that repeat an earlier line to the letter. ``docs`` has ord, r, q, text.
 
-    The centre of a star varies from band to band; members of a band that failed against it meet another one. Then all
-    pairs of a band whose lines ended in different components are compared, so two similar lines that share a band are
-    always joined."""
+    Two similar lines that share a band are always joined (``common.linked``)."""
     met = common.cut(_scan(docs))
     common.release(docs.sparkSession)
     edges, again = common.edges_of(met), met.where(F.col("kind") == common.GONE).selectExpr("x AS r", "y AS q", "z AS at")
     ids = common.cut(edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "k"))
     wanted = common.cut(_linked(docs, ids))
-    texts = wanted.select("k", "h", "s").dropDuplicates(["k"])
-    tested, every, failing = None, edges, None
-    for left in reversed(range(STAR_ROUNDS)):
-        pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        now = common.cut(_verify(pairs, texts, least))
-        tested = now if tested is None else tested.union(now)
-        bad = now.where("not ok").select(F.col("a").alias("x"), F.col("b").alias("y"))
-        failed = edges.join(bad, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("key", F.col("a").alias("id"))
-        if failing is None:  # bands whose first star isn't one component
-            failed = common.cut(failed)
-            failing = failed.select("key").distinct()
-        if left:
-            edges = common.cut(common.regroup(failed))
-    found = tested.where("ok").select("a", "b")
-    roots = common.components(found)
-    named = roots.withColumnRenamed("node", "k")
-    nodes = texts.join(named, "k", "left").select(F.col("k").alias("id"), F.coalesce("root", "k").alias("root"), F.length("s").alias("size"))
-    some = every.join(failing, "key", "left_semi")
-    members = some.select("key", F.col("a").alias("id")).union(some.select("key", F.col("b").alias("id"))).distinct().join(nodes, "id")
-    more = common.across(common.cut(members), texts.select("k", "s"), lambda lines: [shingles(x) for x in lines], least)
-    firsts = wanted.join(texts.select("k", "h"), ["k", "h"], "left_semi").select("k", "ord", "r", "q", "at")
-    return common.joined(roots, more), firsts, again
+    texts = common.cut(wanted.select("k", "h", "s").dropDuplicates(["k"]))
+    sizes = texts.select(F.col("k").alias("id"), F.length("s").alias("size"))
+    roots = common.linked(edges, lambda pairs: _verify(pairs, texts, least), sizes, texts.select("k", "s"), lambda lines: [shingles(x) for x in lines], least)
+    firsts = wanted.select("k", "h", "ord", "r", "q", "at").join(texts.select("k", "h"), ["k", "h"], "left_semi").select("k", "ord", "r", "q", "at")
+    return roots, firsts, again
 
 
 def gone_places(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -310,17 +289,15 @@ def dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, total, removed = [], [], []
-            for text, cuts in zip(b.column(place).to_pylist(), b.column(len(own)).to_pylist(), strict=True):
-                total.append(text.count("\n") + 1 if text else 0)
-                removed.append(len(cuts or ()))
-                if cuts:
-                    out = set(cuts)
-                    text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in out])
-                texts.append(text)
-            cols = list(b.columns[: len(own)])
-            cols[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=names)
+            cols, gone = list(b.columns[: len(own)]), b.column(len(own))
+            text = cols[place]
+            total = pc.if_else(pc.equal(pc.binary_length(text), 0), 0, pc.add(pc.count_substring(text, "\n"), 1)).fill_null(0)
+            hit, new = gone.is_valid(), []
+            for t, cuts in zip(text.filter(hit).to_pylist(), gone.filter(hit).to_pylist(), strict=True):
+                out = set(cuts)
+                new.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in out]))
+            cols[place] = pc.replace_with_mask(text, hit, pa.array(new, text.type))
+            yield pa.RecordBatch.from_arrays([*cols, total.cast(pa.int64()), pc.list_value_length(gone).fill_null(0).cast(pa.int64())], names=names)
 
     matched = docs.withColumns({kr: r, kq: q}).join(gone, [kr, kq], "left").select(*(f"`{c}`" for c in own), kg)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), *(f"`{c}` long" for c in names[len(own) :])])

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from gaugeworks.llm import common
 
 SHINGLE, SIMILAR = 5, 0.8
-STAR_ROUNDS = 2
 BANDS, ROWS = 20, 5  # a pair at 0.8 is missed with a chance of (1 - 0.8**5)**20 = 0.0004
 REGISTERS = BANDS * ROWS
 SLICE = 4 << 20
@@ -153,9 +152,8 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def links(docs: DataFrame, prints: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """``k, h, root``: components of similar texts, of each that has a similar one. Each band's members meet a centre that
-    varies by band; those that fail against it meet another one. At last all pairs of a band whose texts ended in different
-    components are compared, where the sizes allow a link, so two similar texts that share a band are always joined."""
+    """``k, h, root``: components of similar texts, of each that has a similar one. Two similar texts that share a band
+    are always joined (``common.linked``)."""
     n = common.deals(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,25 +169,9 @@ def links(docs: DataFrame, prints: DataFrame, least: float = SIMILAR) -> DataFra
     one = prints.where("bands is not null and doc_id is not null").groupBy("k").agg(F.min(F.struct("doc_id", "h")).alias("o")).join(ids, "k", "left_semi")
     one = common.cut(one.select("o.doc_id", "k", "o.h"))
     sets = common.cut(_sets(docs, one))
-    tested = None
-    for left in reversed(range(STAR_ROUNDS)):
-        pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        now = common.cut(verify(pairs, sets, least))
-        tested = now if tested is None else tested.union(now)
-        if left:
-            lo, hi = F.least(edges["a"], edges["b"]), F.greatest(edges["a"], edges["b"])
-            bad = now.where("not ok").select(F.col("a").alias("x"), F.col("b").alias("y"))
-            edges = common.cut(common.regroup(edges.join(bad, (lo == bad["x"]) & (hi == bad["y"])).select("key", F.col("a").alias("id"))))
-    found = tested.where("ok").select("a", "b")
-    roots = common.components(found)
-    several = prints.where("bands is not null").join(one.select("k", "h"), ["k", "h"], "left_semi").dropDuplicates(["k"])
-    members = several.select("k", "size", F.explode("bands").alias("key")).distinct()
-    members = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    members = members.select("key", F.col("k").alias("id"), "root", "size")
-    more = common.across(members, sets, lambda s: [np.frombuffer(x, np.uint64) for x in s], least)
-    return common.joined(roots, more).withColumnRenamed("node", "k").join(one.select("k", "h"), "k").select("k", "h", "root")
+    sizes = sets.select(F.col("k").alias("id"), (F.octet_length("s") / 8).cast("int").alias("size"))
+    roots = common.linked(edges, lambda pairs: verify(pairs, sets, least), sizes, sets, lambda s: [np.frombuffer(x, np.uint64) for x in s], least)
+    return roots.withColumnRenamed("node", "k").join(one.select("k", "h"), "k").select("k", "h", "root")
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
