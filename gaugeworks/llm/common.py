@@ -73,6 +73,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a written table of the shared folder."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of phases whose results have been cut."""
     gc.collect()
