@@ -1,8 +1,10 @@
 """Personal data: base patterns with exact places, and bootstrapped contextual extraction. DataFrame operations only.
 
-Base matches seed a graph of instances (tokens with a digit) and lexical patterns (the word before, and the token's
-shape). Patterns are scored by the share of their occurrences that are known for a kind, instances by their best
-pattern, in turns; what scores enough is known in the next turn. Unseen identifiers found so are added as spans.
+Base matches, and values that text itself names as a token, key or password, seed a graph of instances (mentions: runs
+of ASCII or Latin characters with a digit or @, and phone- or card-like runs with blanks) and lexical patterns (the
+word before with the mention's shape, the word after with it, and the shape alone). Patterns are scored by the share of
+their occurrences that are known for a kind, instances by their best pattern, in turns; what scores enough is known in
+the next turn. Unseen identifiers found so are added as spans.
 """
 
 from __future__ import annotations
@@ -11,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import cut
+from gaugeworks.llm.common import cut, row_id
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4  # kinds with a given pattern
 #: The given patterns with possessive repeats where nothing is given back, and no starts inside a run that failed already.
 PATTERNS = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -21,27 +24,37 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-TURNS, LEAST_SCORE, LEAST_SEEDS = 3, 0.8, 3
-
-
-def _places(docs: DataFrame, patterns: list[tuple[int, str]], keep_gap: bool = False) -> DataFrame:
-    """``r, kind, start, end, value``: leftmost matches that don't overlap, by code points.
+_T = r"[!#-&(-+\--:?-Z\\^-z~\u00C0-\u024F]"  # a mention's characters: graphic ones but quotes, commas, brackets, braces and = ; < > |
+_FREE = r"[!#-&(-+\--/:?A-Z\\^-z~\u00C0-\u024F]"  # those but digits and @
+MENTION = rf"(?<!{_T})(?:\+[0-9][\x20().0-9-]+[0-9](?!{_T})|[0-9](?:[\x20-]?[0-9])++(?!{_T})|{_FREE}*+[0-9@]{_T}*+)"
+LAST_WORD = r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)([^\p{L}\p{N}_]*+)$"
+FIRST_WORD = r"^[^\p{L}\p{N}_]*+([\p{L}\p{N}_]++)"
+#: Names that text gives to a secret before = or :.
+CUES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "access_key", "secret_key", "auth", "bearer")
+TURNS, LEAST_SCORE, LEAST_SEEDS, LEAST_SECRET = 3, 0.8, 3, 8
+NEAR = 256  # spans are matched with mentions by stretches of so many characters
+LONG = 80  # a longer name of an instance or pattern is replaced by its digest
+
+
+def _places(docs: DataFrame, patterns: list[tuple[int, str]], around: bool = False) -> DataFrame:
+    """``r, kind, start, end, value``: leftmost matches that don't overlap, by code points; ``around``: the text up to the
+    match before and after too.
 
     Matches and the text between them alternate; starts are running sums over a document's matches of a kind.
     """
     text = F.col("text")
-    each = [
-        F.struct(F.lit(k).alias("kind"), F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("value"), F.slice(F.split(text, p, -1), 1, F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0)))).alias("gap")).alias("m"))
-        for k, p in patterns
-    ]
-    rows = docs.where(text.rlike("[0-9@]")).select("r", F.explode(F.array(*each)).alias("x")).select("r", "x.kind", F.posexplode("x.m").alias("at", "m"))
-    gap = F.col("m.gap")
-    rows = rows.select("r", "kind", "at", F.col("m.value").alias("value"), F.length(gap).alias("gap"), F.length("m.value").alias("size"), *([F.right(gap, F.lit(80)).alias("before")] if keep_gap else []))
+    found = docs.where(text.rlike("[0-9@]")).select("r", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("v"), F.split(text, p, -1).alias("g")) for k, p in patterns))).alias("x"))
+    found = found.select("r", "x.*").where(F.size("v") > 0)
+    rows = found.select("r", "kind", "g", F.posexplode("v").alias("at", "value")) if around else found.select("r", "kind", F.posexplode(F.arrays_zip("v", F.slice("g", 1, F.size("v")).alias("g"))).alias("at", "m")).select("r", "kind", "at", F.col("m.v").alias("value"), F.col("m.g").alias("before"))
+    if around:
+        rows = rows.select("r", "kind", "at", "value", F.get("g", F.col("at")).alias("before"), F.get("g", F.col("at") + 1).alias("after"))
+        last, first = (F.regexp_extract("before", LAST_WORD, i) for i in (1, 2)), F.regexp_extract("after", FIRST_WORD, 1)
+        rows = rows.withColumns({"word": next(last), "link": next(last), "next": first})
+    rows = rows.select("r", "kind", "at", "value", F.length("before").alias("gap"), F.length("value").alias("size"), *(["word", "link", "next"] if around else []))
     rows = rows.dropDuplicates(["r", "kind", "at"])  # of rows given twice
     upto = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("r", "kind").orderBy("at"))
     out = rows.withColumn("end", upto.cast("int")).withColumn("start", (F.col("end") - F.col("size")).cast("int"))
-    return out.select("r", "kind", "start", "end", "value", *(["before", "at"] if keep_gap else []))
+    return out.select("r", "kind", "start", "end", "value", *(["word", "link", "next"] if around else []))
 
 
 def _digits(value: Column) -> Column:
@@ -70,29 +83,45 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return found.where(good)
 
 
+def _name(x: Column) -> Column:
+    return F.when(F.length(x) > LONG, F.sha2(x, 256)).otherwise(x)
+
+
 def shape(token: Column) -> Column:
-    low = F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), "[0-9]+", "9")
-    return F.substring(low, 1, 40)
+    """Runs of letters become a, each digit 9, and a run of 12 or more that mixes both X with its length."""
+    mixed = r"(?<![A-Za-z0-9])(?=[A-Z]*+[0-9]++[A-Z]|[a-z]*+[0-9]++[a-z]|[A-Za-z]++[0-9])[A-Za-z0-9]{12,}+"
+    size = F.length(F.regexp_extract(token, mixed, 0)).cast("string")
+    low = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, mixed, "\u0001"), r"\p{L}++", "a"), "[0-9]", "9")
+    return F.regexp_replace(low, "\u0001", F.concat(F.lit("X"), size))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Tokens with a digit: ``r, start, end, instance, pattern``. The instance is the token without punctuation at its ends."""
-    t = _places(docs, [(0, TOKEN)], keep_gap=True)
-    near = F.lower(F.regexp_extract("before", r"(\S+)\s*$", 1))
-    near = F.when(near == "", F.lag("value", 1, "").over(W.partitionBy("r").orderBy("at"))).otherwise(near)
-    trim = F.regexp_extract("value", r"^[^\p{L}\p{N}+(]*+(.*?)[^\p{L}\p{N})]*$", 1)
-    t = t.withColumns({"instance": trim, "lead": F.length(F.regexp_extract("value", r"^([^\p{L}\p{N}+(]*+)", 1)), "near": F.substring(near, 1, 60)}).where(F.length("value") <= 200)
-    start = (F.col("start") + F.col("lead")).cast("int")
-    return t.select("r", start.alias("start"), (start + F.length("instance")).cast("int").alias("end"), "instance", F.concat_ws(" ", "near", shape(F.col("instance"))).alias("pattern")).where("instance <> ''")
-
-
-def discover(found: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``r, kind, start, end``: tokens outside base spans whose instance the graph comes to know."""
-    b, c = found.select("r", "kind", F.col("start").alias("s"), F.col("end").alias("e")), tokens
-    over = (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
-    seeds = c.join(b, "r").where(over)
-    known = cut(seeds.groupBy("instance", "kind").agg(F.lit(1.0).alias("score")))
-    edges = cut(c.groupBy("pattern", "instance").agg(F.count("*").alias("n")))
+    """Mentions: ``r, start, end, instance, named, patterns``. The instance is the mention without punctuation at its ends;
+    ``named`` says that the text before calls it a secret."""
+    t = _places(docs, [(0, MENTION)], around=True)
+    lead = F.regexp_extract("value", r"^([^\p{L}\p{N}+(]*+)", 1)
+    instance = F.regexp_replace(F.regexp_replace("value", r"^[^\p{L}\p{N}+(]++", ""), r"(?<=[\p{L}\p{N})])[^\p{L}\p{N})]++$", "")
+    word, quoted = F.lower("word"), F.col("link").rlike("[=:]")
+    t = t.withColumns({"instance": instance, "start": (F.col("start") + F.length(lead)).cast("int")}).where("instance <> ''")
+    t = t.withColumns({"end": (F.col("start") + F.length("instance")).cast("int"), "form": shape(F.col("instance"))})
+    named = word.isin(*CUES) & quoted & (F.length("instance") >= LEAST_SECRET) & F.col("instance").rlike("[0-9]")
+    told = [F.concat_ws(" ", word, F.col("form"), F.lit("<")), F.concat_ws(" ", F.col("form"), F.lower("next"), F.lit(">")), F.concat(F.col("form"), F.lit(" ="))]
+    return t.select("r", "start", "end", _name(F.col("instance")).alias("instance"), named.alias("named"), F.array(*map(_name, told)).alias("patterns"))
+
+
+def _stretches(start: str, end: str) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(start) / NEAR), F.floor((F.greatest(F.col(end) - 1, F.col(start))) / NEAR)))
+
+
+def discover(found: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``r, kind, start, end``: mentions outside base spans whose instance the graph comes to know."""
+    b = found.select("r", "kind", F.col("start").alias("s"), F.col("end").alias("e")).withColumn("near", _stretches("s", "e"))
+    c = mentions.withColumn("near", _stretches("start", "end"))
+    met = c.join(b, ["r", "near"]).where((F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))).select("r", "start", "instance", "kind").distinct()
+    met = cut(met)
+    named = mentions.where("named").select("r", "start", "instance", F.lit(BASE).alias("kind")).join(met.select("r", "start"), ["r", "start"], "left_anti")
+    known = cut(met.select("instance", "kind").union(named.select("instance", "kind")).distinct().withColumn("score", F.lit(1.0)))
+    edges = cut(mentions.select("instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("n")))
     totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
     for _ in range(TURNS):
         share = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hit"), F.count("*").alias("seeds"))
@@ -100,7 +129,7 @@ def discover(found: DataFrame, tokens: DataFrame) -> DataFrame:
         reached = edges.join(good, "pattern").groupBy("instance", "kind").agg(F.max("score").alias("score"))
         known = cut(known.unionByName(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")))
     best = known.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("kind"))
-    free = c.join(b.select("r", "s", "e"), (c["r"] == b["r"]) & over, "left_anti")
+    free = mentions.join(met.select("r", "start").distinct(), ["r", "start"], "left_anti")
     return free.join(best, "instance").select("r", "kind", "start", "end")
 
 
@@ -110,20 +139,23 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: counts of base spans, their digest, and all spans.
+    """Per row of ``docs``: counts of base spans by kind (``n_email`` to ``n_phone``), their digest, all spans, and the
+    number of spans that discovery added (``n_found``).
 
-    Null and empty texts have none. Repeated rows get the same result. Only doc_id and text are looked at.
+    Null and empty texts have none; an empty table gives no rows. Repeated rows get the same result. Only doc_id and text
+    are looked at.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("r", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("r", F.struct(*row_id()))
     texts = keyed.select("r", "text")
     found = cut(base_spans(texts))
     added = discover(found.drop("value"), cut(candidates(texts)))
     one = F.struct("start", "kind", "end")
-    base = found.groupBy("r").agg(*(F.sum((F.col("kind") == k).cast("long")).alias(f"n_{n}") for k, n in enumerate(KINDS)), F.collect_list(one).alias("base"))
-    every = found.select("r", "kind", "start", "end").unionByName(added).groupBy("r").agg(F.collect_set(one).alias("every"))
-    out = keyed.select("doc_id", "r").join(base, "r", "left").join(every, "r", "left")
+    base = found.groupBy("r").agg(*(F.sum((F.col("kind") == k).cast("long")).alias(f"n_{n}") for k, n in enumerate(KINDS[:BASE])), F.collect_list(one).alias("base"))
+    more = added.groupBy("r").agg(F.collect_set(one).alias("more"))
+    out = keyed.select("doc_id", "r").join(base, "r", "left").join(more, "r", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    spans, rest = F.coalesce("base", none), F.coalesce("more", none)
     return out.select(
-        "doc_id", *(F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}") for n in KINDS),
-        F.sha2(_joined(F.coalesce("base", none)), 256).alias("base_sha256"), _joined(F.coalesce("every", none)).alias("spans"),
+        "doc_id", *(F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}") for n in KINDS[:BASE]),
+        F.sha2(_joined(spans), 256).alias("base_sha256"), _joined(F.concat(spans, rest)).alias("spans"), F.size(rest).cast("long").alias("n_found"),
     )
