@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
 Training takes at most ``SAMPLE`` labelled rows (those of least hash of doc_id), so what reaches the driver is bounded:
-that many feature rows and at most ``LEXICON`` words. Scoring maps every text on its own.
+that many feature rows and the words that LEAST_DOCS of them share. The lexicon and the trees that calibrate a fold come
+from the other folds. Scoring maps every text on its own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, LEXICON, LEAST_DOCS = 12_000, 300, 8
+SAMPLE, LEAST_DOCS, LEAST_ODDS, FOLDS = 12_000, 8, 2.5, 3
 SECOND = frozenset(["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "vous", "votre", "vos", "ti", "tú", "usted", "ustedes", "su"])
 #: Look-alike characters and the letters they stand for.
 LOOK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
@@ -143,34 +144,51 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
+def _lexicon(words: list[tuple[str, list[int], list[int]]], n_toxic: list[int], n_clean: list[int], without: int | None) -> dict[str, float]:
+    """Log odds of the words that mark toxic texts, by the texts of all folds but one."""
+    keep = [f for f in range(FOLDS) if f != without]
+    p, q = sum(n_toxic[f] for f in keep), sum(n_clean[f] for f in keep)
+    out = {}
+    for w, toxic, clean in words:
+        a, b = sum(toxic[f] for f in keep), sum(clean[f] for f in keep)
+        odds = float(np.log((a + 0.5) / max(p, 1)) - np.log((b + 0.5) / max(q, 1)))
+        if a >= LEAST_DOCS * len(keep) / FOLDS and odds > LEAST_ODDS:
+            out[w] = odds
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict | None:
     """The model, or None without labels of both kinds."""
-    rows = sample(docs, labels, most)
-    once = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))  # equal texts count once
-    n = once.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
-    if not n["p"] or n["p"] == n["n"]:
+    rows = sample(docs, labels, most).where("text is not null").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int"))
+    once = rows.groupBy("text", "fold").agg(F.max("toxic").alias("toxic"))  # equal texts count once
+    of = {(r.fold, r.toxic): r.n for r in once.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = ([of.get((f, t), 0) for f in range(FOLDS)] for t in (1, 0))
+    if not sum(n_toxic) or not sum(n_clean):
         return None
     whole = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     starts = F.transform(F.filter(whole, lambda w: F.length(w) > 5), lambda w: F.concat(F.lit("^"), F.substring(w, 1, 5)))  # for inflected forms
-    words = once.select("toxic", F.explode(F.array_distinct(F.concat(whole, starts))).alias("w"))
-    odds = F.log((F.col("a") + 0.5) / n["p"]) - F.log((F.col("b") + 0.5) / (n["n"] - n["p"]))
-    best = words.groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(f"a >= {LEAST_DOCS}")
-    best = best.select("w", odds.alias("odds"), "a").where("odds > 2.5").orderBy(F.desc("a"), "w").limit(LEXICON)
-    lexicon = {r.w: r.odds for r in best.collect()}
+    words = once.select("fold", "toxic", F.explode(F.array_distinct(F.concat(whole, starts))).alias("w"))
+    count = lambda f, t: F.sum(((F.col("fold") == f) & (F.col("toxic") == t)).cast("int")).alias(f"{'ab'[1 - t]}{f}")
+    found = words.groupBy("w").agg(*(count(f, t) for t in (1, 0) for f in range(FOLDS)))
+    found = found.where(f"a0 + a1 + a2 >= {LEAST_DOCS} * 2 / 3").orderBy("w").collect()
+    table = [(r["w"], [r[f"a{f}"] for f in range(FOLDS)], [r[f"b{f}"] for f in range(FOLDS)]) for r in found]
+    lexica = [_lexicon(table, n_toxic, n_clean, f) for f in (*range(FOLDS), None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column(0).to_pylist(), lexicon)
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x.tolist(), pa.list_(pa.float64())), "y": b.column(1).cast(pa.int32()), "k": b.column(2)})
+            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                x = np.concatenate([matrix(part.column(0).to_pylist(), lex) for lex in lexica], 1)
+                yield pa.RecordBatch.from_pydict({"x": pa.array(x.tolist(), pa.list_(pa.float64())), "y": part.column(1).cast(pa.int32()), "fold": part.column(2), "k": part.column(3)})
 
-    got = rows.select("text", "toxic", F.xxhash64(F.lit("fold"), "doc_id").alias("k")).mapInArrow(run, "x array<double>, y int, k long").toPandas().sort_values("k", kind="stable")
-    x, y, fold = np.array(got["x"].tolist()), got["y"].to_numpy(float), got["k"].to_numpy() % 3
+    got = rows.select("text", "toxic", "fold", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(run, "x array<double>, y int, fold int, k long").toPandas().sort_values("k", kind="stable")
+    every, y, fold = np.array(got["x"].tolist()).reshape(len(got), FOLDS + 1, N_FEATURES), got["y"].to_numpy(float), got["fold"].to_numpy()
     loose = np.full(len(y), 0.0)
-    for f in range(3):
+    for f in range(FOLDS):
         rest = fold != f
         if 0 < y[rest].sum() < rest.sum():
+            x = every[:, f]
             loose[~rest] = Trees().fit(x[rest], y[rest]).predict(x[~rest])
-    return {"lexicon": lexicon, "trees": Trees().fit(x, y), "knots": isotonic(loose, y)}
+    return {"lexicon": lexica[-1], "trees": Trees().fit(every[:, -1], y), "knots": isotonic(loose, y)}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -188,6 +206,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row of ``docs``; repeated rows are scored alike, a null doc_id isn't held out."""
+    """``doc_id, held_out, score, predicted`` for each row of ``docs``; repeated rows are scored alike, a null doc_id isn't held out,
+    null and empty texts are scored by features of zero, an empty table gives no rows; other columns aren't looked at."""
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
