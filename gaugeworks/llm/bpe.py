@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -45,7 +46,7 @@ class Encoder:
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.quick = regex.compile(pattern), pattern == public_tokenizers.PATTERN
         self.trie, self.id_of = ahocorasick.Automaton(), {}
         self.longest_token = max(map(len, self.ranks))
         for token, i in self.ranks.items():
@@ -130,7 +131,9 @@ class Encoder:
         return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        """Cut before each blank that a non-blank follows: no match of the pattern goes over such a place."""
+        """With the dealt pattern, cut before each blank that a non-blank follows: no match goes over such a place. Others run over the whole text."""
+        if not self.quick:
+            return array("I", [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode())]).tobytes()
         first, *rest = _BEFORE_WORD.split(text)
         get, out = self.chunks.get, [self._packed(first)]
         for chunk in rest:
@@ -174,7 +177,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     """``id, ids binary (little-endian u32), decoded binary`` for each row; null and empty texts give no ids.
 
     ``rank_path`` lies on the driver; with ``ship`` Spark sends that one file, whose size does not grow with the
-    data, to each executor once. Rows are independent: repeated rows give repeated results, other columns don't matter.
+    data, to each executor once. Rows are independent: repeated rows give repeated results, other columns don't matter, an empty table gives no rows.
     """
     where = rank_path
     if ship:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gaugeworks.llm.common import enter, raw_texts
+from gaugeworks.llm.common import enter, fresh, raw_texts
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20  # item text of one automaton; more items make more automata, each passed over the documents
+SHARD_BYTES = 3 << 20  # item text of one automaton (about 120 bytes of memory a byte); more items make more automata, each passed over the documents
 #: A-Z to lower case; digits, letters and all bytes of non-ASCII characters are words, the rest are blanks.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -27,7 +27,7 @@ def words_of(raw: bytes) -> list[bytes]:
 class Automaton:
     """States of all item suffixes. ``advance`` keeps the longest suffix of the stream that some item holds."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.ids = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
@@ -125,7 +125,7 @@ class Automaton:
 
 def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[bool, list[tuple[str, list[bytes]]]]]:
     """Items by hash in shards of bounded text, so that neither the driver nor a broadcast grows with the table; whether it is the last."""
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null")
+    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = total // SHARD_BYTES + 1
     for k in range(n):
@@ -137,10 +137,12 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     item's window covers, and ``_items`` (ids as strings, sorted).
 
     An item of fewer words than a window is one window; items without words have none. Null or empty texts have no
-    words. Repeated documents are judged each; repeated item ids count once. With no items nothing is hit.
+    words. Repeated documents are judged each; repeated item ids count once; an item without an id hits words but is not
+    named. With no items nothing is hit. Where ``docs`` has such columns the three get more underscores.
     ``then`` maps the result further, with its schema, in the same tasks: a second map would need a worker more a core.
     """
-    out = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "_items": F.lit(None).cast("array<string>")})
+    words_, spans_, items_ = fresh(docs.columns, "_words", "_spans", "_items")
+    out = docs.withColumns({words_: F.lit(0).cast("long"), spans_: F.lit(None).cast("array<struct<start:int,end:int>>"), items_: F.lit(None).cast("array<string>")})
     sc = docs.sparkSession.sparkContext
     for final, shard in _shards(items, item_id, item_text):
         sent = sc.broadcast(shard)
@@ -157,7 +159,7 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
                     new, found = auto.scan(words)
                     n.append(len(words))
                     spans[i] = _merged(spans[i] or (), new)
-                    names[i] = sorted({*(names[i] or ()), *(auto.names[j] for j in found)})
+                    names[i] = sorted({*(names[i] or ()), *(auto.names[j] for j in found)} - {None})
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 cols = [*b.columns[: last - 3], pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))]
                 whole = pa.RecordBatch.from_arrays(cols, names=b.schema.names)
@@ -196,7 +198,7 @@ def _automaton(sent, key: str, window: int) -> Automaton:
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document the words hit and the items found."""
+    """Per document the words hit and the items found. An empty table gives no rows, other columns aren't looked at; odd rows as in ``find``."""
     hits = find(docs.select("doc_id", "text"), items)
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return hits.select(
@@ -208,7 +210,8 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", most_coverage: float = 0.5) -> DataFrame:
     """Remove hit spans from the text; a document whose words are hit by more than ``most_coverage`` goes.
 
-    Other columns stay as they are; a document without hits keeps its text to the byte.
+    Other columns stay as they are, whatever their names; a document without hits keeps its text to the byte, a null one
+    stays null. Repeated rows are treated alike; an empty table gives no rows.
     """
     place, at = docs.columns.index(text_col), len(docs.columns)
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gaugeworks.llm.common import raw_texts
+from gaugeworks.llm.common import raw_texts, slices
 
 UNIT = 576  # bytes of a row of 9 blocks
 _MASK = (1 << np.arange(16)) - 1
@@ -241,12 +241,13 @@ def average_hash(thumb: np.ndarray) -> str:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, media``: each text as UTF-8, padded and stored as JPEG. Null and empty texts store 576 bytes 255; equal rows stay equal rows."""
+    """``id, media``: each text as UTF-8, padded and stored as JPEG. Null and empty texts store 576 bytes 255; equal rows stay equal rows, an empty table gives none, and other columns aren't looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, raw in enumerate(raw_texts(b.column(1))):  # a long text is held alone
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([encode(pad(raw))], pa.binary())], names=[id_col, "n_bytes", "media"])
+        for batch in batches:
+            for b in slices(batch, text_col, 1 << 20):  # a long text is held alone
+                raws = raw_texts(b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raws), pa.int64()), pa.array([encode(pad(x)) for x in raws], pa.binary())], names=[id_col, "n_bytes", "media"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")

@@ -70,6 +70,23 @@ FROM c LEFT JOIN hit USING (page_id, url, day)
 """
 
 
+OP8_SQL = r"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low, '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+' AS word),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), (SELECT word FROM fold)) AS w FROM documents, fold),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, up, low), (SELECT word FROM fold)) AS w FROM benchmark, fold WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+seen AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win))),
+hit AS (SELECT seen.r, seen.k, seen.n, item FROM seen JOIN win ON seen.n = win.n AND seen.g = win.g),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.report(table(spark, sf_dir, "documents"))
 
@@ -110,4 +127,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_url_filters, op2_sentence_spans, op3_media_columns, op4_fuzzy_lines, op5_quality_classifier, op6_near_duplicates, op7_personal_data, op8_decontamination, op9_byte_bpe, op10_toxicity)
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op8_decontamination": OP8_SQL}

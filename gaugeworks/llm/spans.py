@@ -21,7 +21,7 @@ from gaugeworks.llm import common
 MIN_WORDS, LONE_WORDS, FLUSH = 16, 40, 400_000
 #: A sentence ends behind . ! ? with blanks after it, or at a line's end; the parts joined again are the text.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s)[^.!?\n]*)*(?:[.!?]*\s*\n\s*|[.!?]+\s+|[.!?]*$)")
-_NAMES = ["h1", "h2", "ord", "r", "start", "n", "seat"]
+_NAMES = ["h1", "h2", "ord", "r", "q", "start", "n", "seat"]
 
 
 def sentences(text: str) -> list[str]:
@@ -45,39 +45,39 @@ def runs(parts: list[str]) -> Iterator[tuple[int, int, str]]:
 
 
 def _sort(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns by (h1, h2, ord, r, start), each such place once (rows of equal doc_id and text are one document), and where a new hash begins."""
-    order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))
+    """Columns by (h1, h2, ord, r, q, start), each such place once (rows of equal doc_id and text are one document), and where a new hash begins."""
+    order = np.lexsort(cols[5::-1])
     cols = [c[order] for c in cols]
-    once = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:5]], axis=0)])
+    once = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:6]], axis=0)])
     cols = [c[once] for c in cols]
     return cols, np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
 
 
 def _batch(cols: list[np.ndarray], pick: np.ndarray, done: bool) -> pa.RecordBatch:
     part = [c[pick] for c in cols]
-    seat = common.mix(part[3].view(np.uint64) + part[4].astype(np.uint64)).view(np.int64) if done else part[0]
+    seat = common.mix(part[3].view(np.uint64) + part[5].astype(np.uint64)).view(np.int64) if done else part[0]
     flags = np.full(len(seat), done)
     return pa.RecordBatch.from_arrays([*(pa.array(c) for c in part), pa.array(seat), pa.array(flags)], names=[*_NAMES, "done"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``r, start, n``: each run that isn't the first with its words. A task keeps only its first of each hash for the others to meet."""
+    """``r, q, start, n``: each run that isn't the first with its words. A task keeps only its first of each hash for the others to meet."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             a = np.array(held, np.int64)
-            cols, new = _sort([np.ascontiguousarray(a[:, i]) for i in range(6)])
+            cols, new = _sort([np.ascontiguousarray(a[:, i]) for i in range(7)])
             yield _batch(cols, new, False)
             if not new.all():
                 yield _batch(cols, ~new, True)
 
         for b in batches:
-            for order, r, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for order, r, q, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 for start, n, run in runs(sentences(text or "")):
                     h = xxhash.xxh3_128_intdigest(run.encode("utf-8", "surrogatepass"))
-                    held.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), order, r, start, n))
+                    held.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), order, r, q, start, n))
                     if len(held) >= FLUSH:
                         yield from flush()
                         held.clear()
@@ -87,33 +87,33 @@ def repeats(docs: DataFrame) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
         for b in batches:
-            done = b.column(7).to_numpy(zero_copy_only=False)
-            cols = [b.column(i).to_numpy() for i in range(6)]
+            done = b.column(8).to_numpy(zero_copy_only=False)
+            cols = [b.column(i).to_numpy() for i in range(7)]
             kept.append([c[~done] for c in cols])
             if done.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cols[i][done]) for i in (3, 4, 5)], names=["r", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[i][done]) for i in (3, 4, 5, 6)], names=["r", "q", "start", "n"])
         if kept:
-            cols, new = _sort([np.concatenate([k[i] for k in kept]) for i in range(6)])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[i][~new]) for i in (3, 4, 5)], names=["r", "start", "n"])
+            cols, new = _sort([np.concatenate([k[i] for k in kept]) for i in range(7)])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[i][~new]) for i in (3, 4, 5, 6)], names=["r", "q", "start", "n"])
 
-    schema = "h1 long, h2 long, ord long, r long, start long, n long, seat long, done boolean"
-    return docs.select("_ord", "_r", "text").mapInArrow(local, schema).repartition("seat").mapInArrow(meet, "r long, start long, n long")
+    schema = "h1 long, h2 long, ord long, r long, q long, start long, n long, seat long, done boolean"
+    return docs.select("ord", "r", "q", "text").mapInArrow(local, schema).repartition("seat").mapInArrow(meet, "r long, q long, start long, n long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``, the text without repeated sentences, plus ``_sentences``, ``_removed`` and ``_spans``
-    (array of removed (start, end) sentences, end exclusive, merged).
+    """All rows and columns of ``docs``, the text without repeated sentences, then three columns more: sentences, those
+    removed, and an array of removed (start, end) sentences, end exclusive, merged (``_sentences``, ``_removed``, ``_spans``,
+    with more underscores where ``docs`` has such).
 
-    Null texts stay null and empty ones empty. Rows of equal doc_id and text count as one document. doc_ids that aren't
-    numbers are ordered by a hash.
+    Null texts stay null and empty ones empty; an empty table gives no rows. Rows of equal doc_id and text count as one
+    document. doc_ids that aren't numbers are ordered by a hash, null ones come first.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    order = F.col("doc_id").cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64("doc_id")
-    keyed = docs.withColumn("_r", F.xxhash64(F.col("doc_id").cast("string"), "text")).withColumn("_ord", F.coalesce(order, F.lit(-(2**63))))
-    once = keyed.select("_ord", "_r", "text")
-    gone = repeats(once).groupBy("r").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-    names, place = [*docs.columns, "_sentences", "_removed", "_spans"], docs.columns.index("text")
-    at = len(docs.columns)
+    own, place, at = list(docs.columns), docs.columns.index("text"), len(docs.columns)
+    r, q = common.row_id()
+    gone = repeats(docs.select("doc_id", "text").select(common.order_of(docs).alias("ord"), r.alias("r"), q.alias("q"), "text"))
+    kr, kq, kg = common.fresh(own, "_r", "_q", "_gone")
+    gone = gone.groupBy("r", "q").agg(F.collect_set(F.struct("start", "n"))).toDF(kr, kq, kg)
+    names = [*own, *common.fresh(own, "_sentences", "_removed", "_spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,11 +133,13 @@ def dedup(docs: DataFrame) -> DataFrame:
             spans_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, spans_of)], names=names)
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_sentences long", "_removed long", "_spans array<struct<start:int,end:int>>"])
-    joined = keyed.join(gone.withColumnRenamed("r", "_r"), "_r", "left").select(*docs.columns, "gone")
-    return joined.mapInArrow(run, schema)
+    kinds = ("long", "long", "array<struct<start:int,end:int>>")
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), *(f"`{c}` {t}" for c, t in zip(names[at:], kinds, strict=True))])
+    matched = docs.withColumns({kr: r, kq: q}).join(gone, [kr, kq], "left").select(*(f"`{c}`" for c in own), kg)
+    return matched.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_sentences, n_removed, spans, text`` for each row of ``docs``; other columns aren't looked at. Odd rows: as in ``dedup``."""
     out = dedup(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("_sentences").alias("n_sentences"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("spans"), "text")

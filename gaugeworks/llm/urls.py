@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import fresh
+
 BUCKET = 90  # days; an interval is looked up by key and bucket, so a key with a long history isn't scanned whole
 
 
@@ -45,7 +47,8 @@ def keys_of(url: Column) -> Column:
 
 
 def active(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """All rows and columns of ``captures`` (``url``, ``day``) with ``lists``: names of the lists with an active entry, sorted.
+    """All rows and columns of ``captures`` (``url``, ``day``) with ``lists``: names of the lists with an active entry, sorted
+    (``lists_`` and so on if there is such a column).
 
     Equal (url, day) are judged once before they meet the entries, so a capture repeated very often costs one lookup.
     Null URLs or days, and an empty list table, give no lists.
@@ -59,11 +62,13 @@ def active(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = once.withColumn("key", F.explode(keys_of(F.col("url")))).withColumn("bucket", F.floor(F.col("day") / BUCKET))
     hit = asked.join(spans, ["key", "bucket"]).where((F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     lists = hit.groupBy("url", "day").agg(F.array_sort(F.collect_set("list")).alias("lists"))
-    out = captures.join(lists, ["url", "day"], "left")
-    return out.select(*captures.columns, F.coalesce("lists", F.array().cast("array<string>")).alias("lists"))
+    (name,) = fresh(captures.columns, "lists")
+    out = captures.join(lists.withColumnRenamed("lists", name), ["url", "day"], "left")
+    return out.select(*(f"`{c}`" for c in captures.columns), F.coalesce(name, F.array().cast("array<string>")).alias(name))
 
 
 def judge(captures: DataFrame, entries: DataFrame, allow: str = "allow") -> DataFrame:
-    """``active`` with ``blocked``: some list is active and ``allow`` isn't."""
+    """``active`` with ``blocked``: some list is active and ``allow`` isn't. Its name, too, gets more underscores where ``captures`` has it."""
     out = active(captures, entries)
-    return out.withColumn("blocked", (F.size("lists") > 0) & ~F.array_contains("lists", allow))
+    name, blocked = out.columns[-1], *fresh(out.columns, "blocked")
+    return out.withColumn(blocked, (F.size(name) > 0) & ~F.array_contains(name, allow))
