@@ -2,7 +2,7 @@
 
 Base matches, and values that text itself names as a token, key or password, seed a graph of instances (mentions: runs
 of ASCII or Latin characters with a digit or @, and phone- or card-like runs with blanks) and lexical patterns (the
-word before with the mention's shape, the word after with it, and the shape alone). Patterns are scored by the share of
+word before with the mention's loose shape, the word after with it, and the exact shape alone). Patterns are scored by the share of
 their occurrences that are known for a kind, instances by their best pattern, in turns; what scores enough is known in
 the next turn. Unseen identifiers found so are added as spans.
 """
@@ -105,7 +105,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     t = t.withColumns({"instance": instance, "start": (F.col("start") + F.length(lead)).cast("int")}).where("instance <> ''")
     t = t.withColumns({"end": (F.col("start") + F.length("instance")).cast("int"), "form": shape(F.col("instance"))})
     named = word.isin(*CUES) & quoted & (F.length("instance") >= LEAST_SECRET) & F.col("instance").rlike("[0-9]")
-    told = [F.concat_ws(" ", word, F.col("form"), F.lit("<")), F.concat_ws(" ", F.col("form"), F.lower("next"), F.lit(">")), F.concat(F.col("form"), F.lit(" ="))]
+    loose = F.regexp_replace("form", r"9++|X9++", "9")
+    told = [F.concat_ws(" ", word, loose, F.lit("<")), F.concat_ws(" ", loose, F.lower("next"), F.lit(">")), F.concat(F.col("form"), F.lit(" ="))]
     return t.select("r", "start", "end", _name(F.col("instance")).alias("instance"), named.alias("named"), F.array(*map(_name, told)).alias("patterns"))
 
 
@@ -114,10 +115,11 @@ def _stretches(start: str, end: str) -> Column:
 
 
 def discover(found: DataFrame, mentions: DataFrame) -> DataFrame:
-    """``r, kind, start, end``: mentions outside base spans whose instance the graph comes to know."""
+    """``r, kind, start, end``: mentions whose instance the graph comes to know, but those that a base span covers by half or more (these are its seeds)."""
     b = found.select("r", "kind", F.col("start").alias("s"), F.col("end").alias("e")).withColumn("near", _stretches("s", "e"))
     c = mentions.withColumn("near", _stretches("start", "end"))
-    met = c.join(b, ["r", "near"]).where((F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))).select("r", "start", "instance", "kind").distinct()
+    shared = F.least("e", "end") - F.greatest("s", "start")
+    met = c.join(b, ["r", "near"]).where(shared * 2 >= F.col("end") - F.col("start")).select("r", "start", "instance", "kind").distinct()
     met = cut(met)
     named = mentions.where("named").select("r", "start", "instance", F.lit(BASE).alias("kind")).join(met.select("r", "start"), ["r", "start"], "left_anti")
     known = cut(met.select("instance", "kind").union(named.select("instance", "kind")).distinct().withColumn("score", F.lit(1.0)))
