@@ -18,3 +18,7 @@ class EmptyFilterError(EmptyCacheError):
 
 class InternalCacheError(Exception):
     pass
+
+
+class InvalidLLMResponseError(Exception):
+    """A judge's reply breaks its format."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.errors import EmptyCacheError
 from gaugeworks.functions.ratios import f1, share
+from gaugeworks.operators.paging import page
 
 RESERVED = ("datum_uid", "gt_label", "pd_label", "pd_score", "pd_winner", "match")
 WRAP = 18446744073709551616.0  # negatives are counted unsigned
@@ -65,12 +66,11 @@ def counts(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool
     """
     ts = _thresholds(thresholds)
     rows = pairs.withColumn("live", _live(hardmax))
-    wrong = rows.groupBy("datum_uid", "gt_label", "pd_label", "match").agg(F.sort_array(F.collect_list("live")).alias("lives"))
+    least = rows.where("not match").groupBy("datum_uid", "gt_label", "pd_label").agg(F.min("live").alias("least"))
     predicted = _sweep(
         rows, "pd_label",
         {"tp": [F.col("match") & (F.col("live") >= t) & (F.col("live") >= 0) for t in ts], "fp": [~F.col("match") & (F.col("live") >= t) & (F.col("live") >= 0) for t in ts]}, ts,
     )
-    least = wrong.where("not match").select("pd_label", F.element_at("lives", 1).alias("least"))
     negative = _sweep(least, "pd_label", {"tn": [~((F.col("least") >= t) & (F.col("least") >= 0)) for t in ts]}, ts)
     truth = rows.groupBy("datum_uid", "gt_label").agg(F.max(F.when(F.col("match"), F.col("live"))).alias("own"), F.min(F.when(F.col("match"), F.col("live"))).alias("weakest"), F.max(F.when(~F.col("match"), F.col("live"))).alias("other"))
     missed = [F.coalesce(~((F.col("weakest") >= t) & (F.col("weakest") >= 0)), F.lit(False)) | F.coalesce((F.col("other") >= t) & (F.col("other") >= 0), F.lit(False)) for t in ts]
@@ -81,11 +81,11 @@ def counts(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool
     return out.select(*on, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("tp", "fp", "fn", "tn")))
 
 
-def precision_recall(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Column | str | None = None) -> DataFrame:
+def precision_recall(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Column | str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Counts with precision, recall, F1 and accuracy. ``datums`` filters rows, not the labels or the accuracy's denominator."""
     kept = pairs if datums is None else pairs.where(datums)
     n = pairs.agg(F.count_distinct("datum_uid").alias("n"))
-    table = counts(kept, thresholds, hardmax, labels_of(pairs))
+    table = counts(kept, thresholds, hardmax, labels_of(pairs) if labels is None else labels)
     table = table.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
     table = table.withColumn("f1", f1(F.col("precision"), F.col("recall")))
     right = table.groupBy("score_threshold").agg(F.sum("tp").alias("right"))
@@ -93,7 +93,7 @@ def precision_recall(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), har
     return table.join(F.broadcast(accuracy), "score_threshold").select("label", "score_threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "accuracy")
 
 
-def roc_auc(pairs: DataFrame) -> DataFrame:
+def roc_auc(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``label, value``: trapezoids of true over false positive rate; ties in score are one point. Labels with zero scores only get 0."""
     truths = pairs.select("datum_uid", F.col("gt_label").alias("label")).distinct().groupBy("label").agg(F.count("*").alias("positives"))
     asked = pairs.select("datum_uid", F.col("pd_label").alias("label")).distinct().groupBy("label").agg(F.count("*").alias("asked"))
@@ -108,7 +108,12 @@ def roc_auc(pairs: DataFrame) -> DataFrame:
     points = points.withColumn("px", F.lag("x", 1, 0.0).over(w)).withColumn("py", F.lag("y", 1, 0.0).over(w))
     areas = points.groupBy("label").agg(F.sum((F.col("x") - F.col("px")) * (F.col("y") + F.col("py")) / 2).alias("area"), F.max("pd_score").alias("top"))
     value = F.when(F.col("top") > 0, F.col("area")).otherwise(0.0)
-    return labels_of(pairs).join(areas, "label", "left").select("label", F.coalesce(value, F.lit(0.0)).alias("value"))
+    return (labels_of(pairs) if labels is None else labels).join(areas, "label", "left").select("label", F.coalesce(value, F.lit(0.0)).alias("value"))
+
+
+def mean_roc_auc(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``value``: the mean over all labels, also those that were predicted only."""
+    return roc_auc(pairs, labels).agg(F.avg("value").alias("value"))
 
 
 def _classified(pairs: DataFrame, thresholds: Sequence[float], hardmax: bool) -> DataFrame:
@@ -138,9 +143,10 @@ def confusion_matrix(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), har
     return cells.groupBy("score_threshold", "gt_label", "pd_label").agg(*wanted)
 
 
-def examples(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Column | str | None = None) -> DataFrame:
-    """``datum_uid, score_threshold, true_positives, false_positives, false_negatives``: label lists of each datum that has any."""
-    rows = _classified(pairs if datums is None else pairs.where(datums), thresholds, hardmax)
+def examples(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Column | str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """``datum_uid, score_threshold, true_positives, false_positives, false_negatives``: label lists of each datum that has any.
+    ``limit`` and ``offset`` page over datums in order."""
+    rows = _classified(page(pairs, "datum_uid", datums, limit, offset), thresholds, hardmax)
 
     def those(test: Column, name: str) -> Column:
         return F.array_sort(F.collect_set(F.when(test, F.col(name))))

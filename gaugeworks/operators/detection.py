@@ -6,15 +6,17 @@ pd_score`` and a box ``p_xmin ...``. Equal scores and IoUs are ordered by ids.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.errors import EmptyCacheError
-from gaugeworks.functions.geometry import EPSILON, box_iou
+from gaugeworks.functions.geometry import EPSILON, box_iou, mask_iou
+from gaugeworks.functions.polygons import with_polygon_iou
 from gaugeworks.functions.ratios import f1, share
+from gaugeworks.operators.paging import page
 
 
 def box_pairs(truths: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -25,6 +27,27 @@ def box_pairs(truths: DataFrame, predictions: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("g_datum", "p_datum").alias("datum_uid"), "gt_id", "gt_label", "pd_id", "pd_label", F.coalesce("pd_score", F.lit(-1.0)).alias("pd_score"), iou.alias("iou"))
 
 
+def _pairs_by(truths: DataFrame, predictions: DataFrame, iou_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Both sides are joined inside each datum and ``iou_of`` adds ``iou``; then what overlaps nothing is added."""
+    both = iou_of(truths.join(predictions, "datum_uid")).where(F.col("iou") >= EPSILON)
+    cols = ["datum_uid", "gt_id", "gt_label", "pd_id", "pd_label", "pd_score", "iou"]
+    both = both.select(*cols)
+    none = {"gt_id": F.lit(None).cast(dict(truths.dtypes)["gt_id"]), "gt_label": F.lit(None).cast("string"), "pd_id": F.lit(None).cast(dict(predictions.dtypes)["pd_id"]), "pd_label": F.lit(None).cast("string"), "iou": F.lit(0.0)}
+    alone_g = truths.join(both, ["datum_uid", "gt_id"], "left_anti").select("datum_uid", "gt_id", "gt_label", none["pd_id"].alias("pd_id"), none["pd_label"].alias("pd_label"), F.lit(-1.0).alias("pd_score"), none["iou"].alias("iou"))
+    alone_p = predictions.join(both, ["datum_uid", "pd_id"], "left_anti").select("datum_uid", none["gt_id"].alias("gt_id"), none["gt_label"].alias("gt_label"), "pd_id", "pd_label", "pd_score", none["iou"].alias("iou"))
+    return both.union(alone_g).union(alone_p)
+
+
+def mask_pairs(truths: DataFrame, predictions: DataFrame) -> DataFrame:
+    """As ``box_pairs``, of packed bitmasks ``g_mask`` and ``p_mask`` (``array<bigint>``, 64 pixels a word)."""
+    return _pairs_by(truths, predictions, lambda both: both.withColumn("iou", mask_iou(F.col("g_mask"), F.col("p_mask"))))
+
+
+def polygon_pairs(truths: DataFrame, predictions: DataFrame) -> DataFrame:
+    """As ``box_pairs``, of simple polygons ``g_ring`` and ``p_ring`` (``array<array<double>>`` of x and y, closed or not)."""
+    return _pairs_by(truths, predictions, lambda both: with_polygon_iou(both, "g_ring", "p_ring"))
+
+
 def rank(pairs: DataFrame) -> DataFrame:
     """The best row of each prediction and label with ``iou_prev``, from which any IoU threshold is answered row by row.
 
@@ -59,14 +82,21 @@ def _hit():
     return (F.col("pd_score") > EPSILON) & F.col("gt_id").isNotNull() & F.col("match") & (F.col("iou") >= F.col("iou_threshold")) & (F.col("iou_prev") < F.col("iou_threshold"))
 
 
-def precision_recall(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
-    """``label, iou_threshold, score_threshold, tp, fp, fn, precision, recall, f1`` for the whole grid."""
+def _kept(frame: DataFrame, datums: Column | str | None) -> DataFrame:
+    return frame if datums is None else frame.where(datums)
+
+
+def precision_recall(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """``label, iou_threshold, score_threshold, tp, fp, fn, precision, recall, f1`` for the whole grid.
+
+    ``datums`` filters ranked rows and ground truths, not the labels; ``labels`` are given where a filter lost some.
+    """
     i, s = _listed(ious), _listed(scores)
-    rows = rank(pairs).where(F.col("pd_score") > EPSILON).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("hit", _hit())
+    rows = _kept(rank(pairs), datums).where(F.col("pd_score") > EPSILON).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("hit", _hit())
     sums = [F.count_if(F.col("hit") & (F.col("pd_score") >= t)).alias(f"tp_{k}") for k, t in enumerate(s)] + [F.count_if(~F.col("hit") & (F.col("pd_score") >= t)).alias(f"fp_{k}") for k, t in enumerate(s)]
     wide = rows.groupBy(F.col("pd_label").alias("label"), "iou_threshold").agg(*sums)
     tall = wide.select("label", "iou_threshold", F.inline(F.array(*(F.struct(F.lit(t).alias("score_threshold"), F.col(f"tp_{k}").alias("tp"), F.col(f"fp_{k}").alias("fp")) for k, t in enumerate(s)))))
-    grid = labels_of(pairs).join(truths_per_label(pairs), "label", "left")
+    grid = (labels_of(pairs) if labels is None else labels).join(truths_per_label(_kept(pairs, datums)), "label", "left")
     grid = grid.select("label", "n_gt", F.explode(F.array(*map(F.lit, i))).alias("iou_threshold")).select("*", F.explode(F.array(*map(F.lit, s))).alias("score_threshold"))
     zero = F.lit(0).cast("long")
     out = grid.join(tall, ["label", "iou_threshold", "score_threshold"], "left").select("label", "iou_threshold", "score_threshold", F.coalesce("tp", zero).alias("tp"), F.coalesce("fp", zero).alias("fp"), (F.coalesce("n_gt", zero) - F.coalesce("tp", zero)).alias("fn"))
@@ -74,31 +104,31 @@ def precision_recall(pairs: DataFrame, ious: Sequence[float], scores: Sequence[f
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def precision_recall_curve(pairs: DataFrame, ious: Sequence[float]) -> DataFrame:
+def precision_recall_curve(pairs: DataFrame, ious: Sequence[float], datums: Column | str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """``label, iou_threshold, bin, precision, score``: 101 recall bins, each the best at this recall or a higher one."""
     i = _listed(ious)
-    rows = rank(pairs).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("hit", _hit())
+    rows = _kept(rank(pairs), datums).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("hit", _hit())
     w = W.partitionBy("iou_threshold", "pd_label").orderBy(F.desc("pd_score"), F.desc("iou"), "datum_uid", "gt_id", "pd_id").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("total", F.count("*").over(w)).withColumn("right", F.sum(F.col("hit").cast("long")).over(w))
-    rows = rows.join(F.broadcast(truths_per_label(pairs)), F.col("pd_label") == F.col("label"), "left").drop("label")
+    rows = rows.join(F.broadcast(truths_per_label(_kept(pairs, datums))), F.col("pd_label") == F.col("label"), "left").drop("label")
     right = F.when(F.col("hit"), F.col("right")).otherwise(0)
     rows = rows.select(F.col("pd_label").alias("label"), "iou_threshold", F.floor(share(right, F.col("n_gt")) * 100).cast("int").alias("bin"), share(right, F.col("total")).alias("precision"), "pd_score")
     best = rows.groupBy("label", "iou_threshold", "bin").agg(F.max("precision").alias("precision"), F.max("pd_score").alias("score"))
-    grid = labels_of(pairs).select("label", F.explode(F.array(*map(F.lit, i))).alias("iou_threshold")).select("*", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("bin"))
+    grid = (labels_of(pairs) if labels is None else labels).select("label", F.explode(F.array(*map(F.lit, i))).alias("iou_threshold")).select("*", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("bin"))
     up = W.partitionBy("label", "iou_threshold").orderBy(F.desc("bin"))
     out = grid.join(best, ["label", "iou_threshold", "bin"], "left")
     return out.select("label", "iou_threshold", "bin", F.coalesce(F.max("precision").over(up), F.lit(0.0)).alias("precision"), F.coalesce(F.max("score").over(up), F.lit(0.0)).alias("score"))
 
 
-def average_precision(pairs: DataFrame, ious: Sequence[float]) -> DataFrame:
+def average_precision(pairs: DataFrame, ious: Sequence[float], datums: Column | str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """``label, iou_threshold, value``: the bins' sum, from the highest recall down, over 101."""
-    bins = precision_recall_curve(pairs, ious).groupBy("label", "iou_threshold").agg(F.sort_array(F.collect_list(F.struct("bin", "precision")), asc=False).alias("b"))
+    bins = precision_recall_curve(pairs, ious, datums, labels).groupBy("label", "iou_threshold").agg(F.sort_array(F.collect_list(F.struct("bin", "precision")), asc=False).alias("b"))
     return bins.select("label", "iou_threshold", (F.aggregate("b", F.lit(0.0), lambda s, x: s + x["precision"]) / 101.0).alias("value"))
 
 
-def average_recall(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
+def average_recall(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """``label, score_threshold, value``: recall averaged over the IoU thresholds."""
-    return precision_recall(pairs, ious, scores).groupBy("label", "score_threshold").agg(F.avg("recall").alias("value"))
+    return precision_recall(pairs, ious, scores, datums, labels).groupBy("label", "score_threshold").agg(F.avg("recall").alias("value"))
 
 
 def matched(pairs: DataFrame) -> DataFrame:
@@ -119,49 +149,55 @@ def matched(pairs: DataFrame) -> DataFrame:
     return pairs.join(kept, ["datum_uid", "gt_id", "pd_id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
-def outcomes(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
+def outcomes(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None) -> DataFrame:
     """``iou_threshold, score_threshold, datum_uid, gt_id, pd_id, gt_label, pd_label``: matched pairs, and with nulls what has no partner.
 
     These are the confusion matrix's examples, a row each. Matching comes before thresholds.
     """
     i, s = _listed(ious), _listed(scores)
-    rows = matched(pairs).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("score_threshold", F.explode(F.array(*map(F.lit, s))))
+    rows = matched(_kept(pairs, datums)).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("score_threshold", F.explode(F.array(*map(F.lit, s))))
     grid = ["iou_threshold", "score_threshold"]
     scored = F.col("pd_id").isNotNull() & (F.col("pd_score") >= F.col("score_threshold")) & (F.col("pd_score") > EPSILON)
     both = F.col("kept") & scored & (F.col("iou") >= F.col("iou_threshold"))
     rows = rows.withColumn("scored", scored).withColumn("both", both)
     rows = rows.withColumn("g_both", F.max("both").over(W.partitionBy(*grid, "datum_uid", "gt_id"))).withColumn("p_both", F.max("both").over(W.partitionBy(*grid, "datum_uid", "pd_id")))
-    parts = [
-        rows.where("both").select(*grid, "datum_uid", "gt_id", "pd_id", "gt_label", "pd_label"),
-        rows.where("pd_id is not null and scored and not p_both").select(*grid, "datum_uid", F.lit(None).cast("bigint").alias("gt_id"), "pd_id", F.lit(None).cast("string").alias("gt_label"), "pd_label"),
-        rows.where("gt_id is not null and not g_both").select(*grid, "datum_uid", "gt_id", F.lit(None).cast("bigint").alias("pd_id"), "gt_label", F.lit(None).cast("string").alias("pd_label")),
-    ]
-    return parts[0].union(parts[1]).union(parts[2]).distinct()
+    cols = ("gt_id", "pd_id", "gt_label", "pd_label")
+
+    def outcome(test: Column, *sides: str) -> Column:
+        return F.when(test, F.struct(*(F.when(F.lit(c[:2] in sides), F.col(c)).alias(c) for c in cols)))
+
+    found = F.array(outcome(F.col("both"), "gt", "pd"), outcome(F.col("pd_id").isNotNull() & F.col("scored") & ~F.col("p_both"), "pd"), outcome(F.col("gt_id").isNotNull() & ~F.col("g_both"), "gt"))
+    return rows.select(*grid, "datum_uid", F.inline(F.array_compact(found))).distinct()
 
 
-def confusion_matrix(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
-    """``iou_threshold, score_threshold, gt_label, pd_label, count``; a null label stands for unmatched."""
-    return outcomes(pairs, ious, scores).groupBy("iou_threshold", "score_threshold", "gt_label", "pd_label").agg(F.count("*").alias("count"))
+def confusion_matrix(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None, examples: bool = False) -> DataFrame:
+    """``iou_threshold, score_threshold, gt_label, pd_label, count``; a null label stands for unmatched.
+
+    With ``examples`` each cell also lists its ``(datum_uid, gt_id, pd_id)``; lists are as long as cells are large.
+    """
+    wanted = [F.count("*").alias("count")] + ([F.array_sort(F.collect_list(F.struct("datum_uid", "gt_id", "pd_id"))).alias("examples")] if examples else [])
+    return outcomes(pairs, ious, scores, datums).groupBy("iou_threshold", "score_threshold", "gt_label", "pd_label").agg(*wanted)
 
 
-def examples(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
+def examples(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """For each datum and threshold: ``true_positives`` (gt_id, pd_id), ``false_positives`` and ``false_negatives`` (ids), sorted.
 
-    A pair of different labels is a false positive and a false negative. The lists are bounded by the boxes of a datum.
+    A pair of different labels is a false positive and a false negative. ``limit`` and ``offset`` page over datums in order. The lists are bounded by the boxes of a datum.
     """
     right = F.coalesce(F.col("gt_label") == F.col("pd_label"), F.lit(False))
-    return outcomes(pairs, ious, scores).groupBy("datum_uid", "iou_threshold", "score_threshold").agg(
+    paged = page(_kept(pairs, datums), "datum_uid", None, limit, offset)
+    return outcomes(paged, ious, scores).groupBy("datum_uid", "iou_threshold", "score_threshold").agg(
         F.array_sort(F.collect_set(F.when(right, F.struct("gt_id", "pd_id")))).alias("true_positives"),
         F.array_sort(F.collect_set(F.when(~right, F.col("pd_id")))).alias("false_positives"),
         F.array_sort(F.collect_set(F.when(~right, F.col("gt_id")))).alias("false_negatives"),
     )
 
 
-def summary(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float]) -> DataFrame:
+def summary(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """``metric, label, threshold, value``: AP by IoU, AR by score, their means over labels, over thresholds and over both; nulls where averaged."""
     none, anything = F.lit(None).cast("double"), F.lit(None).cast("string")
     out = []
-    for name, over, frame in (("AP", "IOUs", average_precision(pairs, ious).withColumnRenamed("iou_threshold", "t")), ("AR", "Scores", average_recall(pairs, ious, scores).withColumnRenamed("score_threshold", "t"))):
+    for name, over, frame in (("AP", "IOUs", average_precision(pairs, ious, datums, labels).withColumnRenamed("iou_threshold", "t")), ("AR", "Scores", average_recall(pairs, ious, scores, datums, labels).withColumnRenamed("score_threshold", "t"))):
         cube = frame.cube("label", "t").agg(F.avg("value").alias("value"), F.grouping("label").alias("all_l"), F.grouping("t").alias("all_t"))
         metric = F.concat(F.when(F.col("all_l") == 1, "m").otherwise(""), F.lit(name), F.when(F.col("all_t") == 1, f"AveragedOver{over}").otherwise(""))
         out.append(cube.select(metric.alias("metric"), F.coalesce("label", anything).alias("label"), F.coalesce("t", none).alias("threshold"), "value"))
@@ -190,8 +226,13 @@ def select(pairs: DataFrame, datums: Column | str | None = None, groundtruths: C
     return out
 
 
-def info(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(
-        F.count_distinct("datum_uid").alias("number_of_datums"), F.count_distinct(F.when(F.col("gt_id").isNotNull(), F.struct("datum_uid", "gt_id"))).alias("number_of_groundtruths"),
-        F.count_distinct(F.when(F.col("pd_id").isNotNull(), F.struct("datum_uid", "pd_id"))).alias("number_of_predictions"), F.count("*").alias("number_of_rows"),
-    ).crossJoin(labels_of(pairs).agg(F.count("*").alias("number_of_labels")))
+def info(pairs: DataFrame, datums: Column | str | None = None, groundtruths: Column | str | None = None, predictions: Column | str | None = None) -> DataFrame:
+    """Datums, ground truths and predictions that the filters leave; rows and labels of all."""
+    g, p = (F.lit(True) if x is None else F.expr(x) if isinstance(x, str) else x for x in (groundtruths, predictions))
+    kept = _kept(pairs, datums).agg(
+        F.count_distinct("datum_uid").alias("number_of_datums"), F.count_distinct(F.when(F.col("gt_id").isNotNull() & g, F.struct("datum_uid", "gt_id"))).alias("number_of_groundtruths"),
+        F.count_distinct(F.when(F.col("pd_id").isNotNull() & p, F.struct("datum_uid", "pd_id"))).alias("number_of_predictions"),
+    )
+    every = pairs.agg(F.count("*").alias("number_of_rows")).crossJoin(labels_of(pairs).agg(F.count("*").alias("number_of_labels")))  # one row each
+    return kept.crossJoin(every)
+

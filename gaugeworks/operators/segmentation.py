@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.errors import EmptyCacheError
 from gaugeworks.functions.ratios import f1, share
 
 
@@ -34,10 +35,49 @@ def confusion_matrix(counts: DataFrame, datums: Column | str | None = None) -> D
     return out.where("gt_label is not null or pd_label is not null").select("gt_label", "pd_label", "count", share(F.col("count"), whole).alias("iou"))
 
 
-def metrics(counts: DataFrame, datums: Column | str | None = None) -> DataFrame:
+def select(counts: DataFrame, datums: Column | str | None = None, groundtruths: Column | str | None = None, predictions: Column | str | None = None) -> DataFrame:
+    """``background`` of the datums that pass; EmptyCacheError if none does."""
+    kept = counts if datums is None else counts.where(datums)
+    if kept.isEmpty():
+        raise EmptyCacheError
+    return background(kept, groundtruths, predictions)
+
+
+def info(counts: DataFrame, datums: Column | str | None = None, groundtruths: Column | str | None = None, predictions: Column | str | None = None) -> DataFrame:
+    """Datums, pixels, and pixels with a label on either side that the filters leave; rows and labels of all."""
+    kept = background(counts if datums is None else counts.where(datums), groundtruths, predictions)
+    pixels = [F.coalesce(F.sum(F.when(test, F.col("count"))), F.lit(0)).cast("long") for test in (F.lit(True), F.col("gt_label").isNotNull(), F.col("pd_label").isNotNull())]
+    sums = kept.agg(F.count_distinct("datum_uid").alias("number_of_datums"), *(x.alias(f"number_of_{n}") for x, n in zip(pixels, ("pixels", "groundtruth_pixels", "prediction_pixels"), strict=True)))
+    labels = counts.select(F.explode(F.array("gt_label", "pd_label")).alias("label")).where("label is not null").agg(F.count_distinct("label").alias("number_of_labels"))
+    return sums.crossJoin(counts.agg(F.count("*").alias("number_of_rows"))).crossJoin(labels)  # one row each
+
+
+def masks_to_pixels(data: DataFrame) -> DataFrame:
+    """Pixel rows of ``uid, height, width, groundtruths, predictions``, each a list of ``(label, pixels)`` with offsets row * width + column.
+
+    The first mask of a side keeps a pixel that several hold. Each datum gives one row for every pixel of its shape, with
+    nulls for background. Raises where a shape isn't positive or an offset lies outside.
+    """
+    area = F.col("height") * F.col("width")
+    sound = (F.col("height") > 0) & (F.col("width") > 0)
+    rows = data.where(F.when(F.coalesce(sound, F.lit(False)), True).otherwise(F.raise_error(F.lit("a shape needs two positive sides")).cast("boolean")))
+
+    def side(name: str, label: str) -> DataFrame:
+        at = rows.select(F.col("uid").alias("datum_uid"), area.alias("area"), F.posexplode(name).alias("turn", "m")).select("datum_uid", "area", "turn", F.col("m.label").alias(label), F.explode("m.pixels").alias("pixel"))
+        inside = (F.col("pixel") >= 0) & (F.col("pixel") < F.col("area"))
+        at = at.where(F.when(inside, True).otherwise(F.raise_error(F.lit("a mask has a pixel outside the shape")).cast("boolean")))
+        return at.groupBy("datum_uid", "pixel").agg(F.min_by(label, "turn").alias(label))
+
+    both = side("groundtruths", "gt_label").join(side("predictions", "pd_label"), ["datum_uid", "pixel"], "full")
+    every = rows.select(F.col("uid").alias("datum_uid"), F.explode(F.sequence(F.lit(0), area.cast("int") - 1)).alias("pixel"))
+    return every.join(both, ["datum_uid", "pixel"], "left").select("datum_uid", "pixel", "gt_label", "pd_label")
+
+
+def metrics(counts: DataFrame, datums: Column | str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """``label, precision, recall, f1, iou`` and, the same on each row, ``accuracy`` and ``mean_iou`` over all labels."""
     kept = counts if datums is None else counts.where(datums)
-    labels = counts.select(F.explode(F.array("gt_label", "pd_label")).alias("label")).where("label is not null").distinct()
+    if labels is None:
+        labels = counts.select(F.explode(F.array("gt_label", "pd_label")).alias("label")).where("label is not null").distinct()
     cells = kept.groupBy("gt_label", "pd_label").agg(F.sum("count").alias("count"))
     sides = cells.select(F.inline(F.array(F.struct(F.col("gt_label").alias("label"), F.col("count").alias("gt"), F.lit(0).cast("long").alias("pd"), F.when(F.col("gt_label") == F.col("pd_label"), F.col("count")).otherwise(0).alias("both")), F.struct(F.col("pd_label").alias("label"), F.lit(0).cast("long").alias("gt"), F.col("count").alias("pd"), F.lit(0).cast("long").alias("both")))))
     sums = sides.where("label is not null").groupBy("label").agg(F.sum("gt").alias("gt"), F.sum("pd").alias("pd"), F.sum("both").alias("both"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.ratios import f1, share
+from gaugeworks.functions.stemmer import stem
 
 TINY = 2.2250738585072014e-308  # an order without a hit counts as this
 
@@ -21,16 +22,30 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def stemmed(data: DataFrame) -> DataFrame:
+    """``uid, prediction, references`` with each word of more than three characters stemmed, words apart by blanks. Null texts stay null."""
+
+    def fold(text: str | None) -> str | None:
+        return text if text is None else " ".join(stem(w) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", text.lower()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told, refs = b.column(1).to_pylist(), b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(fold, told), pa.string()), pa.array([x and [fold(r) for r in x] for x in refs], pa.list_(pa.string()))], names=["uid", "prediction", "references"])
+
+    return data.select("uid", "prediction", "references").mapInArrow(run, f"uid {dict(data.dtypes)['uid']}, prediction string, references array<string>")
+
+
 def _grams(tokens: str, n: int) -> Column:
     return F.expr(f"transform(sequence(1, size({tokens})), i -> if(i + {n - 1} <= size({tokens}), array_join(slice({tokens}, i, {n}), ' '), null))")
 
 
-def rouge(data: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+def rouge(data: DataFrame, sizes: tuple[int, ...] = (1, 2), use_stemmer: bool = False) -> DataFrame:
     """``uid, rouge_type, value`` of ``uid, prediction, references``: F-measure of clipped n-gram counts, the best reference counts.
 
     N-grams are counted before and after the shuffle. Texts too short for an n-gram give 0. Each uid must be given once.
     """
-    each = data.select("uid", "prediction", F.posexplode("references").alias("ref", "reference"))
+    each = (stemmed(data) if use_stemmer else data).select("uid", "prediction", F.posexplode("references").alias("ref", "reference"))
     sides = [each.select("uid", "ref", words(F.col(c)).alias("w"), F.lit(k).alias("side")) for k, c in enumerate(("prediction", "reference"))]
     tokens = sides[0].union(sides[1]).where("size(w) > 0")
     kinds = F.array(*(F.struct(F.lit(f"rouge{n}").alias("rouge_type"), _grams("w", n).alias("grams")) for n in sizes))

@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_of(table(spark, sf_dir, "orders"))
+
+
+def pairs_of(orders: DataFrame) -> DataFrame:
     """An order is a datum; its status the truth; three labels are predicted with scores made from the keys."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     labels = ["F", "O", "P"]
 
     def score(k: int):

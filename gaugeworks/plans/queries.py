@@ -156,7 +156,23 @@ def detection_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.average_precision(data.box_pairs(spark, sf_dir), IOUS))
 
 
-@query()
+_MATCHED = f"""RECURSIVE {data.BOX_CTE},
+o AS (SELECT *, row_number() OVER (PARTITION BY datum_uid ORDER BY -pd_score, -iou, gt_id, pd_id) AS n FROM pairs WHERE gt_id IS NOT NULL AND pd_id IS NOT NULL),
+k AS (SELECT DISTINCT datum_uid, 0::BIGINT AS n, []::BIGINT[] AS gs, []::BIGINT[] AS ps FROM o
+  UNION ALL SELECT o.datum_uid, o.n, CASE WHEN list_contains(gs, gt_id) OR list_contains(ps, pd_id) THEN gs ELSE list_append(gs, gt_id) END,
+    CASE WHEN list_contains(gs, gt_id) OR list_contains(ps, pd_id) THEN ps ELSE list_append(ps, pd_id) END FROM k JOIN o ON o.datum_uid = k.datum_uid AND o.n = k.n + 1),
+last AS (SELECT datum_uid, arg_max(gs, n) AS gs, arg_max(ps, n) AS ps FROM k GROUP BY 1),
+one AS (SELECT datum_uid, unnest(gs) AS gt_id, unnest(ps) AS pd_id, true AS kept FROM last),
+r AS (SELECT pairs.*, iou_threshold, score_threshold, pd_id IS NOT NULL AND pd_score >= score_threshold AND pd_score > 1e-9 AS scored,
+    coalesce(kept, false) AND pd_id IS NOT NULL AND pd_score >= score_threshold AND pd_score > 1e-9 AND iou >= iou_threshold AS hit
+  FROM pairs LEFT JOIN one USING (datum_uid, gt_id, pd_id), {_values(IOUS)} i(iou_threshold), {_values(SCORES)} s(score_threshold)),
+r2 AS (SELECT *, bool_or(hit) OVER (PARTITION BY iou_threshold, score_threshold, datum_uid, gt_id) AS g_hit, bool_or(hit) OVER (PARTITION BY iou_threshold, score_threshold, datum_uid, pd_id) AS p_hit FROM r),
+outcomes AS (SELECT iou_threshold, score_threshold, datum_uid, gt_id, pd_id, gt_label, pd_label FROM r2 WHERE hit
+  UNION SELECT iou_threshold, score_threshold, datum_uid, NULL, pd_id, NULL, pd_label FROM r2 WHERE pd_id IS NOT NULL AND scored AND NOT p_hit
+  UNION SELECT iou_threshold, score_threshold, datum_uid, gt_id, NULL, gt_label, NULL FROM r2 WHERE gt_id IS NOT NULL AND NOT g_hit)"""
+
+
+@query(f"WITH {_MATCHED} SELECT iou_threshold, score_threshold, gt_label, pd_label, count(*) AS count FROM outcomes GROUP BY ALL")
 def detection_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.confusion_matrix(data.box_pairs(spark, sf_dir), IOUS, SCORES)
 
@@ -184,9 +200,16 @@ def detection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select(data.box_pairs(spark, sf_dir), "datum_uid % 3 <> 1", "gt_id % 4 = 0", "pd_score > 0.3"))
 
 
-@query()
+@query(f"""WITH {_MATCHED},
+x AS (SELECT *, coalesce(gt_label = pd_label, false) AS same FROM outcomes)
+SELECT datum_uid, iou_threshold, score_threshold, coalesce(string_agg(gt_id || ':' || pd_id, ',' ORDER BY gt_id, pd_id) FILTER (same), '') AS true_positives,
+  coalesce(string_agg(DISTINCT pd_id::VARCHAR, ',' ORDER BY pd_id::VARCHAR) FILTER (NOT same AND pd_id IS NOT NULL), '') AS false_positives,
+  coalesce(string_agg(DISTINCT gt_id::VARCHAR, ',' ORDER BY gt_id::VARCHAR) FILTER (NOT same AND gt_id IS NOT NULL), '') AS false_negatives FROM x GROUP BY ALL""")
 def detection_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.examples(data.box_pairs(spark, sf_dir), IOUS, SCORES)
+    out = d.examples(data.box_pairs(spark, sf_dir), IOUS, SCORES)
+    listed = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",").alias(c)
+    both = F.array_join(F.transform("true_positives", lambda x: F.concat_ws(":", x["gt_id"], x["pd_id"])), ",").alias("true_positives")
+    return out.select("datum_uid", "iou_threshold", "score_threshold", both, listed("false_positives"), listed("false_negatives"))
 
 
 @query(f"""WITH {data.BOX_CTE} SELECT (SELECT count(DISTINCT datum_uid) FROM pairs) AS number_of_datums, (SELECT count(*) FROM g) AS number_of_groundtruths,

@@ -1 +1 @@
-
+"""Counts that grow with a stream of pairs."""
