@@ -257,14 +257,54 @@ def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     return cut(out.union(higher.join(roots.select("node"), "node", "left_anti").select("node", "root")))
 
 
+LOCAL = 1_000_000  # edges that one task contracts
+
+
+def _contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges u, v, and the least node that each reaches by them."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components by min-label propagation with pointer jumping: ``(node, root)`` for each node of an edge.
+    """Connected components: ``(node, root)`` for each node of an edge; the root is the least node.
 
-    Distributed union-find: each round takes the least label among neighbours (a combinable minimum, so a hub with
-    very many edges is pre-aggregated before its shuffle) and then replaces each label by its label's label. The root
-    is the least node. Each round is cut, so a lost executor costs one round at most.
+    Distributed union-find. Each task first contracts up to LOCAL edges of its own to stars; where there are no more, this
+    is the result. Else min-label propagation with pointer jumping joins the stars: each round takes the least label among
+    neighbours (a combinable minimum, so a hub with very many edges is pre-aggregated before its shuffle) and then replaces
+    each label by its label's label. Each round is cut, so a lost executor costs one round at most.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            nodes, roots = _contract(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["u", "v"])
+
+        for x in batches:
+            held.append(x)
+            if sum(y.num_rows for y in held) > 2 * LOCAL:
+                yield flush()
+                held = []
+        if sum(y.num_rows for y in held):
+            yield flush()
+
+    links = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))
+    parts = links.count() // LOCAL + 1
+    stars = cut(links.coalesce(parts).mapInArrow(run, "u long, v long"))
+    if parts == 1:
+        return stars.toDF("node", "root")
+    both = stars.where("u <> v")
     both = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
     while True:

@@ -244,6 +244,7 @@ def test_lines_of_one_template(spark, monkeypatch, block):
     """Bands of many different lines: pairs that no centre meets are joined."""
     if block:
         monkeypatch.setattr("gaugeworks.llm.common.BLOCK", block)
+        monkeypatch.setattr("gaugeworks.llm.common.LOCAL", 40)
     rng = random.Random(8)
     draw = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
     head, texts = draw(86), []
@@ -263,6 +264,7 @@ def test_near_duplicates_of_one_boilerplate(spark, monkeypatch, block):
     """Bands of many different texts: pairs that no centre meets are joined."""
     if block:
         monkeypatch.setattr("gaugeworks.llm.common.BLOCK", block)
+        monkeypatch.setattr("gaugeworks.llm.common.LOCAL", 40)
     rng = random.Random(9)
     draw = lambda n: [str(rng.random()) for _ in range(n)]
     head, texts = draw(90), []
