@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gaugeworks.errors import EmptyCacheError
 from gaugeworks.functions.ratios import f1, share
 from gaugeworks.operators.paging import page
+from gaugeworks.operators.running import running_sums
 
 RESERVED = ("datum_uid", "gt_label", "pd_label", "pd_score", "pd_winner", "match")
 WRAP = 18446744073709551616.0  # negatives are counted unsigned
@@ -98,14 +99,13 @@ def roc_auc(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     truths = pairs.select("datum_uid", F.col("gt_label").alias("label")).distinct().groupBy("label").agg(F.count("*").alias("positives"))
     asked = pairs.select("datum_uid", F.col("pd_label").alias("label")).distinct().groupBy("label").agg(F.count("*").alias("asked"))
     points = pairs.groupBy(F.col("pd_label").alias("label"), "pd_score").agg(F.count_if("match").alias("t"), F.count_if(~F.col("match")).alias("f"))
-    w = W.partitionBy("label").orderBy(F.desc("pd_score"))
-    points = points.select("label", "pd_score", F.sum("t").over(w).alias("tp"), F.sum("f").over(w).alias("fp"))
-    points = points.join(truths, "label", "left").join(asked, "label", "left")
+    points = running_sums(points, ["label"], "pd_score", [F.desc("pd_score")], {"tp": F.col("t"), "fp": F.col("f")}, [truths, asked])
     positives = F.coalesce("positives", F.lit(0)).cast("double")
     gap = F.coalesce("asked", F.lit(0)) - F.coalesce("positives", F.lit(0))
     negatives = F.when(gap < 0, gap.cast("double") + WRAP).otherwise(gap.cast("double"))
-    points = points.select("label", "pd_score", share(F.col("fp"), negatives).alias("x"), share(F.col("tp"), positives).alias("y"))
-    points = points.withColumn("px", F.lag("x", 1, 0.0).over(w)).withColumn("py", F.lag("y", 1, 0.0).over(w))
+    x, y = share(F.col("fp"), negatives).alias("x"), share(F.col("tp"), positives).alias("y")
+    px, py = share(F.col("fp") - F.col("f"), negatives).alias("px"), share(F.col("tp") - F.col("t"), positives).alias("py")
+    points = points.select("label", "pd_score", x, y, px, py)
     areas = points.groupBy("label").agg(F.sum((F.col("x") - F.col("px")) * (F.col("y") + F.col("py")) / 2).alias("area"), F.max("pd_score").alias("top"))
     value = F.when(F.col("top") > 0, F.col("area")).otherwise(0.0)
     return (labels_of(pairs) if labels is None else labels).join(areas, "label", "left").select("label", F.coalesce(value, F.lit(0.0)).alias("value"))

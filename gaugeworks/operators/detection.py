@@ -17,6 +17,7 @@ from gaugeworks.functions.geometry import EPSILON, box_iou, mask_iou
 from gaugeworks.functions.polygons import with_polygon_iou
 from gaugeworks.functions.ratios import f1, share
 from gaugeworks.operators.paging import page
+from gaugeworks.operators.running import running_sums
 
 
 def box_pairs(truths: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -78,8 +79,8 @@ def _listed(values: Sequence[float]) -> list[float]:
     return [float(v) for v in values]
 
 
-def _hit():
-    return (F.col("pd_score") > EPSILON) & F.col("gt_id").isNotNull() & F.col("match") & (F.col("iou") >= F.col("iou_threshold")) & (F.col("iou_prev") < F.col("iou_threshold"))
+def _hit(iou_threshold: Column) -> Column:
+    return (F.col("pd_score") > EPSILON) & F.col("gt_id").isNotNull() & F.col("match") & (F.col("iou") >= iou_threshold) & (F.col("iou_prev") < iou_threshold)
 
 
 def _kept(frame: DataFrame, datums: Column | str | None) -> DataFrame:
@@ -92,7 +93,7 @@ def precision_recall(pairs: DataFrame, ious: Sequence[float], scores: Sequence[f
     ``datums`` filters ranked rows and ground truths, not the labels; ``labels`` are given where a filter lost some.
     """
     i, s = _listed(ious), _listed(scores)
-    rows = _kept(rank(pairs), datums).where(F.col("pd_score") > EPSILON).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("hit", _hit())
+    rows = _kept(rank(pairs), datums).where(F.col("pd_score") > EPSILON).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("hit", _hit(F.col("iou_threshold")))
     sums = [F.count_if(F.col("hit") & (F.col("pd_score") >= t)).alias(f"tp_{k}") for k, t in enumerate(s)] + [F.count_if(~F.col("hit") & (F.col("pd_score") >= t)).alias(f"fp_{k}") for k, t in enumerate(s)]
     wide = rows.groupBy(F.col("pd_label").alias("label"), "iou_threshold").agg(*sums)
     tall = wide.select("label", "iou_threshold", F.inline(F.array(*(F.struct(F.lit(t).alias("score_threshold"), F.col(f"tp_{k}").alias("tp"), F.col(f"fp_{k}").alias("fp")) for k, t in enumerate(s)))))
@@ -107,12 +108,15 @@ def precision_recall(pairs: DataFrame, ious: Sequence[float], scores: Sequence[f
 def precision_recall_curve(pairs: DataFrame, ious: Sequence[float], datums: Column | str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """``label, iou_threshold, bin, precision, score``: 101 recall bins, each the best at this recall or a higher one."""
     i = _listed(ious)
-    rows = _kept(rank(pairs), datums).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("hit", _hit())
-    w = W.partitionBy("iou_threshold", "pd_label").orderBy(F.desc("pd_score"), F.desc("iou"), "datum_uid", "gt_id", "pd_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("total", F.count("*").over(w)).withColumn("right", F.sum(F.col("hit").cast("long")).over(w))
-    rows = rows.join(F.broadcast(truths_per_label(_kept(pairs, datums))), F.col("pd_label") == F.col("label"), "left").drop("label")
-    right = F.when(F.col("hit"), F.col("right")).otherwise(0)
-    rows = rows.select(F.col("pd_label").alias("label"), "iou_threshold", F.floor(share(right, F.col("n_gt")) * 100).cast("int").alias("bin"), share(right, F.col("total")).alias("precision"), "pd_score")
+    ranked = _kept(rank(pairs), datums).withColumn("label", F.col("pd_label"))
+    hits = {f"hit_{k}": _hit(F.lit(t)) for k, t in enumerate(i)}
+    rows = ranked.select("label", "pd_score", "iou", "datum_uid", "gt_id", "pd_id", *(h.alias(n) for n, h in hits.items()))
+    order = [F.desc("pd_score"), F.desc("iou"), F.asc("datum_uid"), F.asc("gt_id"), F.asc("pd_id")]
+    sums = {"total": F.lit(1)} | {f"right_{k}": F.col(n).cast("long") for k, n in enumerate(hits)}
+    rows = running_sums(rows, ["label"], "pd_score", order, sums, [truths_per_label(_kept(pairs, datums))])
+    each = [F.struct(F.lit(t).alias("iou_threshold"), F.when(F.col(f"hit_{k}"), F.col(f"right_{k}")).otherwise(0).alias("right")) for k, t in enumerate(i)]
+    rows = rows.select("label", "pd_score", "total", "n_gt", F.inline(F.array(*each)))
+    rows = rows.select("label", "iou_threshold", F.floor(share(F.col("right"), F.col("n_gt")) * 100).cast("int").alias("bin"), share(F.col("right"), F.col("total")).alias("precision"), "pd_score")
     best = rows.groupBy("label", "iou_threshold", "bin").agg(F.max("precision").alias("precision"), F.max("pd_score").alias("score"))
     grid = (labels_of(pairs) if labels is None else labels).select("label", F.explode(F.array(*map(F.lit, i))).alias("iou_threshold")).select("*", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("bin"))
     up = W.partitionBy("label", "iou_threshold").orderBy(F.desc("bin"))
