@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.paging import page
 from gaugeworks.operators.running import block_of, running_sums
 
 SCORES = [0.0, -1.0, 5e-324, 1e-300, 1e-9, 0.25, 0.5, 1 - 2**-53, 1 - 1e-9, 1.0, 1.5, float("inf"), None]
@@ -36,3 +37,15 @@ def test_blocks_never_fall_as_scores_rise(spark):
     blocks = [r.b for r in rows.select("i", block_of(F.col("s")).alias("b")).orderBy("i").collect()]
     assert blocks == sorted(blocks)
     assert len(set(blocks)) > 1000
+
+
+def test_pages_hold_the_keys_behind_the_offset(spark):
+    rows = spark.createDataFrame([(k, i) for k in [None, "a", "b", "c", "d"] for i in range(2)], "k string, i long")
+
+    def keys(limit, offset):
+        return sorted((r.k or "", r.i) for r in page(rows, "k", None, limit, offset).collect())
+
+    assert keys(None, 0) == sorted((k, i) for k in ["", "a", "b", "c", "d"] for i in range(2))
+    assert keys(None, 1) == [(k, i) for k in "bcd" for i in range(2)]
+    assert keys(2, 1) == [(k, i) for k in "bc" for i in range(2)]
+    assert keys(None, 9) == keys(2, 9) == []
