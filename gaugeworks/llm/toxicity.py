@@ -8,7 +8,7 @@ from the other folds. Scoring maps every text on its own.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +26,38 @@ STRIP = re.compile(r"[^\W\d_]+")
 N_FEATURES = 14
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    """Dense features of one text; an empty text gives zeros."""
+def features(text: str, lexica: Sequence[dict[str, float]]) -> list[list[float]]:
+    """Dense features of one text by each lexicon; the text is read once. An empty text gives zeros."""
     words = WORD.findall(text.lower())
-    n, chars = len(words), max(1, len(text))
-    strong = [i for i, w in enumerate(words) if w in lexicon or "^" + w[:5] in lexicon]
-    second = [i for i, w in enumerate(words) if w in SECOND]
+    starts = ["^" + w[:5] for w in words]
+    second = np.array([i for i, w in enumerate(words) if w in SECOND])
     hidden = [m.group() for m in MIXED.finditer(text)] + [m.group() for m in SPACED.finditer(text)]
-    caught = 0
+    bare = []  # the words each obfuscated one may stand for
     for x in hidden:
         low = x.lower()
-        plain = "".join(STRIP.findall(low.translate(LOOK)))
-        caught += plain in lexicon or "".join(STRIP.findall(low)) in lexicon or any(w in lexicon for w in STRIP.findall(low.translate(LOOK)))
-    worth = [lexicon.get(words[i]) or lexicon["^" + words[i][:5]] for i in strong]
+        parts = STRIP.findall(low.translate(LOOK))
+        bare.append({"".join(parts), "".join(STRIP.findall(low)), *parts})
+    per, chars = 1.0 / max(1, len(words)), max(1, len(text))
+    upper = sum(map(str.isupper, text)) / chars
+    marks = [text.count("!") / chars, sum(map(text.count, "%&*$#@")) / chars, len(hidden) * per, float(np.log1p(len(words)))]
+    return [_by_lexicon(x, words, starts, second, bare, per, upper, marks) for x in lexica]
+
+
+def _by_lexicon(lexicon: dict[str, float], words: list[str], starts: list[str], second: np.ndarray, bare: list[set[str]], per: float, upper: float, marks: list[float]) -> list[float]:
+    strong = [i for i, w in enumerate(words) if w in lexicon or starts[i] in lexicon]
+    worth = [lexicon.get(words[i]) or lexicon[starts[i]] for i in strong]
+    caught = sum(not lexicon.keys().isdisjoint(x) for x in bare)
     near = 0
-    if strong and second:
-        a, b = np.array(strong), np.array(second)
-        at = np.searchsorted(b, a)
-        gap = np.minimum(np.abs(a - b[np.maximum(at - 1, 0)]), np.abs(a - b[np.minimum(at, len(b) - 1)]))
+    if strong and len(second):
+        at = np.searchsorted(second, strong)
+        gap = np.minimum(np.abs(strong - second[np.maximum(at - 1, 0)]), np.abs(strong - second[np.minimum(at, len(second) - 1)]))
         near = int((gap <= 3).sum())
-    per = 1.0 / max(1, n)
-    upper = sum(map(str.isupper, text))
-    return [
-        len(strong), len(strong) * per, sum(worth), max(worth, default=0.0),
-        len({words[i] for i in strong}), caught, caught * per, len(second) * per, near, upper / chars,
-        text.count("!") / chars, sum(map(text.count, "%&*$#@")) / chars, len(hidden) * per, float(np.log1p(n)),
-    ]
+    return [len(strong), len(strong) * per, sum(worth), max(worth, default=0.0), len({words[i] for i in strong}), caught, caught * per, len(second) * per, near, upper, *marks]
 
 
-def matrix(texts: list[str | None], lexicon: dict[str, float]) -> np.ndarray:
-    return np.array([features(x or "", lexicon) for x in texts], np.float64).reshape(-1, N_FEATURES)
+def matrix(texts: list[str | None], lexica: Sequence[dict[str, float]]) -> np.ndarray:
+    """A row for each text: its features by each lexicon, one after another."""
+    return np.array([features(x or "", lexica) for x in texts], np.float64).reshape(-1, N_FEATURES * len(lexica))
 
 
 class Trees:
@@ -177,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                x = np.concatenate([matrix(part.column(0).to_pylist(), lex) for lex in lexica], 1)
+                x = matrix(part.column(0).to_pylist(), lexica)
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x.tolist(), pa.list_(pa.float64())), "y": part.column(1).cast(pa.int32()), "fold": part.column(2), "k": part.column(3)})
 
     got = rows.select("text", "toxic", "fold", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(run, "x array<double>, y int, fold int, k long").toPandas().sort_values("k", kind="stable")
@@ -199,7 +201,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         m = sent.value
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                s = np.interp(m["trees"].predict(matrix(part.column(1).to_pylist(), m["lexicon"])), *m["knots"]) if m else np.zeros(part.num_rows)
+                s = np.interp(m["trees"].predict(matrix(part.column(1).to_pylist(), [m["lexicon"]])), *m["knots"]) if m else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.clip(s, 0, 1))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
