@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, chats, decontaminate, fim, lines, media, neardup, pii, quality, spans, toxicity, urls
+from gaugeworks.llm import bpe, chats, decontaminate, fim, lines, media, neardup, pii, quality, secrets, spans, toxicity, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -123,6 +123,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
@@ -187,6 +191,6 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON c.conv_id IS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_sentence_spans, op3_media_columns, op4_fuzzy_lines, op5_quality_classifier, op6_near_duplicates, op7_personal_data, op8_decontamination, op9_byte_bpe, op10_toxicity, op12_fill_in_middle, op13_conversation_repair)
+    for f in (op1_url_filters, op2_sentence_spans, op3_media_columns, op4_fuzzy_lines, op5_quality_classifier, op6_near_duplicates, op7_personal_data, op8_decontamination, op9_byte_bpe, op10_toxicity, op11_secret_scans, op12_fill_in_middle, op13_conversation_repair)
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op8_decontamination": OP8_SQL, "op12_fill_in_middle": OP12_SQL, "op13_conversation_repair": _op13_sql()}
