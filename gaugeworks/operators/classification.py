@@ -16,6 +16,7 @@ from gaugeworks.errors import EmptyCacheError
 from gaugeworks.functions.ratios import f1, share
 from gaugeworks.operators.paging import page
 from gaugeworks.operators.running import running_sums
+from gaugeworks.sources.shared import cut
 
 RESERVED = ("datum_uid", "gt_label", "pd_label", "pd_score", "pd_winner", "match")
 WRAP = 18446744073709551616.0  # negatives are counted unsigned
@@ -96,10 +97,11 @@ def precision_recall(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), har
 
 def roc_auc(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``label, value``: trapezoids of true over false positive rate; ties in score are one point. Labels with zero scores only get 0."""
-    truths = pairs.select("datum_uid", F.col("gt_label").alias("label")).distinct().groupBy("label").agg(F.count("*").alias("positives"))
-    asked = pairs.select("datum_uid", F.col("pd_label").alias("label")).distinct().groupBy("label").agg(F.count("*").alias("asked"))
+    sides = F.inline(F.array(F.struct(F.col("gt_label").alias("label"), F.lit(True).alias("truth")), F.struct(F.col("pd_label").alias("label"), F.lit(False).alias("truth"))))
+    data = pairs.select("datum_uid", sides).where("label is not null").distinct()  # one scan for labels, truths and what was asked for
+    data = cut(data.groupBy("label").agg(F.count_if("truth").alias("positives"), F.count_if(~F.col("truth")).alias("asked")))
     points = pairs.groupBy(F.col("pd_label").alias("label"), "pd_score").agg(F.count_if("match").alias("t"), F.count_if(~F.col("match")).alias("f"))
-    points = running_sums(points, ["label"], "pd_score", [F.desc("pd_score")], {"tp": F.col("t"), "fp": F.col("f")}, [truths, asked])
+    points = running_sums(points, ["label"], [F.desc("pd_score")], {"tp": F.col("t"), "fp": F.col("f")}, [data])
     positives = F.coalesce("positives", F.lit(0)).cast("double")
     gap = F.coalesce("asked", F.lit(0)) - F.coalesce("positives", F.lit(0))
     negatives = F.when(gap < 0, gap.cast("double") + WRAP).otherwise(gap.cast("double"))
@@ -108,7 +110,7 @@ def roc_auc(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     points = points.select("label", "pd_score", x, y, px, py)
     areas = points.groupBy("label").agg(F.sum((F.col("x") - F.col("px")) * (F.col("y") + F.col("py")) / 2).alias("area"), F.max("pd_score").alias("top"))
     value = F.when(F.col("top") > 0, F.col("area")).otherwise(0.0)
-    return (labels_of(pairs) if labels is None else labels).join(areas, "label", "left").select("label", F.coalesce(value, F.lit(0.0)).alias("value"))
+    return (data.select("label") if labels is None else labels).join(areas, "label", "left").select("label", F.coalesce(value, F.lit(0.0)).alias("value"))
 
 
 def mean_roc_auc(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:

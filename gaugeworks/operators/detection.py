@@ -6,7 +6,7 @@ pd_score`` and a box ``p_xmin ...``. Equal scores and IoUs are ordered by ids.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,46 +14,92 @@ from pyspark.sql import functions as F
 
 from gaugeworks.errors import EmptyCacheError
 from gaugeworks.functions.geometry import EPSILON, box_iou, mask_iou
-from gaugeworks.functions.polygons import with_polygon_iou
+from gaugeworks.functions.polygons import bounds, with_polygon_iou
 from gaugeworks.functions.ratios import f1, share
+from gaugeworks.operators import spatial
+from gaugeworks.operators.matching import one_to_one
 from gaugeworks.operators.paging import page
 from gaugeworks.operators.running import running_sums
+from gaugeworks.sources.shared import cut
 
+BASE = ("datum_uid", "gt_id", "gt_label", "pd_id", "pd_label", "pd_score", "iou")
+#: Columns that ``finalize`` adds; metrics that find them don't rank or match again.
+FINAL = ("match", "best", "iou_prev", "kept")
+_SHAPES = tuple(f"{p}_{n}" for p in "gp" for n in ("xmin", "xmax", "ymin", "ymax", "mask", "ring", "holes"))
 
-def box_pairs(truths: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One full join inside each datum: overlapping pairs, and both sides' rest with nulls, IoU 0 and score -1."""
+
+def _metadata(frame: DataFrame) -> list[str]:
+    return [c for c in frame.columns if c not in BASE and c not in _SHAPES]
+
+
+def _merged(truths: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """Both sides with their metadata columns told apart, and the columns that bring these together: what both have is of the datum."""
+    g, p = _metadata(truths), _metadata(predictions)
+    truths, predictions = truths.withColumnsRenamed({c: f"_g_{c}" for c in g}), predictions.withColumnsRenamed({c: f"_p_{c}" for c in p})
+    both = [F.coalesce(*(f"_{s}_{c}" for s, has in (("g", g), ("p", p)) if c in has)).alias(c) for c in dict.fromkeys([*g, *p])]
+    return truths, predictions, both
+
+
+def _full(truths: DataFrame, predictions: DataFrame, more: list[Column]) -> DataFrame:
     g, p = truths.withColumnRenamed("datum_uid", "g_datum"), predictions.withColumnRenamed("datum_uid", "p_datum")
     joined = g.join(p, (F.col("g_datum") == F.col("p_datum")) & (box_iou("g_", "p_") >= EPSILON), "full")
     iou = F.when(F.col("gt_id").isNotNull() & F.col("pd_id").isNotNull(), box_iou("g_", "p_")).otherwise(0.0)
-    return joined.select(F.coalesce("g_datum", "p_datum").alias("datum_uid"), "gt_id", "gt_label", "pd_id", "pd_label", F.coalesce("pd_score", F.lit(-1.0)).alias("pd_score"), iou.alias("iou"))
+    return joined.select(F.coalesce("g_datum", "p_datum").alias("datum_uid"), "gt_id", "gt_label", "pd_id", "pd_label", F.coalesce("pd_score", F.lit(-1.0)).alias("pd_score"), iou.alias("iou"), *more)
+
+
+def _with_rest(truths: DataFrame, predictions: DataFrame, both: DataFrame, more: list[Column]) -> DataFrame:
+    """``both`` (pairs with ``iou``) and, with nulls, what of either side has no pair."""
+    both = both.where(F.col("iou") >= EPSILON)
+    kinds = dict(truths.dtypes) | dict(predictions.dtypes) | {"iou": "double"}
 
+    def rows(frame: DataFrame, given: dict[str, Column]) -> DataFrame:
+        has = set(frame.columns)
+        every = [c for c in kinds if c not in _SHAPES]
+        return frame.select(*(F.col(c) if c in has else given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in every)).select(*BASE, *more)
 
-def _pairs_by(truths: DataFrame, predictions: DataFrame, iou_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Both sides are joined inside each datum and ``iou_of`` adds ``iou``; then what overlaps nothing is added."""
-    both = iou_of(truths.join(predictions, "datum_uid")).where(F.col("iou") >= EPSILON)
-    cols = ["datum_uid", "gt_id", "gt_label", "pd_id", "pd_label", "pd_score", "iou"]
-    both = both.select(*cols)
-    none = {"gt_id": F.lit(None).cast(dict(truths.dtypes)["gt_id"]), "gt_label": F.lit(None).cast("string"), "pd_id": F.lit(None).cast(dict(predictions.dtypes)["pd_id"]), "pd_label": F.lit(None).cast("string"), "iou": F.lit(0.0)}
-    alone_g = truths.join(both, ["datum_uid", "gt_id"], "left_anti").select("datum_uid", "gt_id", "gt_label", none["pd_id"].alias("pd_id"), none["pd_label"].alias("pd_label"), F.lit(-1.0).alias("pd_score"), none["iou"].alias("iou"))
-    alone_p = predictions.join(both, ["datum_uid", "pd_id"], "left_anti").select("datum_uid", none["gt_id"].alias("gt_id"), none["gt_label"].alias("gt_label"), "pd_id", "pd_label", "pd_score", none["iou"].alias("iou"))
-    return both.union(alone_g).union(alone_p)
+    alone_g = rows(truths.join(both, ["datum_uid", "gt_id"], "left_anti"), {"pd_score": F.lit(-1.0), "iou": F.lit(0.0)})
+    alone_p = rows(predictions.join(both, ["datum_uid", "pd_id"], "left_anti"), {"iou": F.lit(0.0)})
+    return both.select(*BASE, *more).union(alone_g).union(alone_p)
+
+
+def box_pairs(truths: DataFrame, predictions: DataFrame, few: int = spatial.FEW) -> DataFrame:
+    """Overlapping pairs inside each datum, and both sides' rest with nulls, IoU 0 and score -1; metadata columns come along.
+
+    One full join compares all boxes of a datum where these are at most ``few`` pairs; a more crowded datum is tiled.
+    """
+    truths, predictions, more = _merged(truths, predictions)
+    many = spatial.crowded(truths, predictions, few)
+    if many.isEmpty():
+        return _full(truths, predictions, more)
+    small = [x.join(many, "datum_uid", "left_anti") for x in (truths, predictions)]
+    large = [x.join(many, "datum_uid", "left_semi") for x in (truths, predictions)]
+    both = cut(spatial.tiled(*large).withColumn("iou", box_iou("g_", "p_")).drop(*_SHAPES))
+    return _full(*small, more).union(_with_rest(*large, both, more))
 
 
 def mask_pairs(truths: DataFrame, predictions: DataFrame) -> DataFrame:
     """As ``box_pairs``, of packed bitmasks ``g_mask`` and ``p_mask`` (``array<bigint>``, 64 pixels a word)."""
-    return _pairs_by(truths, predictions, lambda both: both.withColumn("iou", mask_iou(F.col("g_mask"), F.col("p_mask"))))
+    truths, predictions, more = _merged(truths, predictions)
+    both = truths.join(predictions, "datum_uid").withColumn("iou", mask_iou(F.col("g_mask"), F.col("p_mask")))
+    return _with_rest(truths, predictions, both, more)
 
 
-def polygon_pairs(truths: DataFrame, predictions: DataFrame) -> DataFrame:
-    """As ``box_pairs``, of simple polygons ``g_ring`` and ``p_ring`` (``array<array<double>>`` of x and y, closed or not)."""
-    return _pairs_by(truths, predictions, lambda both: with_polygon_iou(both, "g_ring", "p_ring"))
+def polygon_pairs(truths: DataFrame, predictions: DataFrame, few: int = spatial.FEW) -> DataFrame:
+    """As ``box_pairs``, of simple polygons ``g_ring`` and ``p_ring`` (``array<array<double>>`` of x and y, closed or not), with
+    ``g_holes`` and ``p_holes`` (an array of such rings, null: none) if there are such columns. Only pairs whose bounding boxes
+    meet are clipped."""
+    truths, predictions, more = _merged(truths, predictions)
+    near = spatial.meeting(bounds(truths, "g_"), bounds(predictions, "p_"), few)
+    return _with_rest(truths, predictions, with_polygon_iou(near, "g_", "p_").drop(*_SHAPES), more)
 
 
 def rank(pairs: DataFrame) -> DataFrame:
     """The best row of each prediction and label with ``iou_prev``, from which any IoU threshold is answered row by row.
 
-    A prediction with a label that fits some ground truth keeps only such rows.
+    A prediction with a label that fits some ground truth keeps only such rows. A finalized table has them already.
     """
+    if "iou_prev" in pairs.columns:
+        return pairs.where("best")
     rows = pairs.where("pd_id is not null").withColumn("match", F.coalesce(F.col("gt_label") == F.col("pd_label"), F.lit(False)))
     fits = F.max("match").over(W.partitionBy("datum_uid", "pd_id"))
     rows = rows.withColumn("fits", fits).where("match or not fits")
@@ -65,6 +111,31 @@ def rank(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("iou_prev", previous).drop("fits", "turn")
 
 
+def matched(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``kept``: one-to-one by falling score and IoU inside each datum, whatever the labels."""
+    if "kept" in pairs.columns:
+        return pairs
+    kept = one_to_one(pairs).withColumn("kept", F.lit(True))
+    return pairs.join(kept, ["datum_uid", "gt_id", "pd_id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def base_of(pairs: DataFrame) -> DataFrame:
+    """Pairs as before ``finalize``."""
+    return pairs.drop(*FINAL)
+
+
+def finalize(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``match``, ``best`` (a row that ``rank`` keeps), its ``iou_prev``, and ``kept`` of the one-to-one matching.
+
+    The pairs are written once, then ranked and matched once, whatever number of metrics follows; each row is named by a number
+    of that copy, so equal rows stay apart.
+    """
+    held = cut(base_of(pairs).withColumn("_row", F.monotonically_increasing_id()))
+    best = rank(held).select("_row", F.col("iou_prev").alias("iou_prev"), F.lit(True).alias("best"))
+    rows = matched(held).join(best, "_row", "left").withColumns({"best": F.coalesce("best", F.lit(False)), "match": F.coalesce(F.col("gt_label") == F.col("pd_label"), F.lit(False))})
+    return rows.select(*(c for c in pairs.columns if c not in FINAL), *FINAL)
+
+
 def truths_per_label(pairs: DataFrame) -> DataFrame:
     return pairs.where("gt_id is not null").select("datum_uid", "gt_id", F.col("gt_label").alias("label")).distinct().groupBy("label").agg(F.count("*").alias("n_gt"))
 
@@ -113,7 +184,7 @@ def precision_recall_curve(pairs: DataFrame, ious: Sequence[float], datums: Colu
     rows = ranked.select("label", "pd_score", "iou", "datum_uid", "gt_id", "pd_id", *(h.alias(n) for n, h in hits.items()))
     order = [F.desc("pd_score"), F.desc("iou"), F.asc("datum_uid"), F.asc("gt_id"), F.asc("pd_id")]
     sums = {"total": F.lit(1)} | {f"right_{k}": F.col(n).cast("long") for k, n in enumerate(hits)}
-    rows = running_sums(rows, ["label"], "pd_score", order, sums, [truths_per_label(_kept(pairs, datums))])
+    rows = running_sums(rows, ["label"], order, sums, [truths_per_label(_kept(pairs, datums))])
     each = [F.struct(F.lit(t).alias("iou_threshold"), F.when(F.col(f"hit_{k}"), F.col(f"right_{k}")).otherwise(0).alias("right")) for k, t in enumerate(i)]
     rows = rows.select("label", "pd_score", "total", "n_gt", F.inline(F.array(*each)))
     rows = rows.select("label", "iou_threshold", F.floor(share(F.col("right"), F.col("n_gt")) * 100).cast("int").alias("bin"), share(F.col("right"), F.col("total")).alias("precision"), "pd_score")
@@ -135,52 +206,80 @@ def average_recall(pairs: DataFrame, ious: Sequence[float], scores: Sequence[flo
     return precision_recall(pairs, ious, scores, datums, labels).groupBy("label", "score_threshold").agg(F.avg("recall").alias("value"))
 
 
-def matched(pairs: DataFrame) -> DataFrame:
-    """Pairs with ``kept``: one-to-one by falling score and IoU inside each datum, whatever the labels.
+def _entities(pairs: DataFrame) -> DataFrame:
+    """``datum_uid, gt_id, pd_id, gt_label, pd_label, score, iou, b_score, b_iou``: a row for each matched pair, prediction and
+    ground truth. It counts at thresholds that ``score`` and ``iou`` reach (null: any) and that ``b_score`` and ``b_iou``, those of
+    the pair that would take its box away, don't both reach."""
+    g, p = W.partitionBy("datum_uid", "gt_id"), W.partitionBy("datum_uid", "pd_id")
+    on = F.col("kept") & (F.col("pd_score") > EPSILON)
+    rows = matched(pairs).select(*BASE, on.alias("on"))
+    most = F.max(F.when(F.col("on"), F.struct("iou", "pd_score")))
+    turn = lambda side, by: F.row_number().over(W.partitionBy("datum_uid", f"{side}_id", f"{side}_label").orderBy(by)) == 1
+    rows = rows.withColumns({"g_best": most.over(g), "g_first": turn("gt", F.asc("pd_id"))})
+    rows = rows.withColumns({"p_best": most.over(p), "p_first": turn("pd", F.desc("pd_score"))})
+    none = F.lit(None).cast("double")
 
-    The fold over a datum's pairs is bounded by the boxes of one datum.
-    """
-    item = F.struct((-F.col("pd_score")).alias("s"), (-F.col("iou")).alias("i"), "gt_id", "pd_id")
-    real = pairs.where("gt_id is not null and pd_id is not null")
-    empty = F.struct(F.array().cast("array<bigint>").alias("g"), F.array().cast("array<bigint>").alias("p"))
+    def entity(test: Column, sides: str, score: Column, iou: Column, best: str | None) -> Column:
+        cols = [F.when(F.lit(c[0] in sides), F.col(c)).alias(c) for c in ("gt_id", "pd_id", "gt_label", "pd_label")]
+        blocked = [none.alias("b_score"), none.alias("b_iou")] if best is None else [F.col(f"{best}.pd_score").alias("b_score"), F.col(f"{best}.iou").alias("b_iou")]
+        return F.when(test, F.struct(*cols, score.alias("score"), iou.alias("iou"), *blocked))
 
-    def step(acc, x):
-        free = ~F.array_contains(acc["g"], x["gt_id"]) & ~F.array_contains(acc["p"], x["pd_id"])
-        return F.when(free, F.struct(F.array_append(acc["g"], x["gt_id"]).alias("g"), F.array_append(acc["p"], x["pd_id"]).alias("p"))).otherwise(acc)
+    found = [
+        entity(F.col("on"), "gp", F.col("pd_score"), F.col("iou"), None),
+        entity(F.col("pd_id").isNotNull() & (F.col("pd_score") > EPSILON) & F.col("p_first"), "p", F.col("pd_score"), none, "p_best"),
+        entity(F.col("gt_id").isNotNull() & F.col("g_first"), "g", none, none, "g_best"),
+    ]
+    return rows.select("datum_uid", F.inline(F.array_compact(F.array(*found))))
 
-    folded = real.groupBy("datum_uid").agg(F.aggregate(F.array_sort(F.collect_list(item)), empty, step).alias("m"))
-    kept = folded.select("datum_uid", F.explode(F.arrays_zip("m.g", "m.p")).alias("z")).select("datum_uid", F.col("z.g").alias("gt_id"), F.col("z.p").alias("pd_id"), F.lit(True).alias("kept"))
-    return pairs.join(kept, ["datum_uid", "gt_id", "pd_id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+def _counts_at(i: float, s: float) -> Column:
+    reached = F.coalesce(F.col("score") >= s, F.lit(True)) & F.coalesce(F.col("iou") >= i, F.lit(True))
+    return reached & ~F.coalesce((F.col("b_score") >= s) & (F.col("b_iou") >= i), F.lit(False))
 
 
 def outcomes(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None) -> DataFrame:
     """``iou_threshold, score_threshold, datum_uid, gt_id, pd_id, gt_label, pd_label``: matched pairs, and with nulls what has no partner.
 
-    These are the confusion matrix's examples, a row each. Matching comes before thresholds.
+    These are the confusion matrix's examples, a row each. Matching comes before thresholds; a filter comes before matching.
     """
     i, s = _listed(ious), _listed(scores)
-    rows = matched(_kept(pairs, datums)).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, i)))).withColumn("score_threshold", F.explode(F.array(*map(F.lit, s))))
-    grid = ["iou_threshold", "score_threshold"]
-    scored = F.col("pd_id").isNotNull() & (F.col("pd_score") >= F.col("score_threshold")) & (F.col("pd_score") > EPSILON)
-    both = F.col("kept") & scored & (F.col("iou") >= F.col("iou_threshold"))
-    rows = rows.withColumn("scored", scored).withColumn("both", both)
-    rows = rows.withColumn("g_both", F.max("both").over(W.partitionBy(*grid, "datum_uid", "gt_id"))).withColumn("p_both", F.max("both").over(W.partitionBy(*grid, "datum_uid", "pd_id")))
-    cols = ("gt_id", "pd_id", "gt_label", "pd_label")
+    grid = [F.when(_counts_at(x, y), F.struct(F.lit(x).alias("iou_threshold"), F.lit(y).alias("score_threshold"))) for x in i for y in s]
+    rows = _entities(_rematched(pairs, datums))
+    return rows.select("datum_uid", "gt_id", "pd_id", "gt_label", "pd_label", F.inline(F.array_compact(F.array(*grid)))).select("iou_threshold", "score_threshold", "datum_uid", "gt_id", "pd_id", "gt_label", "pd_label")
 
-    def outcome(test: Column, *sides: str) -> Column:
-        return F.when(test, F.struct(*(F.when(F.lit(c[:2] in sides), F.col(c)).alias(c) for c in cols)))
 
-    found = F.array(outcome(F.col("both"), "gt", "pd"), outcome(F.col("pd_id").isNotNull() & F.col("scored") & ~F.col("p_both"), "pd"), outcome(F.col("gt_id").isNotNull() & ~F.col("g_both"), "gt"))
-    return rows.select(*grid, "datum_uid", F.inline(F.array_compact(found))).distinct()
+def _rematched(pairs: DataFrame, datums: Column | str | None) -> DataFrame:
+    """What a filter keeps, matched anew, as it may split a datum."""
+    return pairs if datums is None else base_of(pairs).where(datums) if "kept" in pairs.columns else pairs.where(datums)
 
 
-def confusion_matrix(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None, examples: bool = False) -> DataFrame:
-    """``iou_threshold, score_threshold, gt_label, pd_label, count``; a null label stands for unmatched.
+def confusion_matrix(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None, examples: bool = False, most: int | None = None) -> DataFrame:
+    """``iou_threshold, score_threshold, gt_label, pd_label, count``; a null label stands for unmatched. Sparse.
 
-    With ``examples`` each cell also lists its ``(datum_uid, gt_id, pd_id)``; lists are as long as cells are large.
+    With ``examples`` each cell also lists its ``(datum_uid, gt_id, pd_id)``, the ``most`` least ones if that is given; else lists are
+    as long as cells are large, for which ``matrix_examples`` gives rows.
     """
-    wanted = [F.count("*").alias("count")] + ([F.array_sort(F.collect_list(F.struct("datum_uid", "gt_id", "pd_id"))).alias("examples")] if examples else [])
-    return outcomes(pairs, ious, scores, datums).groupBy("iou_threshold", "score_threshold", "gt_label", "pd_label").agg(*wanted)
+    i, s = _listed(ious), _listed(scores)
+    grid, cell = [(x, y) for x in i for y in s], ["iou_threshold", "score_threshold", "gt_label", "pd_label"]
+    entities = _entities(_rematched(pairs, datums))
+    wide = entities.groupBy("gt_label", "pd_label").agg(*(F.count_if(_counts_at(x, y)).alias(f"n_{k}") for k, (x, y) in enumerate(grid)))
+    tall = F.array(*(F.struct(F.lit(x).alias("iou_threshold"), F.lit(y).alias("score_threshold"), F.col(f"n_{k}").alias("count")) for k, (x, y) in enumerate(grid)))
+    counts = wide.select("gt_label", "pd_label", F.inline(tall)).where("count > 0").select(*cell, "count")
+    if not examples:
+        return counts
+    rows = matrix_examples(pairs, ious, scores, datums, most)
+    listed = rows.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("datum_uid", "gt_id", "pd_id"))).alias("examples"))
+    same = [counts[c].eqNullSafe(listed[c]) for c in cell]
+    return counts.join(listed, same[0] & same[1] & same[2] & same[3]).select(*(counts[c] for c in cell), "count", "examples")
+
+
+def matrix_examples(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None, most: int | None = None) -> DataFrame:
+    """``outcomes``, of each cell the ``most`` least by datum and ids if that is given: each task gives as many at most before the shuffle."""
+    rows = outcomes(pairs, ious, scores, datums)
+    if most is None:
+        return rows
+    cell = W.partitionBy("iou_threshold", "score_threshold", "gt_label", "pd_label").orderBy("datum_uid", "gt_id", "pd_id")
+    return rows.withColumn("_turn", F.row_number().over(cell)).where(F.col("_turn") <= most).drop("_turn")
 
 
 def examples(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], datums: Column | str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -189,7 +288,7 @@ def examples(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], d
     A pair of different labels is a false positive and a false negative. ``limit`` and ``offset`` page over datums in order. The lists are bounded by the boxes of a datum.
     """
     right = F.coalesce(F.col("gt_label") == F.col("pd_label"), F.lit(False))
-    paged = page(_kept(pairs, datums), "datum_uid", None, limit, offset)
+    paged = page(_rematched(pairs, datums), "datum_uid", None, limit, offset)
     return outcomes(paged, ious, scores).groupBy("datum_uid", "iou_threshold", "score_threshold").agg(
         F.array_sort(F.collect_set(F.when(right, F.struct("gt_id", "pd_id")))).alias("true_positives"),
         F.array_sort(F.collect_set(F.when(~right, F.col("pd_id")))).alias("false_positives"),
@@ -211,8 +310,10 @@ def summary(pairs: DataFrame, ious: Sequence[float], scores: Sequence[float], da
 def select(pairs: DataFrame, datums: Column | str | None = None, groundtruths: Column | str | None = None, predictions: Column | str | None = None) -> DataFrame:
     """Pairs in which a side that isn't selected is null (score -1), with IoU 0 unless both stay; rows without a side go.
 
-    A predicate that is null doesn't select. Raises EmptyCacheError if nothing is left.
+    A predicate that is null doesn't select. Raises EmptyCacheError if nothing is left. Of a finalized table it keeps the pairs,
+    not their ranks and matches.
     """
+    pairs = base_of(pairs)
     out = base = pairs if datums is None else pairs.where(datums)
     for by, key, side in ((groundtruths, "gt_id", ["gt_id", "gt_label"]), (predictions, "pd_id", ["pd_id", "pd_label"])):
         if by is None:

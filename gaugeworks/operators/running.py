@@ -1,4 +1,4 @@
-"""Running sums by falling score in blocks, so that a frequent key is many tasks."""
+"""Running sums in one order over all rows, dealt to tasks by ranges of that order."""
 
 from __future__ import annotations
 
@@ -8,32 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WIDTH = 1 / 1024  # of a block, in log-odds
-END = 1 << 20  # beyond the log-odds of any score between 0 and 1
+from gaugeworks.sources.shared import cut
 
 
-def block_of(score: Column) -> Column:
-    """A block by log-odds, which never falls as the score rises: fine at both ends, where scores crowd, and the same in every run.
+def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column], facts: Sequence[DataFrame] = ()) -> DataFrame:
+    """Rows with each of ``sums`` added up from a key's first row in ``order`` to this one.
 
-    Scores from 1 on are one block, so are those up to 0 and nulls.
+    Rows are dealt by ranges of the keys and the whole order, written once with the number of their range, and summed up
+    within a range; then the sums of the ranges before are added, a row for each key and range. So neither a frequent key
+    nor equal scores decide how much one task gets. ``facts``, a row or none for each key, come along. Rows of a null key go.
     """
-    inside = F.floor(F.log(score / (1.0 - score)) / F.lit(WIDTH))
-    return F.when(score >= 1.0, F.lit(END)).when(score > 0.0, inside).otherwise(F.lit(-END)).cast("int")
-
-
-def running_sums(rows: DataFrame, keys: Sequence[str], score: str, order: Sequence[Column], sums: dict[str, Column], facts: Sequence[DataFrame] = ()) -> DataFrame:
-    """Rows with each of ``sums`` (none below zero) added up from a key's first row in ``order`` to this one; ``order`` starts by falling score.
-
-    Sums run inside blocks of a key, then the blocks before are added: a key's window holds one row a block. ``facts``, a row
-    or none for each key, come along with the blocks. Rows of a null key go; rows that tie in score stay in one block.
-    """
-    place = [*keys, "block"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    held = cut(rows.repartitionByRange(tasks, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    place = [*keys, "_range"]
     inside = W.partitionBy(*place).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("block", block_of(F.col(score))).withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-    ends = rows.groupBy(*place).agg(*(F.max(n).alias(n) for n in sums))
-    before = W.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ends = held.groupBy(*place).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
     starts = ends.select(*place, *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums))
     for each in facts:
         starts = starts.join(each, list(keys), "left")
-    out = rows.join(starts, place).withColumns({n: F.col(n) + F.col(f"{n}_before") for n in sums})
-    return out.drop("block", *(f"{n}_before" for n in sums))
+    out = held.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(starts, place)
+    return out.withColumns({n: F.col(n) + F.col(f"{n}_before") for n in sums}).drop("_range", *(f"{n}_before" for n in sums))
