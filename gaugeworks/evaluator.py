@@ -15,6 +15,7 @@ from gaugeworks.errors import EmptyCacheError
 from gaugeworks.metrics import Metric
 from gaugeworks.operators import classification, detection, segmentation
 from gaugeworks.sources import store
+from gaugeworks.sources.shared import cut
 
 Filter = Column | str | None
 
@@ -47,15 +48,19 @@ class Builder:
         if self.frame is None or self.frame.isEmpty():
             raise EmptyCacheError
         self.done = True
+        frame = self.evaluator.finalized(self.frame)
         if self.path is None:
-            return self.evaluator(self.frame, index_to_label_override, self.fields)
-        store.write(self.frame, self.path, self.fields, **self.options)
+            return self.evaluator(frame, index_to_label_override, self.fields)
+        store.write(frame, self.path, self.fields, **self.options, bucket=self.evaluator.bucket)
         return self.evaluator.load(self.spark, self.path, index_to_label_override)
 
 
 class Evaluator:
     """The pair table, and the labels that all metrics are given for."""
 
+    bucket: str | None = "datum_uid"  # the column that a folder is bucketed by
+    finalized = staticmethod(cut)  # what is done once, before any metric
+
     def __init__(self, pairs: DataFrame, labels: DataFrame | None = None, metadata_fields: dict[str, str] | None = None, stored: bool = False):
         self.pairs, self.fields, self.stored = pairs, metadata_fields or {}, stored
         self.labels = self._labels_of(pairs) if labels is None else labels
@@ -76,9 +81,10 @@ class Evaluator:
         """With the parent's labels, also those that have no row left."""
         if self.stored and path is None:
             raise ValueError("an evaluator on disk needs a path for what it filters")
+        pairs = self.finalized(pairs)
         if path is None:
             return type(self)(pairs, self.labels, self.fields)
-        store.write(pairs, path, self.fields)
+        store.write(pairs, path, self.fields, bucket=self.bucket)
         return type(self).load(pairs.sparkSession, path, self.labels)
 
     def iterate_values(self, columns: Sequence[str], datums: Filter = None) -> DataFrame:
@@ -123,6 +129,12 @@ class ClassificationBuilder(Builder):
 
 
 class DetectionEvaluator(Evaluator):
+    """Its table is ranked and matched when it is finalized, and once more when a filter makes another one."""
+
+    @staticmethod
+    def finalized(pairs: DataFrame) -> DataFrame:
+        return cut(detection.finalize(pairs))
+
     _labels_of, _info = staticmethod(detection.labels_of), staticmethod(detection.info)
 
     def filter(self, datums: Filter = None, groundtruths: Filter = None, predictions: Filter = None, path: str | None = None) -> Evaluator:

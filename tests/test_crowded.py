@@ -125,3 +125,28 @@ def test_finalized_tables_give_the_same_metrics(spark):
         assert plain(metric(done)) == plain(metric(pairs))
         assert plain(metric(done, datums="datum_uid < 3")) == plain(metric(pairs, datums="datum_uid < 3"))
     assert plain(d.select(done, groundtruths="gt_label = 'a'")) == plain(d.select(pairs, groundtruths="gt_label = 'a'"))
+
+
+def test_folder_is_ranked_once_and_read_without_an_exchange(spark, tmp_path):
+    rng = random.Random(2)
+    g, p = boxes(spark, 60, "gt", rng, 6), boxes(spark, 60, "pd", rng, 6)
+    builder = e.DetectionBuilder.persistent(spark, f"{tmp_path}/t")
+    builder.add_bounding_boxes(g, p)
+    stored = builder.finalize()
+    again = e.DetectionEvaluator.load(spark, f"{tmp_path}/t")
+    builder = e.DetectionBuilder.in_memory(spark)
+    builder.add_bounding_boxes(g, p)
+    memory = builder.finalize()
+    for f in (lambda x: x.compute_precision_recall([0.1, 0.5], [0.0, 0.5]), lambda x: x.compute_confusion_matrix([0.1], [0.5])):
+        assert sorted(map(repr, f(stored))) == sorted(map(repr, f(again))) == sorted(map(repr, f(memory)))
+    for query in (d.truths_per_label(again.pairs), d._entities(again.pairs)):
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        assert "datum_uid" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x), plan
+    assert "Window" not in d.precision_recall(again.pairs, [0.5], [0.5])._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(FileExistsError):
+        again._filtered(d.base_of(again.pairs), f"{tmp_path}/t")
+    part = again.filter("datum_uid < 2", path=f"{tmp_path}/f")
+    assert sorted(map(repr, part.compute_confusion_matrix([0.1], [0.5]))) == sorted(map(repr, again.compute_confusion_matrix([0.1], [0.5], "datum_uid < 2")))
+    e.DetectionEvaluator.delete(spark, f"{tmp_path}/t")
+    with pytest.raises(FileNotFoundError):
+        e.DetectionEvaluator.load(spark, f"{tmp_path}/t")

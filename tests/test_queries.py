@@ -2,7 +2,7 @@
 
 import pytest
 
-from gaugeworks.plans import more_queries  # noqa: F401
+from gaugeworks.plans import crowded, more_queries  # noqa: F401
 from gaugeworks.plans import queries as core
 from oracle import same
 
