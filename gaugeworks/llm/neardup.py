@@ -3,8 +3,10 @@
 Each shingle of five words has its count as weight. Its arrivals form a Poisson process of that rate; an arrival goes to
 a random register, which keeps the earliest. A shingle ends as soon as its next arrival is later than all registers of
 the document. Registers of two documents agree with the probability Jaccard of their weights. Candidates share a band of
-ROWS registers; a pair counts if the Jaccard of the two shingle sets is at least 0.8, computed exactly. Texts are told
-apart by 128 bits; of two texts whose first 64 agree by chance only one is linked to others.
+ROWS registers; a pair counts if the Jaccard of the two shingle sets is at least 0.8, computed exactly. A text that repeats
+a shingle also has bands of a second signature, with all weights 1, so equal sets of unlike counts meet as well; without
+repeats the two signatures are one. Texts are told apart by 128 bits; of two texts whose first 64 agree by chance only one
+is linked to others.
 """
 
 from __future__ import annotations
@@ -88,28 +90,42 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _bands(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Band keys of weighted sets (elements, counts)."""
+    if not sets:
+        return []
+
+    def keys(some: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        owner = np.repeat(np.arange(len(some)), [len(e) for e, _ in some])
+        return band_keys(prob_min_hash(np.concatenate([e for e, _ in some]), np.concatenate([c for _, c in some]).astype(float), owner, len(some)))
+
+    out = list(keys(sets))
+    if again := [i for i, (_, c) in enumerate(sets) if c.max() > 1]:
+        for i, more in zip(again, keys([(sets[i][0], np.ones(len(sets[i][0]))) for i in again]), strict=True):
+            out[i] = np.unique(np.concatenate([out[i], more]))
+    return out
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, k, h, size, bands``: k and h name the text's words, size is the number of its distinct shingles, bands are its keys (no size or bands without words)."""
+    """``doc_id, r, q, k, h, size, bands``: r and q name the row, k and h the text's words, size is the number of its distinct shingles, bands are its keys (no size or bands without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.enter("neardup", _forget)
         for batch in batches:
             for b in common.slices(batch, "text", SLICE):
-                words = [(x or "").lower().split() for x in b.column(1).to_pylist()]
+                words = [(x or "").lower().split() for x in b.column(3).to_pylist()]
                 keys = [key_of(w) for w in words]
                 rows = {k: i for i, k in reversed(list(enumerate(keys))) if words[i]}
                 sets = [np.unique(shingle_hashes(words[i]), return_counts=True) for i in rows.values()]
                 bands: list = [None] * len(words)
-                if sets:
-                    owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
-                    sig = prob_min_hash(np.concatenate([e for e, _ in sets]), np.concatenate([c for _, c in sets]).astype(float), owner, len(sets))
-                    for i, row in zip(rows.values(), band_keys(sig), strict=True):
-                        bands[i] = row
+                for i, row in zip(rows.values(), _bands(sets), strict=True):
+                    bands[i] = row
                 size = {i: len(e) for i, (e, _) in zip(rows.values(), sets, strict=True)}
-                cols = [b.column(0), *(pa.array(x, pa.int64()) for x in zip(*keys, strict=True)), pa.array(map(size.get, range(len(words))), pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "h", "size", "bands"])
+                cols = [*(b.column(i) for i in range(3)), *(pa.array(x, pa.int64()) for x in zip(*keys, strict=True)), pa.array(map(size.get, range(len(words))), pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "r", "q", "k", "h", "size", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, h long, size int, bands array<long>")
+    r, q = common.row_id()
+    return docs.select("doc_id", r.alias("r"), q.alias("q"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, r long, q long, k long, h long, size int, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -160,7 +176,7 @@ def links(docs: DataFrame, prints: DataFrame, least: float = SIMILAR) -> DataFra
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for b in batches:
                 if b.num_rows:
-                    yield b.column(1).flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), BANDS)
+                    yield b.column(1).flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy()))
 
         yield from common.star_blocks(pairs(), n)
 
@@ -174,6 +190,13 @@ def links(docs: DataFrame, prints: DataFrame, least: float = SIMILAR) -> DataFra
     return roots.withColumnRenamed("node", "k").join(one.select("k", "h"), "k").select("k", "h", "root")
 
 
+def _groups(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """``k, h, g, first, n``: each text's group, its first row by (doc_id, r, q), and how many rows it has; rows without a doc_id aside."""
+    texts = prints.where("doc_id is not null").groupBy("k", "h").agg(F.min(F.struct("doc_id", "r", "q")).alias("first"), F.count("*").alias("n"))
+    group = F.when(F.col("root").isNotNull(), F.struct("root", F.lit(None).cast("long").alias("h"))).otherwise(F.struct(F.col("k").alias("root"), "h"))
+    return texts.join(roots, ["k", "h"], "left").withColumn("g", group)
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``doc_id, class_id, n_class``: class_id is the least doc_id of the component of equal or similar texts.
 
@@ -181,11 +204,8 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     a class of its own; rows with the same doc_id and text count once each in ``n_class``. Other columns aren't looked at.
     """
     prints = common.cut(fingerprints(docs))
-    roots = links(docs, prints, least)
-    texts = prints.where("doc_id is not null").groupBy("k", "h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    group = F.when(F.col("root").isNotNull(), F.struct("root", F.lit(None).cast("long").alias("h"))).otherwise(F.struct(F.col("k").alias("root"), "h"))
-    texts = texts.join(roots, ["k", "h"], "left").withColumn("g", group)
-    groups = texts.groupBy("g").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_class"))
+    texts = _groups(prints, links(docs, prints, least))
+    groups = texts.groupBy("g").agg(F.min("first.doc_id").alias("class_id"), F.sum("n").alias("n_class"))
     by_text = common.cut(texts.join(groups, texts["g"].eqNullSafe(groups["g"])).select("k", "h", "class_id", "n_class"))
     out = prints.select("doc_id", "k", "h").join(by_text, ["k", "h"], "left")
     own = F.col("doc_id").isNull()
@@ -195,12 +215,16 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` with one document of each class, that of least doc_id, one row of it; rows without doc_id stay.
 
-    Of the texts without words, null ones too, one stays. Other columns stay as they are.
+    A document is a doc_id and its text: of two unlike texts of one doc_id both stay. Of the texts without words, null ones
+    too, one stays. Other columns stay as they are.
     """
-    first = classes(docs, least).where("doc_id = class_id").select("doc_id").distinct()
-    mine = docs.where("doc_id is not null").join(first.hint("shuffle_hash"), "doc_id", "left_semi")
-    # a doc_id given twice: one row of it
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    single = mine.join(twice.hint("shuffle_hash"), "doc_id", "left_anti")
-    rest = mine.join(twice.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(rest).unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
+    prints = common.cut(fingerprints(docs))
+    first = _groups(prints, links(docs, prints, least)).groupBy("g").agg(F.min("first").alias("first"))
+    kr, kq = common.fresh(docs.columns, "_r", "_q")
+    first = common.cut(first.select(F.col("first.r").alias(kr), F.col("first.q").alias(kq)))
+    twice = prints.where("doc_id is not null").groupBy("r", "q").agg(F.count("*").alias("n")).where("n > 1").select(F.col("r").alias(kr), F.col("q").alias(kq))
+    r, q = common.row_id()
+    mine = docs.where("doc_id is not null").withColumns({kr: r, kq: q}).join(first.hint("shuffle_hash"), [kr, kq], "left_semi")
+    single = mine.join(twice.hint("shuffle_hash"), [kr, kq], "left_anti")
+    rest = mine.join(twice.hint("shuffle_hash"), [kr, kq], "left_semi").dropDuplicates([kr, kq])  # a row given twice
+    return single.unionByName(rest).drop(kr, kq).unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
