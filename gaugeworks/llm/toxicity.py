@@ -140,10 +140,14 @@ def held_out(column: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """``doc_id, text, toxic``: at most ``most`` labelled rows that aren't held out. The ids are bounded, so they are sent to the texts."""
+    """``doc_id, text, toxic``: at most ``most`` labelled rows that aren't held out. The ids are bounded, so they are sent to the texts.
+
+    Each id gives one row: of its texts the least by hash. Repeated rows go before the shuffle, so the bound holds for rows too.
+    """
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _lexicon(words: list[tuple[str, list[int], list[int]]], n_toxic: list[int], n_clean: list[int], without: int | None) -> dict[str, float]:
