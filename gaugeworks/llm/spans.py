@@ -1,8 +1,10 @@
 """Substring dedup: sliding runs of sentences, hashed and met globally; sentences of non-first repeats go.
 
-A run starts at each sentence and takes the fewest sentences, at least two, that hold MIN_WORDS words; a sentence of
-LONE_WORDS or more is also a run of its own. Runs are compared by their lower-cased words, through a 128-bit hash. First
-is by (doc_id, row, place). Sentences shared through any run but its first occurrence are removed.
+A run starts at each sentence and takes the fewest sentences, at least two, that hold MIN_WORDS words; another one ends at
+each sentence and reaches back as far. So all sentences of a repeated span of two or more with MIN_WORDS words in all lie
+in runs inside it, whatever stands around it. A sentence of LONE_WORDS or more is also a run of its own. Runs are compared
+by their lower-cased words, through a 128-bit hash. First is by (doc_id, row, place). Sentences shared through any run but
+its first occurrence are removed.
 """
 
 from __future__ import annotations
@@ -29,19 +31,29 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(parts: list[str]) -> Iterator[tuple[int, int, str]]:
-    """(start, sentences, normalised text) of each run."""
+    """(start, sentences, normalised text) of each run, once. Sentences without words begin and end none."""
     words = [x.lower().split() for x in parts]
-    for i in range(len(parts)):
-        if not words[i]:
-            continue
-        if len(words[i]) >= LONE_WORDS:
+    size = list(map(len, words))
+    for i, n in enumerate(size):
+        if n >= LONE_WORDS:
             yield i, 1, " ".join(words[i])
-        run, j = list(words[i]), i + 1
-        while j < len(parts) and (len(run) < MIN_WORDS or j == i + 1):
-            run += words[j]
-            j += 1
-        if len(run) >= MIN_WORDS and j > i + 1:
-            yield i, j - i, " ".join(run)
+
+    def reach(i: int, step: int) -> int | None:
+        """The other end of the run from i on."""
+        held, j = size[i], i
+        while held < MIN_WORDS or j == i:
+            j += step
+            if not 0 <= j < len(size):
+                return None
+            held += size[j]
+        return j
+
+    ahead = {i: j for i in range(len(size)) if size[i] and (j := reach(i, 1)) is not None}
+    for i, j in ahead.items():
+        yield i, j - i + 1, " ".join(w for x in words[i : j + 1] for w in x)
+    for j in range(len(size)):
+        if size[j] and (i := reach(j, -1)) is not None and ahead.get(i) != j:
+            yield i, j - i + 1, " ".join(w for x in words[i : j + 1] for w in x)
 
 
 def _sort(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
