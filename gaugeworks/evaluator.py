@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from gaugeworks import metrics
 from gaugeworks.errors import EmptyCacheError
 from gaugeworks.metrics import Metric
-from gaugeworks.operators import classification, detection, segmentation
+from gaugeworks.operators import classification, detection, masks, segmentation
 from gaugeworks.sources import store
 from gaugeworks.sources.shared import cut
 
@@ -187,5 +187,5 @@ class SegmentationBuilder(Builder):
     evaluator = SegmentationEvaluator
 
     def add_data(self, data: DataFrame) -> None:
-        """``uid, height, width, groundtruths, predictions`` with masks as in ``masks_to_pixels``."""
-        self._add(segmentation.pixel_counts(segmentation.masks_to_pixels(data)))
+        """``uid, height, width, groundtruths, predictions`` with masks as in ``masks.word_rows``."""
+        self._add(masks.mask_counts(data))

@@ -52,27 +52,6 @@ def info(counts: DataFrame, datums: Column | str | None = None, groundtruths: Co
     return sums.crossJoin(counts.agg(F.count("*").alias("number_of_rows"))).crossJoin(labels)  # one row each
 
 
-def masks_to_pixels(data: DataFrame) -> DataFrame:
-    """Pixel rows of ``uid, height, width, groundtruths, predictions``, each a list of ``(label, pixels)`` with offsets row * width + column.
-
-    The first mask of a side keeps a pixel that several hold. Each datum gives one row for every pixel of its shape, with
-    nulls for background. Raises where a shape isn't positive or an offset lies outside.
-    """
-    area = F.col("height") * F.col("width")
-    sound = (F.col("height") > 0) & (F.col("width") > 0)
-    rows = data.where(F.when(F.coalesce(sound, F.lit(False)), True).otherwise(F.raise_error(F.lit("a shape needs two positive sides")).cast("boolean")))
-
-    def side(name: str, label: str) -> DataFrame:
-        at = rows.select(F.col("uid").alias("datum_uid"), area.alias("area"), F.posexplode(name).alias("turn", "m")).select("datum_uid", "area", "turn", F.col("m.label").alias(label), F.explode("m.pixels").alias("pixel"))
-        inside = (F.col("pixel") >= 0) & (F.col("pixel") < F.col("area"))
-        at = at.where(F.when(inside, True).otherwise(F.raise_error(F.lit("a mask has a pixel outside the shape")).cast("boolean")))
-        return at.groupBy("datum_uid", "pixel").agg(F.min_by(label, "turn").alias(label))
-
-    both = side("groundtruths", "gt_label").join(side("predictions", "pd_label"), ["datum_uid", "pixel"], "full")
-    every = rows.select(F.col("uid").alias("datum_uid"), F.explode(F.sequence(F.lit(0), area.cast("int") - 1)).alias("pixel"))
-    return every.join(both, ["datum_uid", "pixel"], "left").select("datum_uid", "pixel", "gt_label", "pd_label")
-
-
 def metrics(counts: DataFrame, datums: Column | str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """``label, precision, recall, f1, iou`` and, the same on each row, ``accuracy`` and ``mean_iou`` over all labels."""
     kept = counts if datums is None else counts.where(datums)

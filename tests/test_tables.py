@@ -10,7 +10,7 @@ from gaugeworks.errors import EmptyCacheError, InvalidLLMResponseError
 from gaugeworks.functions.polygons import polygon_iou
 from gaugeworks.functions.stemmer import stem
 from gaugeworks.metrics import Metric
-from gaugeworks.operators import judged, segmentation, text
+from gaugeworks.operators import judged, masks, text
 from gaugeworks.sources import cache
 
 SCHEMA = "a long, b double, c string"
@@ -166,8 +166,8 @@ def test_segmentation_masks(spark):
     rows = [("u", 2, 3, [("a", [0, 1]), ("b", [1, 2])], [("a", [0]), ("c", [0, 5])])]
     schema = "uid string, height int, width int, groundtruths array<struct<label:string,pixels:array<int>>>, predictions array<struct<label:string,pixels:array<int>>>"
     data = spark.createDataFrame(rows, schema)
-    got = {r.pixel: (r.gt_label, r.pd_label) for r in segmentation.masks_to_pixels(data).collect()}
-    assert got == {0: ("a", "a"), 1: ("a", None), 2: ("b", None), 3: (None, None), 4: (None, None), 5: (None, "c")}
+    got = {(r.gt_label, r.pd_label): r["count"] for r in masks.mask_counts(data).collect()}
+    assert got == {("a", "a"): 1, ("a", None): 1, ("b", None): 1, (None, None): 2, (None, "c"): 1}
     builder = e.SegmentationBuilder.in_memory(spark)
     builder.add_data(data)
     ev = builder.finalize()
@@ -177,7 +177,54 @@ def test_segmentation_masks(spark):
     assert ev.filter(groundtruths="gt_label = 'a'").info["number_of_pixels"] == 6
     for bad in (("u", 0, 3, [], []), ("u", 1, 1, [("a", [1])], [])):
         with pytest.raises(Exception, match="shape"):
-            segmentation.masks_to_pixels(spark.createDataFrame([bad], schema)).collect()
+            masks.mask_counts(spark.createDataFrame([bad], schema)).collect()
+
+
+def test_mask_forms_equal_pixels(spark):
+    """Pixel lists, runs and packed words of random overlapping masks against sets of pixels; shapes that end within a word."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for uid in range(25):
+        h, w = int(rng.integers(1, 14)), int(rng.integers(1, 30))
+        both = []
+        for _ in range(2):
+            side = []
+            for _ in range(int(rng.integers(0, 5))):
+                start, length = int(rng.integers(0, h * w)), int(rng.integers(1, h * w + 1))
+                a = sorted({*range(start, min(start + length, h * w)), *rng.integers(0, h * w, 3).tolist()})
+                side.append((rng.choice(list("abc")).item(), a))
+            both.append(side)
+        rows.append((uid, h, w, *both))
+        first = [{}, {}]
+        for k in (0, 1):
+            for label, a in both[k]:
+                for x in a:
+                    first[k].setdefault(x, label)
+        for x in range(h * w):
+            key = uid, first[0].get(x), first[1].get(x)
+            want[key] = want.get(key, 0) + 1
+
+    def runs(a):
+        out = []
+        for x in a:
+            if out and out[-1][0] + out[-1][1] == x:
+                out[-1][1] += 1
+            else:
+                out.append([x, 1])
+        return [tuple(r) for r in out]
+
+    def packed(a, n):
+        words = [sum(1 << x % 64 for x in a if x // 64 == k) for k in range((n + 63) // 64)]
+        return [x - (1 << 64) if x >> 63 else x for x in words]
+
+    for form, kind, of in (("pixels", "array<int>", lambda a, n: a), ("runs", "array<struct<start:bigint,length:bigint>>", lambda a, n: runs(a)), ("words", "array<bigint>", packed)):
+        listed = f"array<struct<label:string,{form}:{kind}>>"
+        data = spark.createDataFrame([(u, h, w, *([(x, of(a, h * w)) for x, a in side] for side in both)) for u, h, w, *both in rows], f"uid long, height int, width int, groundtruths {listed}, predictions {listed}")
+        assert {(r.datum_uid, r.gt_label, r.pd_label): r["count"] for r in masks.mask_counts(data).collect()} == want
+    for form, kind, bad in (("runs", "array<struct<start:bigint,length:bigint>>", [(2, 3)]), ("words", "array<bigint>", [0b10000]), ("words", "array<bigint>", [0, 1]), ("pixels", "array<int>", [-1])):
+        listed = f"array<struct<label:string,{form}:{kind}>>"
+        with pytest.raises(Exception, match="outside the shape"):
+            masks.mask_counts(spark.createDataFrame([(0, 2, 2, [("a", bad)], [])], f"uid long, height int, width int, groundtruths {listed}, predictions {listed}")).collect()
 
 
 class Canned:
