@@ -110,11 +110,16 @@ class ClassificationEvaluator(Evaluator):
     def compute_rocauc(self) -> list[Metric]:
         return metrics.classification_roc_auc(classification.roc_auc(self.pairs, self.labels))
 
-    def compute_confusion_matrix(self, score_thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Filter = None, examples: bool = False) -> list[Metric]:
-        return metrics.classification_matrix(classification.confusion_matrix(self.pairs, score_thresholds, hardmax, datums, examples), self._names(), hardmax)
+    def compute_confusion_matrix(self, score_thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Filter = None, examples: bool = False, most: int | None = None) -> list[Metric]:
+        return metrics.classification_matrix(classification.confusion_matrix(self.pairs, score_thresholds, hardmax, datums, examples, most), self._names(), hardmax)
 
-    def compute_confusion_matrix_with_examples(self, score_thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Filter = None) -> list[Metric]:
-        return self.compute_confusion_matrix(score_thresholds, hardmax, datums, True)
+    def compute_confusion_matrix_with_examples(self, score_thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Filter = None, most: int | None = None) -> list[Metric]:
+        """``most``: examples of a cell, the least datums; None: all."""
+        return self.compute_confusion_matrix(score_thresholds, hardmax, datums, True, most)
+
+    def iterate_examples(self, score_thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Filter = None, most: int | None = None) -> DataFrame:
+        """The matrix's examples as rows, for cells of any size."""
+        return classification.matrix_examples(self.pairs, score_thresholds, hardmax, datums, most)
 
     def compute_examples(self, score_thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Filter = None, limit: int | None = None, offset: int = 0) -> list[Metric]:
         return metrics.classification_examples(classification.examples(self.pairs, score_thresholds, hardmax, datums, limit, offset), hardmax)
@@ -146,11 +151,16 @@ class DetectionEvaluator(Evaluator):
         out += metrics.detection_summary(detection.summary(*grid, datums, self.labels), list(iou_thresholds), list(score_thresholds))
         return out + metrics.detection_curve(detection.precision_recall_curve(self.pairs, iou_thresholds, datums, self.labels))
 
-    def compute_confusion_matrix(self, iou_thresholds: Sequence[float], score_thresholds: Sequence[float], datums: Filter = None, examples: bool = False) -> list[Metric]:
-        return metrics.detection_matrix(detection.confusion_matrix(self.pairs, iou_thresholds, score_thresholds, datums, examples), self._names())
+    def compute_confusion_matrix(self, iou_thresholds: Sequence[float], score_thresholds: Sequence[float], datums: Filter = None, examples: bool = False, most: int | None = None) -> list[Metric]:
+        return metrics.detection_matrix(detection.confusion_matrix(self.pairs, iou_thresholds, score_thresholds, datums, examples, most), self._names())
+
+    def compute_confusion_matrix_with_examples(self, iou_thresholds: Sequence[float], score_thresholds: Sequence[float], datums: Filter = None, most: int | None = None) -> list[Metric]:
+        """``most``: examples of a cell, the least by datum and ids; None: all."""
+        return self.compute_confusion_matrix(iou_thresholds, score_thresholds, datums, True, most)
 
-    def compute_confusion_matrix_with_examples(self, iou_thresholds: Sequence[float], score_thresholds: Sequence[float], datums: Filter = None) -> list[Metric]:
-        return self.compute_confusion_matrix(iou_thresholds, score_thresholds, datums, True)
+    def iterate_examples(self, iou_thresholds: Sequence[float], score_thresholds: Sequence[float], datums: Filter = None, most: int | None = None) -> DataFrame:
+        """The matrix's examples as rows, for cells of any size."""
+        return detection.matrix_examples(self.pairs, iou_thresholds, score_thresholds, datums, most)
 
     def compute_examples(self, iou_thresholds: Sequence[float], score_thresholds: Sequence[float], datums: Filter = None, limit: int | None = None, offset: int = 0) -> list[Metric]:
         return metrics.detection_examples(detection.examples(self.pairs, iou_thresholds, score_thresholds, datums, limit, offset))

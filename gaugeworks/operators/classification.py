@@ -118,31 +118,60 @@ def mean_roc_auc(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame
     return roc_auc(pairs, labels).agg(F.avg("value").alias("value"))
 
 
+def _tests(thresholds: Sequence[float]) -> list[tuple[float, Column, Column]]:
+    """For each threshold: whether a row counts, and whether nothing of its ground truth does."""
+    over = lambda c, t: (F.col(c) >= t) & (F.col(c) >= 0)
+    return [(t, over("live", t), ~over("best", t)) for t in _thresholds(thresholds)]
+
+
+def _cells(pairs: DataFrame, hardmax: bool) -> DataFrame:
+    """Pairs with ``live`` and ``best``, the greatest of their ground truth."""
+    return pairs.withColumn("live", _live(hardmax)).withColumn("best", F.max("live").over(W.partitionBy("datum_uid", "gt_label")))
+
+
 def _classified(pairs: DataFrame, thresholds: Sequence[float], hardmax: bool) -> DataFrame:
     """Each row at each threshold as tp, misclassified or unmatched (its ground truth has nothing counted); others drop out."""
-    ts = _thresholds(thresholds)
-    rows = pairs.withColumn("live", _live(hardmax))
-    rows = rows.withColumn("best", F.max("live").over(W.partitionBy("datum_uid", "gt_label")))
-    rows = rows.withColumn("score_threshold", F.explode(F.array(*map(F.lit, ts))))
-    on = (F.col("live") >= F.col("score_threshold")) & (F.col("live") >= 0)
-    alone = ~((F.col("best") >= F.col("score_threshold")) & (F.col("best") >= 0))
-    kind = F.when(on & F.col("match"), "tp").when(on, "misclassified").when(alone, "unmatched")
-    return rows.withColumn("kind", kind).where("kind is not null")
+    kinds = [F.struct(F.lit(t).alias("score_threshold"), F.when(on & F.col("match"), "tp").when(on, "misclassified").when(alone, "unmatched").alias("kind")) for t, on, alone in _tests(thresholds)]
+    return _cells(pairs, hardmax).select("*", F.inline(F.filter(F.array(*kinds), lambda k: k["kind"].isNotNull())))
 
 
-def confusion_matrix(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Column | str | None = None, examples: bool = False) -> DataFrame:
+def confusion_matrix(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Column | str | None = None, examples: bool = False, most: int | None = None) -> DataFrame:
     """``score_threshold, gt_label, pd_label, count``; a null pd_label counts unmatched ground truths. Sparse.
 
-    With ``examples`` each cell also lists its ``(datum_uid, score)``; lists are as long as cells are large.
+    A cell's datums count once, those of a ground truth through its first row. With ``examples`` each cell also lists its
+    ``(datum_uid, score)``, the ``most`` least ones if that is given; else lists are as long as cells are large, for which
+    ``matrix_examples`` gives rows.
     """
+    tests, cell = _tests(thresholds), ["score_threshold", "gt_label", "pd_label"]
+    rows = _cells(pairs if datums is None else pairs.where(datums), hardmax)
+    # one row for each datum and pair of labels, so that what follows are plain sums
+    once = rows.groupBy("datum_uid", "gt_label", "pd_label").agg(F.max("live").alias("live"), F.max("best").alias("best"))
+    first = F.row_number().over(W.partitionBy("datum_uid", "gt_label").orderBy("pd_label")) == 1
+    once = once.withColumn("first", first)
+    sums = [F.count_if(on).alias(f"on_{i}") for i, (_, on, _) in enumerate(tests)] + [F.count_if(F.col("first") & alone).alias(f"alone_{i}") for i, (_, _, alone) in enumerate(tests)]
+    wide = once.groupBy("gt_label", "pd_label").agg(*sums)
+    tall = [F.struct(F.lit(t).alias("score_threshold"), label.alias("pd_label"), F.col(f"{name}_{i}").alias("count")) for i, (t, _, _) in enumerate(tests) for name, label in (("on", F.col("pd_label")), ("alone", F.lit(None).cast("string")))]
+    counts = wide.select("gt_label", F.inline(F.array(*tall))).groupBy(*cell).agg(F.sum("count").alias("count")).where("count > 0")
+    if not examples:
+        return counts
+    rows = matrix_examples(pairs, thresholds, hardmax, datums, most)
+    listed = rows.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("datum_uid", "score"))).alias("examples"))
+    same = [counts[c].eqNullSafe(listed[c]) for c in cell]
+    return counts.join(listed, same[0] & same[1] & same[2]).select(*(counts[c] for c in cell), "count", "examples")
+
+
+def matrix_examples(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Column | str | None = None, most: int | None = None) -> DataFrame:
+    """``score_threshold, gt_label, pd_label, datum_uid, score``: what the confusion matrix counts, a row each. With ``most`` only the
+    least datums of each cell, of which each task gives as many at most before the shuffle."""
     rows = _classified(pairs if datums is None else pairs.where(datums), thresholds, hardmax)
     label = F.when(F.col("kind") != "unmatched", F.col("pd_label")).alias("pd_label")
     score = F.when(F.col("kind") != "unmatched", F.col("pd_score")).alias("score")
-    cells = rows.select("score_threshold", "gt_label", label, "datum_uid", score).groupBy("score_threshold", "gt_label", "pd_label", "datum_uid").agg(F.max("score").alias("score"))
-    wanted = [F.count("*").alias("count")]
-    if examples:
-        wanted.append(F.array_sort(F.collect_list(F.struct("datum_uid", "score"))).alias("examples"))
-    return cells.groupBy("score_threshold", "gt_label", "pd_label").agg(*wanted)
+    cell = ["score_threshold", "gt_label", "pd_label"]
+    rows = rows.select("score_threshold", "gt_label", label, "datum_uid", score).groupBy(*cell, "datum_uid").agg(F.max("score").alias("score"))
+    if most is None:
+        return rows
+    turn = F.row_number().over(W.partitionBy(*cell).orderBy("datum_uid"))
+    return rows.withColumn("_turn", turn).where(F.col("_turn") <= most).drop("_turn")
 
 
 def examples(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Column | str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:

@@ -14,6 +14,7 @@ from gaugeworks.operators import classification as c
 from gaugeworks.operators import detection as d
 from gaugeworks.operators import judged, masks
 from gaugeworks.operators import segmentation as s
+from gaugeworks.operators.paging import page
 from gaugeworks.plans import datasets as data
 from gaugeworks.plans.queries import IOUS, ORACLE_SQL, SCORES, THRESHOLDS, _class_sql, _values, query, rounded
 from gaugeworks.sources import cache
@@ -48,6 +49,24 @@ def classification_matrix_examples(spark: SparkSession, sf_dir: str) -> DataFram
     return rounded(out.select("score_threshold", "gt_label", "pd_label", "count", F.inline("examples")))
 
 
+@query(f"SELECT * EXCLUDE (place, count) FROM (SELECT *, row_number() OVER (PARTITION BY score_threshold, gt_label, pd_label ORDER BY datum_uid) AS place FROM ({ORACLE_SQL['classification_matrix_examples']})) WHERE place <= 5")
+def classification_matrix_some_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five least datums of each cell."""
+    return rounded(c.matrix_examples(data.class_pairs(spark, sf_dir), THRESHOLDS, most=5))
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['classification_matrix_examples']}) WHERE datum_uid IN (SELECT o_orderkey FROM orders ORDER BY 1 OFFSET (SELECT count(*) // 2 FROM orders))")
+def classification_examples_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All behind the first half of the datums."""
+    pairs = data.class_pairs(spark, sf_dir)
+    half = data.table(spark, sf_dir, "orders").count() // 2
+    whole = c.matrix_examples(pairs, THRESHOLDS)
+    sizes = whole.groupBy("score_threshold", "gt_label", "pd_label").agg(F.count("*").alias("count"))
+    on = F.col("a.score_threshold").eqNullSafe(F.col("b.score_threshold")) & F.col("a.gt_label").eqNullSafe(F.col("b.gt_label")) & F.col("a.pd_label").eqNullSafe(F.col("b.pd_label"))
+    rows = page(whole, "datum_uid", None, None, half, 0)
+    return rounded(rows.alias("a").join(F.broadcast(sizes).alias("b"), on).select("a.*", "b.count"))  # a row for each cell
+
+
 @query(f"SELECT * FROM ({ORACLE_SQL['classification_examples']}) WHERE datum_uid IN (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 20 OFFSET 7)")
 def classification_examples_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = c.examples(data.class_pairs(spark, sf_dir), [0.5], limit=20, offset=7)

@@ -41,13 +41,25 @@ def test_running_sums_of_no_rows_and_null_keys(spark):
     assert running_sums(data.limit(0), ["k"], [F.desc("s")], {"rows": F.lit(1)}).count() == 0
 
 
-def test_pages_hold_the_keys_behind_the_offset(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_pages_hold_the_keys_behind_the_offset(spark, few):
     rows = spark.createDataFrame([(k, i) for k in [None, "a", "b", "c", "d"] for i in range(2)], "k string, i long")
 
     def keys(limit, offset):
-        return sorted((r.k or "", r.i) for r in page(rows, "k", None, limit, offset).collect())
+        return sorted((r.k or "", r.i) for r in page(rows, "k", None, limit, offset, few).collect())
 
     assert keys(None, 0) == sorted((k, i) for k in ["", "a", "b", "c", "d"] for i in range(2))
     assert keys(None, 1) == [(k, i) for k in "bcd" for i in range(2)]
     assert keys(2, 1) == [(k, i) for k in "bc" for i in range(2)]
     assert keys(None, 9) == keys(2, 9) == []
+
+
+def test_deep_pages_equal_sorted_keys(spark):
+    rng = random.Random(5)
+    keys = [rng.randrange(10**6) for _ in range(3000)]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    order = sorted(set(keys))
+    for limit, offset in ((None, 1), (None, 1500), (700, 0), (700, 900), (1, 2000), (5000, 2900), (10, 99_999), (None, 99_999)):
+        want = set(order[offset : None if limit is None else offset + limit])
+        got = page(rows, "k", None, limit, offset, 0).collect()
+        assert sorted(r.i for r in got) == [i for i, k in enumerate(keys) if k in want]
