@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,24 +38,25 @@ def stemmed(data: DataFrame) -> DataFrame:
 
 
 def _grams(tokens: str, n: int) -> Column:
-    return F.expr(f"transform(sequence(1, size({tokens})), i -> if(i + {n - 1} <= size({tokens}), array_join(slice({tokens}, i, {n}), ' '), null))")
+    return F.expr(f"if(size({tokens}) >= {n}, transform(sequence(1, size({tokens}) - {n - 1}), i -> array_join(slice({tokens}, i, {n}), ' ')), array())")
 
 
 def rouge(data: DataFrame, sizes: tuple[int, ...] = (1, 2), use_stemmer: bool = False) -> DataFrame:
     """``uid, rouge_type, value`` of ``uid, prediction, references``: F-measure of clipped n-gram counts, the best reference counts.
 
-    N-grams are counted before and after the shuffle. Texts too short for an n-gram give 0. Each uid must be given once.
+    N-grams are counted before and after the shuffle. Texts too short for an n-gram, and rows without references, give 0. Each
+    row gives its own values, a uid given twice too.
     """
-    each = (stemmed(data) if use_stemmer else data).select("uid", "prediction", F.posexplode("references").alias("ref", "reference"))
-    sides = [each.select("uid", "ref", words(F.col(c)).alias("w"), F.lit(k).alias("side")) for k, c in enumerate(("prediction", "reference"))]
-    tokens = sides[0].union(sides[1]).where("size(w) > 0")
+    data = (stemmed(data) if use_stemmer else data).select(F.monotonically_increasing_id().alias("_row"), "uid", words(F.col("prediction")).alias("p"), "references")
+    data = data.select("_row", "uid", "p", F.posexplode_outer("references").alias("ref", "reference"))  # behind the row's number
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), w.alias("w")) for k, w in enumerate((F.col("p"), words(F.col("reference"))))))
     kinds = F.array(*(F.struct(F.lit(f"rouge{n}").alias("rouge_type"), _grams("w", n).alias("grams")) for n in sizes))
-    grams = tokens.select("uid", "ref", "side", F.inline(kinds)).select("uid", "ref", "side", "rouge_type", F.explode("grams").alias("gram")).where("gram is not null")
-    counts = grams.groupBy("uid", "ref", "rouge_type", "gram").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("r"))
-    sums = counts.groupBy("uid", "ref", "rouge_type").agg(F.sum(F.least("p", "r")).alias("hit"), F.sum("p").alias("p"), F.sum("r").alias("r"))
-    best = sums.select("uid", "rouge_type", f1(share(F.col("hit"), F.col("p")), share(F.col("hit"), F.col("r"))).alias("v")).groupBy("uid", "rouge_type").agg(F.max("v").alias("v"))
-    rows = data.select("uid", F.explode(F.array(*(F.lit(f"rouge{n}") for n in sizes))).alias("rouge_type"))
-    return rows.join(best, ["uid", "rouge_type"], "left").select("uid", "rouge_type", F.coalesce("v", F.lit(0.0)).alias("value"))
+    row = ["_row", "uid", "ref", "rouge_type"]
+    grams = data.select("_row", "uid", "ref", F.inline(sides)).select("_row", "uid", "ref", "side", F.inline(kinds)).select(*row, "side", F.explode_outer("grams").alias("gram"))
+    counts = grams.groupBy(*row, "gram").agg(F.count_if((F.col("side") == 0) & F.col("gram").isNotNull()).alias("p"), F.count_if((F.col("side") == 1) & F.col("gram").isNotNull()).alias("r"))
+    sums = counts.groupBy(*row).agg(F.sum(F.least("p", "r")).alias("hit"), F.sum("p").alias("p"), F.sum("r").alias("r"))
+    best = sums.select(*row, f1(share(F.col("hit"), F.col("p")), share(F.col("hit"), F.col("r"))).alias("v")).groupBy("_row", "uid", "rouge_type").agg(F.max("v").alias("value"))
+    return best.select("uid", "rouge_type", "value")
 
 
 def common_length(a: Sequence[str], b: Sequence[str]) -> int:
@@ -71,22 +73,48 @@ def common_length(a: Sequence[str], b: Sequence[str]) -> int:
 
 
 def common_places(a: Sequence[str], b: Sequence[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence, the last ones of equal choices going by ``b`` first."""
-    grid = [[0] * (len(b) + 1)]
-    for x in a:
-        above, row = grid[-1], [0]
-        for j, y in enumerate(b):
-            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
-        grid.append(row)
-    i, j, out = len(a), len(b), set()
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.add(i)
-        elif grid[i][j - 1] > grid[i - 1][j]:
-            j -= 1
-        else:
-            i -= 1
+    """Places in ``a`` of a longest common subsequence, the last ones of equal choices going by ``b`` first.
+
+    A row of the table of lengths is kept as bits: where it grows along ``b``. Every ``step``-th row is stored; the way back
+    computes the rows between two of these again. So memory is the square root of ``a`` times the bits of ``b``.
+    """
+    where: dict[str, int] = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+
+    def rows(flat: int, start: int, end: int) -> Iterator[int]:
+        """Bits that don't grow, of the rows behind ``start`` to ``end``."""
+        for x in a[start:end]:
+            hit = flat & where.get(x, 0)
+            flat = (flat + hit | flat - hit) & full
+            yield flat
+
+    step = isqrt(len(a)) + 1
+    stored = [full]
+    for start in range(0, len(a), step):
+        for flat in rows(stored[-1], start, min(start + step, len(a))):
+            pass
+        stored.append(flat)
+    out: set[int] = set()
+    j, length = len(b), len(b) - stored[-1].bit_count()
+    for k in range(len(stored) - 2, -1, -1):
+        start = k * step
+        block = [stored[k], *rows(stored[k], start, min(start + step, len(a)))]
+        for i in range(len(block) - 1, 0, -1):
+            if not length:
+                return out
+            above = block[i - 1]
+            before = j - (above & (1 << j) - 1).bit_count()  # length without a[i - 1]
+            while True:
+                if a[start + i - 1] == b[j - 1]:
+                    out.add(start + i - 1)
+                    j, length = j - 1, length - 1
+                    break
+                if before == length:
+                    break
+                j -= 1  # here the row above is shorter, so this row doesn't grow
+                before -= 1 - (above >> j & 1)
     return out
 
 
@@ -97,28 +125,29 @@ def _measure(hit: int, p: int, r: int) -> float:
 _WORD = re.compile("[a-z0-9]+")
 
 
-def rouge_l(prediction: str, reference: str) -> float:
-    p, r = _WORD.findall(prediction.lower()), _WORD.findall(reference.lower())
+def _words_of(text: str, use_stemmer: bool) -> list[str]:
+    found = _WORD.findall(text.lower())
+    return [stem(w) if len(w) > 3 else w for w in found] if use_stemmer else found
+
+
+def rouge_l(prediction: str, reference: str, use_stemmer: bool = False) -> float:
+    p, r = (_words_of(t, use_stemmer) for t in (prediction, reference))
     return _measure(common_length(p, r), len(p), len(r))
 
 
-def rouge_l_sum(prediction: str, reference: str) -> float:
+def rouge_l_sum(prediction: str, reference: str, use_stemmer: bool = False) -> float:
     """Lines are sentences: of each reference line the union of what its subsequences with all predicted lines cover, clipped by word."""
-    p, r = ([_WORD.findall(x) for x in t.lower().split("\n")] for t in (prediction, reference))
-    left_p, left_r, hit = Counter(w for x in p for w in x), Counter(w for x in r for w in x), 0
-    sizes = left_p.total(), left_r.total()
-    for line in r:
-        for i in sorted(set().union(*(common_places(line, x) for x in p))):
-            w = line[i]
-            if left_p[w] > 0 and left_r[w] > 0:
-                hit, left_p[w], left_r[w] = hit + 1, left_p[w] - 1, left_r[w] - 1
-    return _measure(hit, *sizes)
-
-
-def rouge_sequences(data: DataFrame) -> DataFrame:
+    p, r = ([_words_of(x, use_stemmer) for x in t.split("\n")] for t in (prediction, reference))
+    covered = Counter(line[i] for line in r for i in set().union(*(common_places(line, x) for x in p)))
+    mine = Counter(w for x in p for w in x)
+    return _measure((covered & mine).total(), mine.total(), sum(map(len, r)))
+
+
+def rouge_sequences(data: DataFrame, use_stemmer: bool = False) -> DataFrame:
     """``uid, rouge_type, value``: rougeL and rougeLsum, F-measure of the longest common subsequence; the best reference counts.
 
-    Null texts are empty and give 0, as does a row without references. SQL has no such fold, so Arrow batches are mapped.
+    Null texts are empty and give 0, as does a row without references. Each row gives its own values. A subsequence is a
+    fold over both texts, so Arrow batches are mapped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +155,7 @@ def rouge_sequences(data: DataFrame) -> DataFrame:
             values: list[list[float]] = [[], []]
             for p, refs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for out, f in zip(values, (rouge_l, rouge_l_sum), strict=True):
-                    out.append(max((f(p or "", r or "") for r in refs or ()), default=0.0))
+                    out.append(max((f(p or "", r or "", use_stemmer) for r in refs or ()), default=0.0))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, values)], names=["uid", "rougeL", "rougeLsum"])
 
     kind = dict(data.dtypes)["uid"]
@@ -143,21 +172,22 @@ def bleu(data: DataFrame, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25)) -
     """``uid, value`` of ``uid, prediction, references``: weighted n-gram precision, clipped by the best reference, times the brevity penalty.
 
     The penalty goes by the reference of nearest length, the shorter of two. Without a common word, and below 1e-9, the
-    value is 0; so it is without references. N-grams are counted before and after the shuffle. Each uid must be given once.
+    value is 0; so it is without references. N-grams are counted before and after the shuffle. Each row gives its own value.
     """
     if not weights:
         raise ValueError("at least one weight is needed")
     sizes = range(1, len(weights) + 1)
-    toks = data.select("uid", bleu_words(F.col("prediction")).alias("p"), F.transform(F.coalesce("references", F.array().cast("array<string>")), bleu_words).alias("r"))
+    toks = data.select(F.monotonically_increasing_id().alias("_row"), "uid", bleu_words(F.col("prediction")).alias("p"), F.transform(F.coalesce("references", F.array().cast("array<string>")), bleu_words).alias("r"))
     gap = F.array_sort(F.transform("r", lambda x: F.struct(F.abs(F.size(x) - F.size("p")).alias("gap"), F.size(x).alias("size"))))
-    lengths = toks.select("uid", F.size("p").alias("n"), F.try_element_at(gap, F.lit(1))["size"].alias("near"))
-    each = toks.select("uid", F.posexplode(F.concat(F.array("p"), "r")).alias("side", "w")).where("size(w) > 0")
+    row = ["_row", "uid", "size", "near"]
+    toks = toks.withColumn("gap", F.try_element_at(gap, F.lit(1))).select("_row", "uid", F.size("p").alias("size"), F.col("gap.size").alias("near"), F.concat(F.array("p"), "r").alias("all"))
+    each = toks.select(*row, F.posexplode("all").alias("side", "w"))
     kinds = F.array(*(F.struct(F.lit(n).alias("n"), _grams("w", n).alias("grams")) for n in sizes))
-    grams = each.select("uid", "side", F.inline(kinds)).select("uid", "side", "n", F.explode("grams").alias("gram")).where("gram is not null")
-    counts = grams.groupBy("uid", "n", "gram", "side").agg(F.count("*").alias("c")).groupBy("uid", "n", "gram")
+    grams = each.select(*row, "side", F.inline(kinds)).select(*row, "side", "n", F.explode_outer("grams").alias("gram"))
+    counts = grams.groupBy(*row, "n", "gram", "side").agg(F.count("gram").alias("c")).groupBy(*row, "n", "gram")
     counts = counts.agg(F.coalesce(F.max(F.when(F.col("side") == 0, F.col("c"))), F.lit(0)).alias("p"), F.coalesce(F.max(F.when(F.col("side") > 0, F.col("c"))), F.lit(0)).alias("r"))
     sums = [x for n in sizes for x in (F.sum(F.when(F.col("n") == n, F.least("p", "r"))).alias(f"hit_{n}"), F.sum(F.when(F.col("n") == n, F.col("p"))).alias(f"all_{n}"))]
-    rows = lengths.join(counts.groupBy("uid").agg(*sums), "uid", "left")
+    rows = counts.groupBy(*row).agg(*sums).withColumnRenamed("size", "n")
     logs = reduce(lambda a, b: a + b, (F.lit(float(w)) * F.ln(F.greatest(F.coalesce(F.col(f"hit_{n}") / F.greatest(F.col(f"all_{n}"), F.lit(1)), F.lit(0.0)), F.lit(TINY))) for n, w in zip(sizes, weights, strict=True)))
     penalty = F.when(F.col("n") > F.col("near"), 1.0).otherwise(F.exp(1 - F.col("near") / F.col("n")))
     value = F.when(F.col("hit_1") > 0, penalty * F.exp(logs))

@@ -14,9 +14,10 @@ from gaugeworks.operators import classification as c
 from gaugeworks.operators import detection as d
 from gaugeworks.operators import judged, masks
 from gaugeworks.operators import segmentation as s
+from gaugeworks.operators import text
 from gaugeworks.operators.paging import page
 from gaugeworks.plans import datasets as data
-from gaugeworks.plans.queries import IOUS, ORACLE_SQL, SCORES, THRESHOLDS, _class_sql, _values, query, rounded
+from gaugeworks.plans.queries import IOUS, ORACLE_SQL, SCORES, THRESHOLDS, _class_sql, _values, query, rounded, turns
 from gaugeworks.sources import cache
 from gaugeworks.streaming import counts as streaming
 
@@ -230,7 +231,6 @@ def text_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_rouge_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gaugeworks.operators import text
-    from gaugeworks.plans.queries import _texts
-
-    return rounded(text.rouge(_texts(spark, sf_dir), use_stemmer=True))
+    """Four ROUGE types of stems."""
+    rows = turns(spark, sf_dir)
+    return rounded(text.rouge(rows, use_stemmer=True).union(text.rouge_sequences(rows, use_stemmer=True)))

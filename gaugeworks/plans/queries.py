@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import classification as c
@@ -266,9 +267,40 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.table(spark, sf_dir, "part").selectExpr("p_partkey AS uid", "p_brand || ' ' || p_type AS prediction", "array(p_type || ' ' || p_brand, p_name) AS references")
 
 
-@query()
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assistant's turn is a prediction; the turns around it are its references."""
+    near = W.partitionBy("conv_id").orderBy("turn")
+    rows = data.table(spark, sf_dir, "conversations").withColumns({"last": F.lag("text").over(near), "next": F.lead("text").over(near)})
+    return rows.where("role = 'assistant'").selectExpr("conv_id * 1000 + turn AS uid", "text AS prediction", "filter(array(last, next), x -> x is not null) AS references")
+
+
+_SEQUENCES = r"""
+t AS (SELECT conv_id * 1000 + turn AS uid, role, text AS p, lag(text) OVER w AS r1, lead(text) OVER w AS r2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+d AS (SELECT uid, ref, p, r FROM (SELECT uid, p, unnest([1, 2]) AS ref, unnest([r1, r2]) AS r FROM t WHERE role = 'assistant') WHERE r IS NOT NULL),
+l AS (SELECT uid, ref, 'rougeL' AS k, 0 AS pl, regexp_extract_all(lower(p), '[a-z0-9]+') AS b, 0 AS rl, regexp_extract_all(lower(r), '[a-z0-9]+') AS a FROM d
+  UNION ALL SELECT uid, ref, 'rougeLsum', pl, regexp_extract_all(lower(string_split(p, chr(10))[pl]), '[a-z0-9]+'), rl, regexp_extract_all(lower(string_split(r, chr(10))[rl]), '[a-z0-9]+')
+  FROM (SELECT *, unnest(range(1, len(string_split(r, chr(10))) + 1)) AS rl FROM (SELECT *, unnest(range(1, len(string_split(p, chr(10))) + 1)) AS pl FROM d))),
+q AS (SELECT row_number() OVER () AS id, * FROM l),
+c AS (SELECT id, unnest(range(0, len(b) + 1)) AS j, unnest(list_prepend('', b)) AS y FROM q),
+g AS (SELECT id, 0::BIGINT AS i, j, y, 0::BIGINT AS n FROM c
+  UNION ALL SELECT id, i, j, y, max(CASE WHEN y = x AND j > 0 THEN up + 1 ELSE n END) OVER (PARTITION BY id ORDER BY j) FROM (
+    SELECT g.id, g.i + 1 AS i, g.j, g.y, g.n, lag(g.n, 1, 0) OVER (PARTITION BY g.id ORDER BY g.j) AS up, q.a[g.i + 1] AS x FROM g JOIN q ON g.id = q.id WHERE g.i < len(q.a))),
+z AS MATERIALIZED (SELECT id, i, j, y, n FROM g),
+w AS (SELECT id, len(a)::BIGINT AS i, len(b)::BIGINT AS j, NULL::BIGINT AS hit FROM q WHERE k = 'rougeLsum'
+  UNION ALL SELECT w.id, CASE WHEN q.a[w.i] = q.b[w.j] OR o.n <= u.n THEN w.i - 1 ELSE w.i END, CASE WHEN q.a[w.i] = q.b[w.j] OR o.n > u.n THEN w.j - 1 ELSE w.j END, CASE WHEN q.a[w.i] = q.b[w.j] THEN w.i END
+  FROM w JOIN q ON w.id = q.id JOIN z o ON o.id = w.id AND o.i = w.i AND o.j = w.j - 1 JOIN z u ON u.id = w.id AND u.i = w.i - 1 AND u.j = w.j WHERE w.i > 0 AND w.j > 0),
+m AS (SELECT uid, ref, rl, word, least(hits, mine) AS hit FROM (SELECT uid, ref, 0 AS rl, word, count(*) AS hits FROM (SELECT DISTINCT uid, ref, rl, hit, a[hit] AS word FROM w JOIN q USING (id) WHERE hit IS NOT NULL) GROUP BY ALL)
+  JOIN (SELECT uid, ref, word, count(*) AS mine FROM (SELECT uid, ref, unnest(b) AS word FROM q WHERE k = 'rougeLsum' AND rl = 1) GROUP BY ALL) USING (uid, ref, word)),
+s AS (SELECT uid, ref, 'rougeL' AS k, n AS hit, len(a) + len(b) AS t FROM q JOIN z ON q.id = z.id AND z.i = len(a) AND z.j = len(b) WHERE k = 'rougeL'
+  UNION ALL SELECT uid, ref, 'rougeLsum', coalesce((SELECT sum(hit) FROM m WHERE m.uid = v.uid AND m.ref = v.ref), 0), t
+  FROM (SELECT uid, ref, sum(CASE WHEN rl = 1 THEN len(b) ELSE 0 END) + sum(CASE WHEN pl = 1 THEN len(a) ELSE 0 END) AS t FROM q WHERE k = 'rougeLsum' GROUP BY ALL) v)
+SELECT t.uid, k.k AS rouge_type, round(coalesce(max(2 * s.hit / nullif(s.t, 0)), 0), 9) AS value
+FROM t CROSS JOIN (VALUES ('rougeL'), ('rougeLsum')) k(k) LEFT JOIN s ON s.uid = t.uid AND s.k = k.k WHERE t.role = 'assistant' GROUP BY ALL"""
+
+
+@query("WITH RECURSIVE" + _SEQUENCES)
 def text_rouge_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(text.rouge_sequences(_texts(spark, sf_dir)))
+    return rounded(text.rouge_sequences(turns(spark, sf_dir)))
 
 
 @query("""WITH d AS (SELECT p_partkey AS uid, p_brand || ' ' || p_type AS prediction, [p_type || ' ' || p_brand, p_name] AS refs FROM part),

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import pytest
 
@@ -44,3 +45,56 @@ def test_common_subsequence_brute():
         best = max(n for n in range(len(a) + 1) if any(c in subs for c in itertools.combinations(a, n)))
         places = sorted(text.common_places(a, b))
         assert text.common_length(a, b) == best == len(places) and tuple(a[i] for i in places) in subs
+
+
+def grid_places(a, b):
+    """By the whole table of lengths."""
+    grid = [[0] * (len(b) + 1)]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(grid[-1][j] + 1 if x == y else max(grid[-1][j + 1], row[j]))
+        grid.append(row)
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif grid[i][j - 1] > grid[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def test_places_take_the_way_of_the_whole_table():
+    rnd = random.Random(8)
+    for _ in range(600):
+        a, b = ([rnd.choice("abcdefg"[: rnd.randint(1, 7)]) for _ in range(rnd.randint(0, 60))] for _ in range(2))
+        assert text.common_places(a, b) == grid_places(a, b)
+
+
+def test_long_lines_need_little_memory():
+    rnd = random.Random(9)
+    a, b = ([rnd.choice("abcdefghij") for _ in range(20_000)] for _ in range(2))
+    tracemalloc.start()
+    places = text.common_places(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    assert len(places) == text.common_length(a, b)
+
+
+def test_stems_in_sequences(spark):
+    rows = [(1, "flipping the roaring dolphins\nsecond line", ["flip the roar dolphin\nlines second"]), (1, "flipping", ["flips"])]
+    data = spark.createDataFrame(rows, "uid long, prediction string, references array<string>")
+    got = sorted((r.rouge_type, r.value) for r in text.rouge_sequences(data, use_stemmer=True).collect())
+    assert got == [("rougeL", pytest.approx(10 / 12)), ("rougeL", 1.0), ("rougeLsum", pytest.approx(10 / 12)), ("rougeLsum", 1.0)]
+    assert {r.value for r in text.rouge_sequences(data).collect()} != {r.value for r in text.rouge_sequences(data, True).collect()}
+    assert sorted((r.rouge_type, r.value) for r in text.rouge(data, use_stemmer=True).collect())[-1] == ("rouge2", pytest.approx(0.6))
+
+
+def test_uids_given_twice_stay_apart(spark):
+    rows = [(1, "a b", ["a b"]), (1, "c d", ["a b"]), (2, "x", None), (2, None, [])]
+    data = spark.createDataFrame(rows, "uid long, prediction string, references array<string>")
+    assert sorted((r.uid, r.value) for r in text.bleu(data, [1]).collect()) == [(1, 0.0), (1, 1.0), (2, 0.0), (2, 0.0)]
+    assert sorted((r.uid, r.value) for r in text.rouge(data, (1,)).collect()) == [(1, 0.0), (1, 1.0), (2, 0.0), (2, 0.0)]
