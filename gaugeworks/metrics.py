@@ -141,14 +141,21 @@ def segmentation(metrics: DataFrame, matrix: DataFrame) -> list[Metric]:
     return [*out, Metric("ConfusionMatrix", value, {})]
 
 
-JUDGED = {"rouge": "ROUGE", "bleu": "BLEU"}
-
-
 def judged(frame: DataFrame) -> dict[str, list[Metric]]:
     """By response: a metric, or an Error, for each row of ``judge``."""
+    return text_scores(frame, False, [])
+
+
+def text_scores(frame: DataFrame, use_stemmer: bool, weights: list[float]) -> dict[str, list[Metric]]:
+    """By response: a metric, or an Error, for each row of ``judge`` or ``compute_all``."""
     out: dict[str, list[Metric]] = defaultdict(list)
     for r in frame.collect():
-        keys = {"evaluator": r["evaluator"], "retries": r["retries"]}
-        kind = "".join(w.capitalize() for w in r["type"].split("_"))
-        out[r["uid"]].append(Metric("Error", {"type": "InvalidLLMResponseError", "message": r["error"]}, keys) if r["error"] is not None else Metric(kind, r["value"], keys))
+        if r["type"] == "bleu":
+            out[r["uid"]].append(Metric("BLEU", r["value"], {"weights": weights}))
+        elif r["type"].startswith("rouge"):
+            out[r["uid"]].append(Metric("ROUGE", r["value"], {"rouge_type": r["type"], "use_stemmer": use_stemmer}))
+        else:
+            keys = {"evaluator": r["evaluator"], "retries": r["retries"]}
+            kind = "".join(w.capitalize() for w in r["type"].split("_"))
+            out[r["uid"]].append(Metric("Error", {"type": "InvalidLLMResponseError", "message": r["error"]}, keys) if r["error"] is not None else Metric(kind, r["value"], keys))
     return dict(out)

@@ -1,20 +1,26 @@
 """Text scores that a language model judges: it extracts claims, opinions or statements and gives a verdict on each.
 
-``judge`` maps a DataFrame of responses; each task makes its client once and asks equal messages once. A client is
+``judge`` works in rounds over frames: each response and metric says which prompts it still needs, the different ones of all
+rows are asked once, and their replies go to a table that later rounds, and a run that starts again, read. A client is
 called with messages (``{"role", "content"}``) and answers a string. Replies that break their format are tried again up to
 ``retries`` times and then become error rows; what the client itself raises isn't caught.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugeworks.errors import InvalidLLMResponseError
+from gaugeworks.operators import text
+from gaugeworks.sources.shared import checkpoint_folder, cut
 
 Client = Callable[[list[dict]], str]
 SCHEMA = "uid string, type string, value double, evaluator string, retries int, error string"
@@ -80,37 +86,47 @@ ASK = {
 VERDICTS = 'Answer with JSON only: {"verdicts": [{"verdict": "...", "analysis": "..."}]}, one entry for each item in order.'
 
 
-class Judge:
-    """One client, asked for one response at a time."""
+class Needed(Exception):
+    """Prompts (with the number of their try) without which a score can't go on."""
 
-    def __init__(self, client: Client, system_prompt: str = "You judge texts and answer in the format asked for."):
-        self.client, self.system, self.memo = client, system_prompt, {}
+    def __init__(self, prompts: list[tuple[str, int]]):
+        super().__init__(f"{len(prompts)} prompts")
+        self.prompts = prompts
 
-    def ask(self, prompt: str, fresh: bool = False) -> str:
-        messages = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]
-        check_messages(messages)
-        if fresh or prompt not in self.memo:
-            if len(self.memo) > 10_000:
-                self.memo.clear()
-            self.memo[prompt] = self.client(messages)
-        return self.memo[prompt]
-
-    def parsed(self, prompt: str, check: Callable[[dict], object]):
-        """A reply that fails its check is forgotten, so another try asks anew."""
-        try:
-            return check(load_json(self.ask(prompt)))
-        except InvalidLLMResponseError:
-            self.memo.pop(prompt, None)
-            raise
 
-    def extract(self, kind: str, text: str) -> list[str]:
-        prompt = f'{EXTRACT[kind]}\nAnswer with JSON only: {{"{kind}": ["..."]}}.\n\nTEXT:\n{text}'
-        return self.parsed(prompt, lambda reply: check_statements(reply, kind))
-
-    def verdicts(self, metric: str, items: list[str], allowed: Sequence[str] = ("yes", "no"), **more: object) -> list[str]:
-        given = "".join(f"\n\n{k.upper()}:\n{v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)}" for k, v in more.items())
-        prompt = f"{ASK[metric]}\n{VERDICTS}{given}\n\nITEMS:\n{json.dumps(items, ensure_ascii=False)}"
-        return self.parsed(prompt, lambda reply: check_verdicts(reply, allowed, len(items)))
+class Judge:
+    """Scores of one response at a time, by ``reply(prompt, attempt)``, which gives a string or None where it isn't known yet."""
+
+    def __init__(self, reply: Callable[[str, int], str | None]):
+        self.reply, self.failed = reply, {}
+
+    def parsed(self, prompts: list[str], checks: list[Callable[[str], object]]) -> list:
+        """All replies, each checked. Unknown ones are needed together; one that fails its check will be asked anew by another try."""
+        tries = [(p, self.failed.get(p, 0)) for p in prompts]
+        replies = [self.reply(*t) for t in tries]
+        if missing := [t for t, r in zip(tries, replies, strict=True) if r is None]:
+            raise Needed(list(dict.fromkeys(missing)))
+        out = []
+        for prompt, reply, check in zip(prompts, replies, checks, strict=True):
+            try:
+                out.append(check(reply))
+            except InvalidLLMResponseError:
+                self.failed[prompt] = self.failed.get(prompt, 0) + 1
+                raise
+        return out
+
+    def extract(self, kind: str, *texts: str) -> list[list[str]]:
+        prompts = [f'{EXTRACT[kind]}\nAnswer with JSON only: {{"{kind}": ["..."]}}.\n\nTEXT:\n{t}' for t in texts]
+        return self.parsed(prompts, [lambda reply: check_statements(load_json(reply), kind)] * len(texts))
+
+    def verdicts(self, metric: str, asked: list[tuple[list[str], dict[str, object]]], allowed: Sequence[str] = ("yes", "no")) -> list[list[str]]:
+        """Of each (items, what else is given)."""
+        prompts, checks = [], []
+        for items, more in asked:
+            given = "".join(f"\n\n{k.upper()}:\n{v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)}" for k, v in more.items())
+            prompts.append(f"{ASK[metric]}\n{VERDICTS}{given}\n\nITEMS:\n{json.dumps(items, ensure_ascii=False)}")
+            checks.append(lambda reply, n=len(items): check_verdicts(load_json(reply), allowed, n))
+        return self.parsed(prompts, checks)
 
     def share(self, verdicts: list[str], empty: float = 0.0) -> float:
         return verdicts.count("yes") / len(verdicts) if verdicts else empty
@@ -118,28 +134,26 @@ class Judge:
     def answer_correctness(self, query: str, response: str, truths: list[str], contexts: list[str]) -> float:
         if not truths:
             raise ValueError("answer correctness needs a ground truth")
-        told, best = self.extract("statements", response), 0.0
-        for truth in truths:
-            wanted = self.extract("statements", truth)
+        told, *wanted = self.extract("statements", response, *truths)
 
-            def check(reply: dict, wanted=wanted) -> tuple[int, int, int]:
-                tp, fp, fn = (len(check_statements(reply, k)) for k in ("TP", "FP", "FN"))
-                if tp + fp != len(told) or fn > len(wanted):
-                    raise InvalidLLMResponseError("TP and FP must be the answer's statements, FN some of the expected ones")
-                return tp, fp, fn
+        def check(reply: str, n: int) -> float:
+            found = load_json(reply)
+            tp, fp, fn = (len(check_statements(found, k)) for k in ("TP", "FP", "FN"))
+            if tp + fp != len(told) or fn > n:
+                raise InvalidLLMResponseError("TP and FP must be the answer's statements, FN some of the expected ones")
+            return tp / (tp + 0.5 * (fp + fn)) if tp else 0.0
 
-            prompt = f'Sort statements: TP those of the answer that the expected ones support, FP its others, FN expected ones that it lacks.\nAnswer with JSON only: {{"TP": [], "FP": [], "FN": []}}.\n\nQUERY:\n{query}\n\nEXPECTED:\n{json.dumps(wanted, ensure_ascii=False)}\n\nANSWER:\n{json.dumps(told, ensure_ascii=False)}'
-            tp, fp, fn = self.parsed(prompt, check)
-            best = max(best, tp / (tp + 0.5 * (fp + fn)) if tp else 0.0)
-        return best
+        listed = lambda x: json.dumps(x, ensure_ascii=False)
+        prompts = [f'Sort statements: TP those of the answer that the expected ones support, FP its others, FN expected ones that it lacks.\nAnswer with JSON only: {{"TP": [], "FP": [], "FN": []}}.\n\nQUERY:\n{query}\n\nEXPECTED:\n{listed(w)}\n\nANSWER:\n{listed(told)}' for w in wanted]
+        return max(self.parsed(prompts, [lambda reply, n=len(w): check(reply, n) for w in wanted]))
 
     def answer_relevance(self, query: str, response: str, truths: list[str], contexts: list[str]) -> float:
-        told = self.extract("statements", response)
-        return self.share(self.verdicts("answer_relevance", told, ("yes", "no", "idk"), query=query)) if told else 0.0
+        (told,) = self.extract("statements", response)
+        return self.share(*self.verdicts("answer_relevance", [(told, {"query": query})], ("yes", "no", "idk"))) if told else 0.0
 
     def _of_opinions(self, metric: str, response: str) -> float:
-        told = self.extract("opinions", response)
-        return self.share(self.verdicts(metric, told)) if told else 0.0
+        (told,) = self.extract("opinions", response)
+        return self.share(*self.verdicts(metric, [(told, {})])) if told else 0.0
 
     def bias(self, query: str, response: str, truths: list[str], contexts: list[str]) -> float:
         return self._of_opinions("bias", response)
@@ -151,37 +165,38 @@ class Judge:
         """Mean of precision at each useful context; one that is useful for any expected answer counts."""
         if not truths or not contexts:
             return float(not truths and not contexts)
-        useful = [any(v == "yes" for v in each) for each in zip(*(self.verdicts("context_precision", contexts, query=query, expected=t) for t in truths), strict=True)]
+        useful = [any(v == "yes" for v in each) for each in zip(*self.verdicts("context_precision", [(contexts, {"query": query, "expected": t}) for t in truths]), strict=True)]
         at = [sum(useful[: k + 1]) / (k + 1) for k, ok in enumerate(useful) if ok]
         return sum(at) / len(at) if at else 0.0
 
     def context_recall(self, query: str, response: str, truths: list[str], contexts: list[str]) -> float:
         if not truths or not contexts:
             return float(not truths and not contexts)
-        each = [self.extract("statements", t) for t in truths]
-        return max(self.share(self.verdicts("context_recall", s, contexts=contexts)) if s else 0.0 for s in each)
+        each = [x for x in self.extract("statements", *truths) if x]
+        return max(map(self.share, self.verdicts("context_recall", [(x, {"contexts": contexts}) for x in each])), default=0.0)
 
     def context_relevance(self, query: str, response: str, truths: list[str], contexts: list[str]) -> float:
-        return self.share(self.verdicts("context_relevance", contexts, query=query)) if contexts else 0.0
+        return self.share(*self.verdicts("context_relevance", [(contexts, {"query": query})])) if contexts else 0.0
 
     def faithfulness(self, query: str, response: str, truths: list[str], contexts: list[str]) -> float:
         if not contexts:
             return 0.0
-        told = self.extract("claims", response)
-        return self.share(self.verdicts("faithfulness", told, contexts=contexts)) if told else 1.0
+        (told,) = self.extract("claims", response)
+        return self.share(*self.verdicts("faithfulness", [(told, {"contexts": contexts})])) if told else 1.0
 
     def hallucination(self, query: str, response: str, truths: list[str], contexts: list[str]) -> float:
         if not contexts:
             raise ValueError("hallucination needs contexts")
-        return self.share(self.verdicts("hallucination", contexts, text=response))
+        return self.share(*self.verdicts("hallucination", [(contexts, {"text": response})]))
 
     def summary_coherence(self, query: str, response: str, truths: list[str], contexts: list[str]) -> float:
-        prompt = f"How coherent is the summary as a whole, from 1 (not at all) to 5? Answer with the number.\n\nTEXT:\n{query}\n\nSUMMARY:\n{response}"
-        got = first_integer(self.ask(prompt))
-        if got is None or not 1 <= got <= 5:
-            self.memo.pop(prompt, None)
-            raise InvalidLLMResponseError(f"a number from 1 to 5 was asked for: {got}")
-        return float(got)
+        def check(reply: str) -> float:
+            got = first_integer(reply)
+            if got is None or not 1 <= got <= 5:
+                raise InvalidLLMResponseError(f"a number from 1 to 5 was asked for: {got}")
+            return float(got)
+
+        return self.parsed([f"How coherent is the summary as a whole, from 1 (not at all) to 5? Answer with the number.\n\nTEXT:\n{query}\n\nSUMMARY:\n{response}"], [check])[0]
 
 
 METRICS = ("answer_correctness", "answer_relevance", "bias", "context_precision", "context_recall", "context_relevance", "faithfulness", "hallucination", "summary_coherence", "toxicity")
@@ -204,54 +219,117 @@ def model_name(client: Client) -> str:
     return name
 
 
-def judge(data: DataFrame, make_client: Callable[[], Client], metrics: Sequence[str] = METRICS, retries: int = 0, system_prompt: str | None = None) -> DataFrame:
+SYSTEM = "You judge texts and answer in the format asked for."
+PER_TASK = 8  # prompts that a task asks before its replies are in the table
+NEEDS = {"hallucination": "contexts", "answer_correctness": "groundtruths"}
+_REPLY = "asked string, attempt int, reply string"
+_STEP = "_row long, uid string, type string, value double, error string, needs array<struct<asked:string,attempt:int,prompt:string>>"
+
+
+def name_of(prompt: str, system: str, model: str) -> str:
+    return hashlib.sha256("\0".join((model, system, prompt)).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _known(spark: SparkSession, store: str) -> DataFrame:
+    """Replies so far, also of a run that broke off; one for each prompt and try."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], _REPLY)
+    return spark.read.schema(_REPLY).parquet(store).dropDuplicates(["asked", "attempt"])
+
+
+def ask(prompts: DataFrame, make_client: Callable[[], Client], system: str, store: str, per_task: int = PER_TASK) -> None:
+    """Ask each of ``asked, attempt, prompt`` and add the replies to ``store``. A task's replies are there as soon as it ends,
+    so what breaks off a run, or takes an executor, costs the prompts of the tasks that were on their way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = None
+        for b in batches:
+            client = client or make_client()
+            replies = []
+            for prompt in b.column(2).to_pylist():
+                messages = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
+                check_messages(messages)
+                replies.append(client(messages))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(replies, pa.string())], names=["asked", "attempt", "reply"])
+
+    dealt = prompts.repartition(max(1, -(-prompts.count() // per_task)), "asked")
+    dealt.mapInArrow(run, _REPLY).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+
+
+def judge(data: DataFrame, make_client: Callable[[], Client], metrics: Sequence[str] = METRICS, retries: int = 0, system_prompt: str | None = None, store: str | None = None, per_task: int = PER_TASK) -> DataFrame:
     """A row for each response and metric: ``uid, type, value, evaluator, retries, error``.
 
     ``data`` has ``uid, query, response, groundtruths array<string>, contexts array<string>``; null lists are empty. Scores
-    that need contexts or ground truths are left out for rows without. ``make_client`` runs in each task.
+    that need contexts or ground truths are left out for rows without. ``make_client`` runs in each task, and once here for
+    its name. ``store`` is a folder that keeps replies by model, system prompt and prompt for later runs; without one they go
+    to the checkpoint folder.
+
+    A score takes two rounds, extraction and verdicts, and one for each new try; a round reads the rows that are left.
     """
     if make_client is None:
         raise ValueError("a client is needed")
     if unknown := set(metrics) - set(METRICS):
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    needs = {"hallucination": 1, "answer_correctness": 0}
+    spark, system, model = data.sparkSession, system_prompt or SYSTEM, model_name(make_client())
+    store = store or f"{checkpoint_folder(spark)}/replies-{uuid.uuid4().hex}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = make_client()
-        name, judged = model_name(client), Judge(client, *([system_prompt] if system_prompt else []))
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                lists = r["groundtruths"] or [], r["contexts"] or []
-                for m in metrics:
-                    if m in needs and not lists[needs[m]]:
-                        continue
-                    value, error = score_one(judged, m, r["query"] or "", r["response"] or "", *lists, retries)
-                    rows.append({"uid": r["uid"], "type": m, "value": value, "evaluator": name, "retries": retries, "error": error})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("uid", pa.string()), ("type", pa.string()), ("value", pa.float64()), ("evaluator", pa.string()), ("retries", pa.int32()), ("error", pa.string())]))
-
-    return data.selectExpr("cast(uid AS string) AS uid", "query", "response", "groundtruths", "contexts").mapInArrow(run, SCHEMA)
-
-
-class RuleClient:
-    """A deterministic judge for tests: texts split at '. ', an item is yes if its length is even, a summary gets 1 to 5 by its length."""
-
-    model_name = "rules"
-
-    def __call__(self, messages: list[dict]) -> str:
-        check_messages(messages)
-        prompt = messages[-1]["content"]
-        if prompt.startswith("How coherent"):
-            return f"I say {len(prompt.split('SUMMARY:\n', 1)[1]) % 5 + 1}."
-        if prompt.startswith("Sort statements"):
-            wanted, told = (json.loads(x) for x in re.search(r"EXPECTED:\n(.*)\n\nANSWER:\n(.*)", prompt).groups())
-            return "Here: " + json.dumps({"TP": [x for x in told if x in wanted], "FP": [x for x in told if x not in wanted], "FN": [x for x in wanted if x not in told]})
-        if "ITEMS:\n" in prompt:
-            items = json.loads(prompt.rsplit("ITEMS:\n", 1)[1])
-            return json.dumps({"verdicts": [{"verdict": "no" if len(x) % 2 else "yes", "analysis": "its length"} for x in items]})
-        kind = re.search(r'\{"(\w+)":', prompt).group(1)
-        return json.dumps({kind: [x for x in prompt.split("TEXT:\n", 1)[1].split(". ") if x]})
+                told = {(x["asked"], x["attempt"]): x["reply"] for x in r["replies"] or ()}
+                one = Judge(lambda prompt, attempt, told=told: told.get((name_of(prompt, system, model), attempt)))
+                row = {"_row": r["_row"], "uid": r["uid"], "type": r["type"], "value": None, "error": None, "needs": None}
+                try:
+                    row["value"], row["error"] = score_one(one, r["type"], r["query"] or "", r["response"] or "", r["groundtruths"] or [], r["contexts"] or [], retries)
+                except Needed as e:
+                    row["needs"] = [{"asked": name_of(p, system, model), "attempt": k, "prompt": p} for p, k in e.prompts]
+                rows.append(row)
+            needs = pa.list_(pa.struct([("asked", pa.string()), ("attempt", pa.int32()), ("prompt", pa.string())]))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("_row", pa.int64()), ("uid", pa.string()), ("type", pa.string()), ("value", pa.float64()), ("error", pa.string()), ("needs", needs)]))
+
+    lists = ("groundtruths", "contexts")
+    left = data.select(F.monotonically_increasing_id().alias("_row"), F.col("uid").cast("string").alias("uid"), "query", "response", *lists)
+    left = left.withColumn("type", F.explode(F.array(*map(F.lit, metrics)).cast("array<string>")))
+    for metric, name in NEEDS.items():
+        left = left.where((F.col("type") != metric) | (F.size(F.coalesce(name, F.array().cast("array<string>"))) > 0))
+    left, key = cut(left), ["_row", "type"]
+    links, done = spark.createDataFrame([], "_row long, type string, asked string"), None
+    while True:
+        replies = links.join(_known(spark, store), "asked").groupBy(*key).agg(F.collect_list(F.struct("asked", "attempt", "reply")).alias("replies"))
+        out = cut(left.join(replies, key, "left").select(*left.columns, "replies").mapInArrow(step, _STEP))
+        ready = out.where("needs is null").select("uid", "type", "value", F.lit(model).alias("evaluator"), F.lit(retries).alias("retries"), "error")
+        done = ready if done is None else done.union(ready)
+        asks = out.where("needs is not null").select(*key, F.explode("needs").alias("n")).select(*key, "n.*")
+        if asks.isEmpty():
+            return done
+        new = cut(asks.select("asked", "attempt", "prompt").dropDuplicates(["asked", "attempt"]).join(_known(spark, store), ["asked", "attempt"], "left_anti"))
+        ask(new, make_client, system, store, per_task)
+        links = cut(links.union(asks.select(*key, "asked")).distinct())
+        left = cut(left.join(asks.select(*key).distinct(), key, "left_semi"))
+
+
+ROUGE_TYPES = ("rouge1", "rouge2", "rougeL", "rougeLsum")
+
+
+def compute_all(data: DataFrame, make_client: Callable[[], Client], rouge_types: Sequence[str] = ROUGE_TYPES, use_stemmer: bool = False, bleu_weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25), **options: object) -> DataFrame:
+    """All twelve kinds of scores, in the columns of ``judge`` (whose ``options`` go on): the judged ones, a row for each ROUGE type
+    and one for BLEU, against the ground truths. Those two are left out for rows without ground truths."""
+    if unknown := set(rouge_types) - set(ROUGE_TYPES):
+        raise ValueError(f"unknown ROUGE types: {sorted(unknown)}")
+    own = data.where(F.size(F.coalesce("groundtruths", F.array().cast("array<string>"))) > 0).select(F.col("uid").cast("string").alias("uid"), F.col("response").alias("prediction"), F.col("groundtruths").alias("references"))
+    grams = tuple(int(t[5:]) for t in rouge_types if t[5:].isdigit())
+    parts = [text.bleu(own, bleu_weights).select("uid", F.lit("bleu").alias("type"), "value")]
+    if grams:
+        parts.append(text.rouge(own, grams, use_stemmer))
+    if set(rouge_types) - {"rouge1", "rouge2"}:
+        parts.append(text.rouge_sequences(own, use_stemmer).where(F.col("rouge_type").isin(*rouge_types)))
+    none = F.lit(None).cast("string")
+    out = judge(data, make_client, **options)
+    for part in parts:
+        out = out.union(part.toDF("uid", "type", "value").select("uid", "type", "value", none, F.lit(0), none))
+    return out
 
 
 class ChatClient:
@@ -297,3 +375,34 @@ def mistral_client(model: str = "mistral-small-latest", api_key: str | None = No
         return r.choices[0].message.content, r.choices[0].finish_reason, r.usage.prompt_tokens, r.usage.completion_tokens
 
     return ChatClient(send, model)
+
+
+class TextEvaluator:
+    """Judged and plain text scores of response frames, with one client."""
+
+    def __init__(self, make_client: Callable[[], Client], retries: int = 0, system_prompt: str | None = None, store: str | None = None):
+        self.options = {"retries": retries, "system_prompt": system_prompt, "store": store}
+        self.make_client = make_client
+
+    @classmethod
+    def openai(cls, model: str = "gpt-3.5-turbo", api_key: str | None = None, retries: int = 0, seed: int | None = None, system_prompt: str | None = None, store: str | None = None) -> TextEvaluator:
+        """Needs the ``openai`` package where tasks run."""
+        if seed is not None and retries:
+            raise ValueError("a seed and retries don't go together")
+        return cls(lambda: openai_client(model, api_key, seed, retries), retries, system_prompt, store)
+
+    @classmethod
+    def mistral(cls, model: str = "mistral-small-latest", api_key: str | None = None, retries: int = 0, system_prompt: str | None = None, store: str | None = None) -> TextEvaluator:
+        """Needs the ``mistralai`` package where tasks run."""
+        return cls(lambda: mistral_client(model, api_key), retries, system_prompt, store)
+
+    def compute(self, data: DataFrame, *names: str) -> DataFrame:
+        """Scores of these metrics, as ``judge`` gives them."""
+        return judge(data, self.make_client, names or METRICS, **self.options)
+
+    def compute_all(self, data: DataFrame, rouge_types: Sequence[str] = ROUGE_TYPES, use_stemmer: bool = False, bleu_weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25)) -> dict[str, list]:
+        """Metrics of all twelve kinds by response, for frames whose results fit the driver."""
+        from gaugeworks import metrics
+
+        rows = compute_all(data, self.make_client, rouge_types, use_stemmer, bleu_weights, **self.options)
+        return metrics.text_scores(rows, use_stemmer, list(bleu_weights))

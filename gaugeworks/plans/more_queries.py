@@ -18,6 +18,7 @@ from gaugeworks.operators import text
 from gaugeworks.operators.paging import page
 from gaugeworks.plans import datasets as data
 from gaugeworks.plans.queries import IOUS, ORACLE_SQL, SCORES, THRESHOLDS, _class_sql, _values, query, rounded, turns
+from gaugeworks.plans.stand_in import RuleClient
 from gaugeworks.sources import cache
 from gaugeworks.streaming import counts as streaming
 
@@ -226,7 +227,7 @@ UNION ALL SELECT uid, 'summary_coherence', length(response) % 5 + 1 FROM r)
 SELECT uid, type, round(value::DOUBLE, 9) AS value, 'rules' AS evaluator, 0::INT AS retries, NULL::VARCHAR AS error FROM m""")
 def text_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All judged scores by a client with fixed rules."""
-    return rounded(judged.judge(_responses(spark, sf_dir), judged.RuleClient))
+    return rounded(judged.judge(_responses(spark, sf_dir), RuleClient))
 
 
 @query()

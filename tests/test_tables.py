@@ -11,6 +11,7 @@ from gaugeworks.functions.polygons import polygon_iou
 from gaugeworks.functions.stemmer import stem
 from gaugeworks.metrics import Metric
 from gaugeworks.operators import judged, masks, text
+from gaugeworks.plans.stand_in import RuleClient
 from gaugeworks.sources import cache
 
 SCHEMA = "a long, b double, c string"
@@ -227,24 +228,21 @@ def test_mask_forms_equal_pixels(spark):
             masks.mask_counts(spark.createDataFrame([(0, 2, 2, [("a", bad)], [])], f"uid long, height int, width int, groundtruths {listed}, predictions {listed}")).collect()
 
 
-class Canned:
-    model_name = "canned"
-
-    def __init__(self, *replies):
-        self.replies, self.asked = list(replies), 0
-
-    def __call__(self, messages):
-        judged.check_messages(messages)
-        self.asked += 1
-        return self.replies.pop(0)
-
-
 def verdicts(*words):
     return json.dumps({"verdicts": [{"verdict": w, "analysis": "x"} for w in words]})
 
 
 def test_judged_scores():
-    run = lambda metric, *replies, truths=("t",), contexts=("c1", "c2", "c3"), retries=0: judged.score_one(judged.Judge(Canned(*replies)), metric, "q", "r", list(truths), list(contexts), retries)
+    def run(metric, *replies, truths=("t",), contexts=("c1", "c2", "c3"), retries=0):
+        canned, memo = list(replies), {}
+
+        def reply(prompt, attempt):
+            if (prompt, attempt) not in memo:
+                memo[prompt, attempt] = canned.pop(0)
+            return memo[prompt, attempt]
+
+        return judged.score_one(judged.Judge(reply), metric, "q", "r", list(truths), list(contexts), retries)
+
     three = json.dumps({"statements": ["s1", "s2", "s3"]})
     assert run("answer_relevance", three, verdicts("yes", "idk", "yes")) == (pytest.approx(2 / 3), None)
     assert run("answer_relevance", json.dumps({"statements": []})) == (0.0, None)
@@ -297,7 +295,7 @@ def test_judge_frame_gives_errors(spark):
     out = judged.judge(data, make, ["summary_coherence"], 1)
     (m,) = metrics.judged(out)["1"]
     assert m.type == "Error" and m.parameters == {"evaluator": "canned", "retries": 1} and m.value["type"] == "InvalidLLMResponseError"
-    assert judged.judge(data, judged.RuleClient, ["hallucination"]).count() == 0
+    assert judged.judge(data, RuleClient, ["hallucination"]).count() == 0
     with pytest.raises(ValueError):
         judged.judge(data, None)
 
