@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,7 +20,9 @@ from gaugeworks.plans import datasets as data
 from gaugeworks.plans.queries import IOUS, ORACLE_SQL, SCORES, THRESHOLDS, _class_sql, _values, query, rounded, turns
 from gaugeworks.plans.stand_in import RuleClient
 from gaugeworks.sources import cache
+from gaugeworks.sources.shared import checkpoint_folder
 from gaugeworks.streaming import counts as streaming
+from gaugeworks.streaming import datums
 
 URGENT = "priority = '1-URGENT'"
 
@@ -196,13 +198,31 @@ def table_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_classification_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders read as a stream; its counts end as those of the whole table."""
     orders = spark.readStream.schema(data.table(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared}/stream-{spark.sparkContext.applicationId}-{id(orders)}" if shared else tempfile.mkdtemp()
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     name = f"counts_{id(orders)}"
     streaming.to_table(streaming.classification_counts(data.pairs_of(orders), THRESHOLDS), name, folder).awaitTermination()
     return spark.table(name)
 
 
+@query(f"SELECT label, iou_threshold, score_threshold, tp, fp, fn FROM ({ORACLE_SQL['detection_precision_recall']})")
+def streaming_detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written to the shared folder, a datum a second, and read as a stream; a last pair of no label closes all datums."""
+    shared = f"{checkpoint_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    pairs = data.box_pairs(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("datum_uid") + 86_400))  # a watermark begins at 1970
+    end = pairs.agg((F.max("at") + F.expr("interval 1 day")).alias("at"))
+    last = end.select(*(F.lit(None).cast(t).alias(c) if c not in ("datum_uid", "at") else F.lit(-1).cast(t).alias(c) if c == "datum_uid" else F.col(c) for c, t in pairs.dtypes))
+    for k, part in enumerate((pairs, last, last)):
+        part.write.parquet(f"{shared}/in/part={k}")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    datums.configure(spark)
+    try:
+        stream = spark.readStream.schema(pairs.schema).parquet(f"{shared}/in")
+        datums.detection_counts(stream, f"{shared}/out", f"{shared}/state", IOUS, SCORES).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return datums.read_counts(spark, f"{shared}/out").select("label", "iou_threshold", "score_threshold", "tp", "fp", "fn")
+
+
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = data.table(spark, sf_dir, "conversations")
     w = W.partitionBy("conv_id").orderBy("turn")
