@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from gaugeworks import metrics
 from gaugeworks.errors import EmptyCacheError
 from gaugeworks.metrics import Metric
-from gaugeworks.operators import classification, detection, masks, segmentation
+from gaugeworks.operators import annotations, classification, detection, masks, segmentation
 from gaugeworks.sources import store
 from gaugeworks.sources.shared import cut
 
@@ -167,15 +167,30 @@ class DetectionEvaluator(Evaluator):
 
 
 class DetectionBuilder(Builder):
-    evaluator = DetectionEvaluator
+    """All annotations of a builder have one kind of shape."""
+
+    evaluator, kind = DetectionEvaluator, None
+
+    def _of(self, kind: str) -> None:
+        if self.kind not in (None, kind):
+            raise ValueError(f"this builder holds shapes of kind {self.kind}, not {kind}")
+        self.kind = kind
+
+    def add_data(self, data: DataFrame) -> None:
+        """Nested annotations, as ``annotations.flatten`` takes them."""
+        truths, predictions, kind = annotations.flatten(data)
+        {"box": self.add_bounding_boxes, "mask": self.add_bitmasks, "polygon": self.add_polygons}[kind](truths, predictions)
 
     def add_bounding_boxes(self, truths: DataFrame, predictions: DataFrame) -> None:
+        self._of("box")
         self._add(detection.box_pairs(truths, predictions))
 
     def add_bitmasks(self, truths: DataFrame, predictions: DataFrame) -> None:
+        self._of("mask")
         self._add(detection.mask_pairs(truths, predictions))
 
     def add_polygons(self, truths: DataFrame, predictions: DataFrame) -> None:
+        self._of("polygon")
         self._add(detection.polygon_pairs(truths, predictions))
 
 

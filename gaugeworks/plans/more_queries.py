@@ -16,6 +16,7 @@ from gaugeworks.operators import judged, masks
 from gaugeworks.operators import segmentation as s
 from gaugeworks.operators import text
 from gaugeworks.operators.paging import page
+from gaugeworks.operators.running import running_sums
 from gaugeworks.plans import datasets as data
 from gaugeworks.plans.queries import IOUS, ORACLE_SQL, SCORES, THRESHOLDS, _class_sql, _values, query, rounded, turns
 from gaugeworks.plans.stand_in import RuleClient
@@ -186,12 +187,10 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::INT AS place FROM customer")
 def table_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places in one order over all rows: counts before each range of the sort, and places within it."""
-    parts = cache.global_sort(data.table(spark, sf_dir, "customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], ["c_custkey", "c_acctbal"]).withColumn("part", F.spark_partition_id())
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    within = F.row_number().over(W.partitionBy("part").orderBy(F.desc("c_acctbal"), F.asc("c_custkey")))
-    return parts.withColumn("own", within).join(F.broadcast(before), "part").select("c_custkey", "c_acctbal", (F.col("own") + F.col("before")).cast("int").alias("place"))
+    """Places in one order over all rows, by running sums of ranges."""
+    order = [F.desc("c_acctbal"), F.asc("c_custkey")]
+    rows = running_sums(data.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), [], order, {"place": F.lit(1)})
+    return rows.select("c_custkey", "c_acctbal", F.col("place").cast("int").alias("place"))
 
 
 @query(f"""WITH {data.CLASS_CTE} SELECT pd_label AS label, {', '.join(f"count(*) FILTER ({'' if hit else 'NOT '}match AND pd_winner AND abs(pd_score) > 1e-8 AND pd_score >= {t}) AS {'tp' if hit else 'fp'}_{i}" for i, t in enumerate(THRESHOLDS) for hit in (1, 0))} FROM pairs GROUP BY 1""")

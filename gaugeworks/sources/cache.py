@@ -7,7 +7,7 @@ A reader gives DataFrames, so filters and column choices reach the Parquet scan;
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
@@ -239,9 +239,13 @@ class FileWriter(Writer):
         return FileReader.load(self.spark, self.path)
 
 
-def global_sort(frame: DataFrame, by: Sequence[str | Column], columns: Sequence[str] | None = None) -> DataFrame:
-    """One order over all rows: Spark's range exchange and a spilling merge in each range."""
-    return chosen(frame.orderBy(*by), columns)
+def global_sort(frame: DataFrame, by: Sequence[str | Column], columns: Sequence[str] | None = None, table_sort_override: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One order over all rows: Spark's range exchange and a spilling merge in each range. ``table_sort_override`` gets the rows
+    dealt by ranges and orders them within these in a way of its own."""
+    if table_sort_override is None:
+        return chosen(frame.orderBy(*by), columns)
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chosen(table_sort_override(frame.repartitionByRange(tasks, *by)), columns)
 
 
 def read_json_pairs(spark: SparkSession, truths: str, predictions: str, key: str = "uid") -> DataFrame:
