@@ -140,6 +140,15 @@ def truths_per_label(pairs: DataFrame) -> DataFrame:
     return pairs.where("gt_id is not null").select("datum_uid", "gt_id", F.col("gt_label").alias("label")).distinct().groupBy("label").agg(F.count("*").alias("n_gt"))
 
 
+def _facts(pairs: DataFrame, datums: Column | str | None, labels: DataFrame | None) -> DataFrame:
+    """``label, n_gt`` of all labels, or of those given: ground truths that a filter keeps. The pairs are read once for both."""
+    on = F.lit(True) if datums is None else F.coalesce(F.expr(datums) if isinstance(datums, str) else datums, F.lit(False))
+    sides = F.array(F.struct(F.col("gt_label").alias("label"), "datum_uid", "gt_id", "on"), F.struct(F.col("pd_label").alias("label"), *(F.lit(None).cast(dict(pairs.dtypes)[c]).alias(c) for c in ("datum_uid", "gt_id")), F.lit(False).alias("on")))
+    rows = pairs.select("datum_uid", "gt_id", "gt_label", "pd_label", on.alias("on")).select(F.inline(sides)).where("label is not null")
+    found = rows.groupBy("label", "datum_uid", "gt_id").agg(F.max("on").alias("on")).groupBy("label").agg(F.count_if(F.col("gt_id").isNotNull() & F.col("on")).alias("n_gt"))
+    return found if labels is None else labels.select("label").join(found, "label", "left").fillna(0, "n_gt")
+
+
 def labels_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("gt_label", "pd_label")).alias("label")).where("label is not null").distinct()
 
@@ -168,8 +177,7 @@ def precision_recall(pairs: DataFrame, ious: Sequence[float], scores: Sequence[f
     sums = [F.count_if(F.col("hit") & (F.col("pd_score") >= t)).alias(f"tp_{k}") for k, t in enumerate(s)] + [F.count_if(~F.col("hit") & (F.col("pd_score") >= t)).alias(f"fp_{k}") for k, t in enumerate(s)]
     wide = rows.groupBy(F.col("pd_label").alias("label"), "iou_threshold").agg(*sums)
     tall = wide.select("label", "iou_threshold", F.inline(F.array(*(F.struct(F.lit(t).alias("score_threshold"), F.col(f"tp_{k}").alias("tp"), F.col(f"fp_{k}").alias("fp")) for k, t in enumerate(s)))))
-    grid = (labels_of(pairs) if labels is None else labels).join(truths_per_label(_kept(pairs, datums)), "label", "left")
-    grid = grid.select("label", "n_gt", F.explode(F.array(*map(F.lit, i))).alias("iou_threshold")).select("*", F.explode(F.array(*map(F.lit, s))).alias("score_threshold"))
+    grid = _facts(pairs, datums, labels).select("label", "n_gt", F.explode(F.array(*map(F.lit, i))).alias("iou_threshold")).select("*", F.explode(F.array(*map(F.lit, s))).alias("score_threshold"))
     zero = F.lit(0).cast("long")
     out = grid.join(tall, ["label", "iou_threshold", "score_threshold"], "left").select("label", "iou_threshold", "score_threshold", F.coalesce("tp", zero).alias("tp"), F.coalesce("fp", zero).alias("fp"), (F.coalesce("n_gt", zero) - F.coalesce("tp", zero)).alias("fn"))
     out = out.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
@@ -184,12 +192,13 @@ def precision_recall_curve(pairs: DataFrame, ious: Sequence[float], datums: Colu
     rows = ranked.select("label", "pd_score", "iou", "datum_uid", "gt_id", "pd_id", *(h.alias(n) for n, h in hits.items()))
     order = [F.desc("pd_score"), F.desc("iou"), F.asc("datum_uid"), F.asc("gt_id"), F.asc("pd_id")]
     sums = {"total": F.lit(1)} | {f"right_{k}": F.col(n).cast("long") for k, n in enumerate(hits)}
-    rows = running_sums(rows, ["label"], order, sums, [truths_per_label(_kept(pairs, datums))])
+    facts = cut(_facts(pairs, datums, labels))  # a row for each label
+    rows = running_sums(rows, ["label"], order, sums, [facts])
     each = [F.struct(F.lit(t).alias("iou_threshold"), F.when(F.col(f"hit_{k}"), F.col(f"right_{k}")).otherwise(0).alias("right")) for k, t in enumerate(i)]
     rows = rows.select("label", "pd_score", "total", "n_gt", F.inline(F.array(*each)))
     rows = rows.select("label", "iou_threshold", F.floor(share(F.col("right"), F.col("n_gt")) * 100).cast("int").alias("bin"), share(F.col("right"), F.col("total")).alias("precision"), "pd_score")
     best = rows.groupBy("label", "iou_threshold", "bin").agg(F.max("precision").alias("precision"), F.max("pd_score").alias("score"))
-    grid = (labels_of(pairs) if labels is None else labels).select("label", F.explode(F.array(*map(F.lit, i))).alias("iou_threshold")).select("*", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("bin"))
+    grid = facts.select("label", F.explode(F.array(*map(F.lit, i))).alias("iou_threshold")).select("*", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("bin"))
     up = W.partitionBy("label", "iou_threshold").orderBy(F.desc("bin"))
     out = grid.join(best, ["label", "iou_threshold", "bin"], "left")
     return out.select("label", "iou_threshold", "bin", F.coalesce(F.max("precision").over(up), F.lit(0.0)).alias("precision"), F.coalesce(F.max("score").over(up), F.lit(0.0)).alias("score"))
