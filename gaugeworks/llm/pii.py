@@ -1,10 +1,12 @@
 """Personal data: base patterns with exact places, and bootstrapped contextual extraction. DataFrame operations only.
 
-Base matches, and values that text itself names as a token, key or password, seed a graph of instances (mentions: runs
-of ASCII or Latin characters with a digit or @, and phone- or card-like runs with blanks) and lexical patterns (the
-word before with the mention's loose shape, the word after with it, and the exact shape alone). Patterns are scored by the share of
-their occurrences that are known for a kind, instances by their best pattern, in turns; what scores enough is known in
-the next turn. Unseen identifiers found so are added as spans.
+Base matches seed a graph of instances (mentions: runs of ASCII or Latin characters with a digit or @, and phone- or
+card-like runs with blanks) and lexical patterns (the word before with the mention's kind of characters, the same with its
+loose shape, the word after with that, and the exact shape alone). So do values of the kind ``secret``, by a strict form alone: a name, ``=``, and between quotes,
+with nothing but blanks behind, a run of 12 or more that mixes letters and digits. No word is a cue by itself: which words
+and shapes stand by identifiers is what the patterns learn. They are scored by the share of their occurrences that are known
+for a kind, instances by their best pattern, in turns; what scores enough is known in the next turn. Unseen identifiers
+found so are added as spans, as are seeds of the kind ``secret``.
 """
 
 from __future__ import annotations
@@ -29,9 +31,8 @@ _FREE = r"[!#-&(-+\--/:?A-Z\\^-z~\u00C0-\u024F]"  # those but digits and @
 MENTION = rf"(?<!{_T})(?:\+[0-9][\x20().0-9-]+[0-9](?!{_T})|[0-9](?:[\x20-]?[0-9])++(?!{_T})|{_FREE}*+[0-9@]{_T}*+)"
 LAST_WORD = r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)([^\p{L}\p{N}_]*+)$"
 FIRST_WORD = r"^[^\p{L}\p{N}_]*+([\p{L}\p{N}_]++)"
-#: Names that text gives to a secret before = or :.
-CUES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "access_key", "secret_key", "auth", "bearer")
-TURNS, LEAST_SCORE, LEAST_SEEDS, LEAST_SECRET = 3, 0.8, 3, 8
+TURNS, LEAST_SCORE, LEAST_SEEDS = 3, 0.7, 3
+ASSIGNED, CLOSED = r"^\x20?=\x20?[\"']$", r"^[\"'](?:\s|\z)"  # what stands before and behind a seed of the kind secret
 NEAR = 256  # spans are matched with mentions by stretches of so many characters
 LONG = 80  # a longer name of an instance or pattern is replaced by its digest
 
@@ -49,12 +50,12 @@ def _places(docs: DataFrame, patterns: list[tuple[int, str]], around: bool = Fal
     if around:
         rows = rows.select("r", "kind", "at", "value", F.get("g", F.col("at")).alias("before"), F.get("g", F.col("at") + 1).alias("after"))
         last, first = (F.regexp_extract("before", LAST_WORD, i) for i in (1, 2)), F.regexp_extract("after", FIRST_WORD, 1)
-        rows = rows.withColumns({"word": next(last), "link": next(last), "next": first})
-    rows = rows.select("r", "kind", "at", "value", F.length("before").alias("gap"), F.length("value").alias("size"), *(["word", "link", "next"] if around else []))
+        rows = rows.withColumns({"word": next(last), "link": next(last), "next": first, "behind": F.substring("after", 1, 2)})
+    rows = rows.select("r", "kind", "at", "value", F.length("before").alias("gap"), F.length("value").alias("size"), *(["word", "link", "next", "behind"] if around else []))
     rows = rows.dropDuplicates(["r", "kind", "at"])  # of rows given twice
     upto = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("r", "kind").orderBy("at"))
     out = rows.withColumn("end", upto.cast("int")).withColumn("start", (F.col("end") - F.col("size")).cast("int"))
-    return out.select("r", "kind", "start", "end", "value", *(["word", "link", "next"] if around else []))
+    return out.select("r", "kind", "start", "end", "value", *(["word", "link", "next", "behind"] if around else []))
 
 
 def _digits(value: Column) -> Column:
@@ -97,16 +98,17 @@ def shape(token: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Mentions: ``r, start, end, instance, named, patterns``. The instance is the mention without punctuation at its ends;
-    ``named`` says that the text before calls it a secret."""
+    ``named`` says that it has the strict form of a secret."""
     t = _places(docs, [(0, MENTION)], around=True)
     lead = F.regexp_extract("value", r"^([^\p{L}\p{N}+(]*+)", 1)
     instance = F.regexp_replace(F.regexp_replace("value", r"^[^\p{L}\p{N}+(]++", ""), r"(?<=[\p{L}\p{N})])[^\p{L}\p{N})]++$", "")
-    word, quoted = F.lower("word"), F.col("link").rlike("[=:]")
+    word = F.lower("word")
     t = t.withColumns({"instance": instance, "start": (F.col("start") + F.length(lead)).cast("int")}).where("instance <> ''")
     t = t.withColumns({"end": (F.col("start") + F.length("instance")).cast("int"), "form": shape(F.col("instance"))})
-    named = word.isin(*CUES) & quoted & (F.length("instance") >= LEAST_SECRET) & F.col("instance").rlike("[0-9]")
+    named = F.col("word").rlike("^[A-Za-z]") & F.col("link").rlike(ASSIGNED) & F.col("behind").rlike(CLOSED) & F.col("form").contains("X")
     loose = F.regexp_replace("form", r"9++|X9++", "9")
-    told = [F.concat_ws(" ", word, loose, F.lit("<")), F.concat_ws(" ", loose, F.lower("next"), F.lit(">")), F.concat(F.col("form"), F.lit(" ="))]
+    kind = F.when(F.col("instance").contains("@"), "@").when(F.col("instance").rlike(r"\p{L}"), "x").otherwise("9")
+    told = [F.concat_ws(" ", word, kind, F.lit("<<")), F.concat_ws(" ", word, loose, F.lit("<")), F.concat_ws(" ", loose, F.lower("next"), F.lit(">")), F.concat(F.col("form"), F.lit(" ="))]
     return t.select("r", "start", "end", _name(F.col("instance")).alias("instance"), named.alias("named"), F.array(*map(_name, told)).alias("patterns"))
 
 
@@ -115,7 +117,7 @@ def _stretches(start: str, end: str) -> Column:
 
 
 def discover(found: DataFrame, mentions: DataFrame) -> DataFrame:
-    """``r, kind, start, end``: mentions whose instance the graph comes to know, but those that a base span covers by half or more (these are its seeds)."""
+    """``r, kind, start, end, named``: mentions whose instance the graph comes to know, but those that a base span covers by half or more (these are its seeds)."""
     b = found.select("r", "kind", F.col("start").alias("s"), F.col("end").alias("e")).withColumn("near", _stretches("s", "e"))
     c = mentions.withColumn("near", _stretches("start", "end"))
     shared = F.least("e", "end") - F.greatest("s", "start")
@@ -132,7 +134,7 @@ def discover(found: DataFrame, mentions: DataFrame) -> DataFrame:
         known = cut(known.unionByName(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")))
     best = known.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("kind"))
     free = mentions.join(met.select("r", "start").distinct(), ["r", "start"], "left_anti")
-    return free.join(best, "instance").select("r", "kind", "start", "end")
+    return free.join(best, "instance").select("r", "kind", "start", "end", "named")
 
 
 def _joined(spans: Column) -> Column:
@@ -141,8 +143,8 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: counts of base spans by kind (``n_email`` to ``n_phone``), their digest, all spans, and the
-    number of spans that discovery added (``n_found``).
+    """Per row of ``docs``: counts of base spans by kind (``n_email`` to ``n_phone``), their digest, all spans, the number of
+    spans that discovery added (``n_found``), and of those the ones that patterns found, not seeds (``n_learned``).
 
     Null and empty texts have none; an empty table gives no rows. Repeated rows get the same result. Only doc_id and text
     are looked at.
@@ -153,11 +155,12 @@ def report(docs: DataFrame) -> DataFrame:
     added = discover(found.drop("value"), cut(candidates(texts)))
     one = F.struct("start", "kind", "end")
     base = found.groupBy("r").agg(*(F.sum((F.col("kind") == k).cast("long")).alias(f"n_{n}") for k, n in enumerate(KINDS[:BASE])), F.collect_list(one).alias("base"))
-    more = added.groupBy("r").agg(F.collect_set(one).alias("more"))
+    more = added.groupBy("r").agg(F.collect_set(one).alias("more"), F.count_distinct(F.when(~F.col("named"), one)).alias("learned"))
     out = keyed.select("doc_id", "r").join(base, "r", "left").join(more, "r", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans, rest = F.coalesce("base", none), F.coalesce("more", none)
     return out.select(
         "doc_id", *(F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}") for n in KINDS[:BASE]),
         F.sha2(_joined(spans), 256).alias("base_sha256"), _joined(F.concat(spans, rest)).alias("spans"), F.size(rest).cast("long").alias("n_found"),
+        F.coalesce("learned", F.lit(0).cast("long")).alias("n_learned"),
     )
