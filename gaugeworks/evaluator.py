@@ -45,10 +45,10 @@ class Builder:
     def finalize(self, index_to_label_override: DataFrame | None = None) -> Evaluator:
         if self.done:
             raise RuntimeError("this builder is finalized")
-        if self.frame is None or self.frame.isEmpty():
+        frame = None if self.frame is None else self.evaluator.finalized(self.frame)
+        if frame is None or frame.isEmpty():
             raise EmptyCacheError
         self.done = True
-        frame = self.evaluator.finalized(self.frame)
         if self.path is None:
             return self.evaluator(frame, index_to_label_override, self.fields)
         store.write(frame, self.path, self.fields, **self.options, bucket=self.evaluator.bucket)
@@ -60,6 +60,7 @@ class Evaluator:
 
     bucket: str | None = "datum_uid"  # the column that a folder is bucketed by
     finalized = staticmethod(cut)  # what is done once, before any metric
+    refined = staticmethod(lambda pairs: pairs)  # the same of a filter's pairs, which are written already
 
     def __init__(self, pairs: DataFrame, labels: DataFrame | None = None, metadata_fields: dict[str, str] | None = None, stored: bool = False):
         self.pairs, self.fields, self.stored = pairs, metadata_fields or {}, stored
@@ -81,7 +82,7 @@ class Evaluator:
         """With the parent's labels, also those that have no row left."""
         if self.stored and path is None:
             raise ValueError("an evaluator on disk needs a path for what it filters")
-        pairs = self.finalized(pairs)
+        pairs = self.refined(pairs)
         if path is None:
             return type(self)(pairs, self.labels, self.fields)
         store.write(pairs, path, self.fields, bucket=self.bucket)
@@ -140,6 +141,7 @@ class DetectionEvaluator(Evaluator):
     def finalized(pairs: DataFrame) -> DataFrame:
         return cut(detection.finalize(pairs))
 
+    refined = finalized
     _labels_of, _info = staticmethod(detection.labels_of), staticmethod(detection.info)
 
     def filter(self, datums: Filter = None, groundtruths: Filter = None, predictions: Filter = None, path: str | None = None) -> Evaluator:

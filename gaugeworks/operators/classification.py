@@ -194,9 +194,10 @@ def select(pairs: DataFrame, datums: Column | str | None = None, groundtruths: C
     for by, key in ((groundtruths, "gt_label"), (predictions, "pd_label")):
         if by is not None:
             out = out.join(base.where(by).select("datum_uid", key).distinct(), ["datum_uid", key], "left_semi")
+    out = cut(out.select(*pairs.columns))  # computed once, for the test and for what follows
     if out.isEmpty():
         raise EmptyCacheError
-    return out.select(*pairs.columns)
+    return out
 
 
 def info(pairs: DataFrame, datums: Column | str | None = None) -> DataFrame:

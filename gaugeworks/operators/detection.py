@@ -334,7 +334,7 @@ def select(pairs: DataFrame, datums: Column | str | None = None, groundtruths: C
             changed["pd_score"] = F.when(F.col("_ok"), F.col("pd_score")).otherwise(-1.0)
         out = out.withColumns(changed).drop("_ok")
     out = out.where("gt_id is not null or pd_id is not null")
-    out = out.withColumn("iou", F.when(F.col("gt_id").isNotNull() & F.col("pd_id").isNotNull(), F.col("iou")).otherwise(0.0)).select(*pairs.columns)
+    out = cut(out.withColumn("iou", F.when(F.col("gt_id").isNotNull() & F.col("pd_id").isNotNull(), F.col("iou")).otherwise(0.0)).select(*pairs.columns))
     if out.isEmpty():
         raise EmptyCacheError
     return out

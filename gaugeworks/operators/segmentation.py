@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.errors import EmptyCacheError
 from gaugeworks.functions.ratios import f1, share
+from gaugeworks.sources.shared import cut
 
 
 def pixel_counts(pixels: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def confusion_matrix(counts: DataFrame, datums: Column | str | None = None) -> D
 
 def select(counts: DataFrame, datums: Column | str | None = None, groundtruths: Column | str | None = None, predictions: Column | str | None = None) -> DataFrame:
     """``background`` of the datums that pass; EmptyCacheError if none does."""
-    kept = counts if datums is None else counts.where(datums)
+    kept = cut(counts if datums is None else counts.where(datums))
     if kept.isEmpty():
         raise EmptyCacheError
     return background(kept, groundtruths, predictions)
