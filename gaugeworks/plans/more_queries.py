@@ -161,7 +161,7 @@ def segmentation_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.mask_counts(shapes)
 
 
-@query("""WITH r AS (SELECT l_suppkey AS datum_uid, (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS id, l_returnflag AS label, l_orderkey % 2 AS side, l_partkey % 90 AS x, l_orderkey % 50 AS y, 1 + l_partkey % 11 AS w, 1 + l_orderkey % 9 AS h FROM lineitem),
+@query("""WITH r AS (SELECT l_suppkey AS datum_uid, ((l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey) * 100 + cast(l_quantity AS bigint) AS id, l_returnflag AS label, l_orderkey % 2 AS side, l_partkey % 90 AS x, l_orderkey % 50 AS y, 1 + l_partkey % 11 AS w, 1 + l_orderkey % 9 AS h FROM lineitem),
 m AS (SELECT datum_uid, side, id, label, (y + j) * 100 + x + i AS pixel FROM r, range(11) a(i), range(9) b(j) WHERE i < w AND j < h),
 f AS (SELECT datum_uid, pixel, arg_min(label, id) FILTER (side = 0) AS gt_label, arg_min(label, id) FILTER (side = 1) AS pd_label FROM m GROUP BY ALL),
 c AS (SELECT datum_uid, gt_label, pd_label, count(*) AS count FROM f GROUP BY ALL)
@@ -169,7 +169,7 @@ FROM c UNION ALL SELECT datum_uid, NULL, NULL, 6000 - sum(count)::BIGINT FROM c
 def segmentation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thousands of overlapping rectangles a datum, given as runs of pixels."""
     items = data.table(spark, sf_dir, "lineitem").selectExpr(
-        "l_suppkey AS uid", "(l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS id", "l_returnflag AS label", "l_orderkey % 2 AS side",
+        "l_suppkey AS uid", "((l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey) * 100 + cast(l_quantity AS bigint) AS id", "l_returnflag AS label", "l_orderkey % 2 AS side",
         "transform(sequence(0L, l_orderkey % 9), j -> named_struct('start', (l_orderkey % 50 + j) * 100 + l_partkey % 90, 'length', 1 + l_partkey % 11)) AS runs",
     )
     mine = [F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("id", "label", "runs")))), lambda x: F.struct(x["label"].alias("label"), x["runs"].alias("runs"))).alias(n) for k, n in enumerate(masks.SIDES)]
