@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.ratios import f1, share
 from gaugeworks.functions.stemmer import stem
 
 TINY = 2.2250738585072014e-308  # an order without a hit counts as this
@@ -37,26 +36,45 @@ def stemmed(data: DataFrame) -> DataFrame:
     return data.select("uid", "prediction", "references").mapInArrow(run, f"uid {dict(data.dtypes)['uid']}, prediction string, references array<string>")
 
 
-def _grams(tokens: str, n: int) -> Column:
-    return F.expr(f"if(size({tokens}) >= {n}, transform(sequence(1, size({tokens}) - {n - 1}), i -> array_join(slice({tokens}, i, {n}), ' ')), array())")
+def _tokens(found: Column) -> Column:
+    """Words, which hold no blanks, as one string."""
+    return F.array_join(found, " ")
+
+
+def _grams(text: str | None, n: int) -> Counter:
+    """Counts of the n-grams of words that are apart by blanks."""
+    found = text.split(" ") if text else []
+    return Counter(zip(*(found[i:] for i in range(n)), strict=False))
 
 
 def rouge(data: DataFrame, sizes: tuple[int, ...] = (1, 2), use_stemmer: bool = False) -> DataFrame:
     """``uid, rouge_type, value`` of ``uid, prediction, references``: F-measure of clipped n-gram counts, the best reference counts.
 
-    N-grams are counted before and after the shuffle. Texts too short for an n-gram, and rows without references, give 0. Each
-    row gives its own values, a uid given twice too.
+    A row holds all that its values need, so n-grams are counted inside it, in Arrow batches, and nothing is shuffled. Texts
+    too short for an n-gram, and rows without references, give 0. Each row gives its own values, a uid given twice too.
     """
-    data = (stemmed(data) if use_stemmer else data).select(F.monotonically_increasing_id().alias("_row"), "uid", words(F.col("prediction")).alias("p"), "references")
-    data = data.select("_row", "uid", "p", F.posexplode_outer("references").alias("ref", "reference"))  # behind the row's number
-    sides = F.array(*(F.struct(F.lit(k).alias("side"), w.alias("w")) for k, w in enumerate((F.col("p"), words(F.col("reference"))))))
-    kinds = F.array(*(F.struct(F.lit(f"rouge{n}").alias("rouge_type"), _grams("w", n).alias("grams")) for n in sizes))
-    row = ["_row", "uid", "ref", "rouge_type"]
-    grams = data.select("_row", "uid", "ref", F.inline(sides)).select("_row", "uid", "ref", "side", F.inline(kinds)).select(*row, "side", F.explode_outer("grams").alias("gram"))
-    counts = grams.groupBy(*row, "gram").agg(F.count_if((F.col("side") == 0) & F.col("gram").isNotNull()).alias("p"), F.count_if((F.col("side") == 1) & F.col("gram").isNotNull()).alias("r"))
-    sums = counts.groupBy(*row).agg(F.sum(F.least("p", "r")).alias("hit"), F.sum("p").alias("p"), F.sum("r").alias("r"))
-    best = sums.select(*row, f1(share(F.col("hit"), F.col("p")), share(F.col("hit"), F.col("r"))).alias("v")).groupBy("_row", "uid", "rouge_type").agg(F.max("v").alias("value"))
-    return best.select("uid", "rouge_type", "value")
+    sizes = tuple(dict.fromkeys(sizes))
+    names = [f"rouge{n}" for n in sizes]
+
+    def value(p: Counter, r: Counter) -> float:
+        hit = sum(min(c, r[g]) for g, c in p.items() if g in r)
+        if not hit:
+            return 0.0
+        precision, recall = hit / p.total(), hit / r.total()
+        return 2.0 * precision * recall / (precision + recall)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values: list[list[float]] = [[] for _ in sizes]
+            for p, refs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for out, n in zip(values, sizes, strict=True):
+                    mine = _grams(p, n)
+                    out.append(max((value(mine, _grams(r, n)) for r in refs or ()), default=0.0))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.float64()) for v in values)], names=["uid", *names])
+
+    kind = dict(data.dtypes)["uid"]
+    toks = (stemmed(data) if use_stemmer else data).select("uid", _tokens(words(F.col("prediction"))).alias("p"), F.transform("references", lambda x: _tokens(words(x))).alias("r"))
+    return toks.mapInArrow(run, ", ".join([f"uid {kind}", *(f"{n} double" for n in names)])).unpivot("uid", names, "rouge_type", "value")
 
 
 def common_length(a: Sequence[str], b: Sequence[str]) -> int:
@@ -172,22 +190,30 @@ def bleu(data: DataFrame, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25)) -
     """``uid, value`` of ``uid, prediction, references``: weighted n-gram precision, clipped by the best reference, times the brevity penalty.
 
     The penalty goes by the reference of nearest length, the shorter of two. Without a common word, and below 1e-9, the
-    value is 0; so it is without references. N-grams are counted before and after the shuffle. Each row gives its own value.
+    value is 0; so it is without references. N-grams are counted inside a row, in Arrow batches, so nothing is shuffled. Each
+    row gives its own value.
     """
     if not weights:
         raise ValueError("at least one weight is needed")
     sizes = range(1, len(weights) + 1)
-    toks = data.select(F.monotonically_increasing_id().alias("_row"), "uid", bleu_words(F.col("prediction")).alias("p"), F.transform(F.coalesce("references", F.array().cast("array<string>")), bleu_words).alias("r"))
+    counted = [f"{name}_{n}" for n in sizes for name in ("hit", "all")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[int]] = [[] for _ in counted]
+            for p, refs in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                for n in sizes:
+                    mine, most = _grams(p, n), Counter()
+                    for r in refs:
+                        most |= _grams(r, n)
+                    out[2 * n - 2].append(sum(min(c, most[g]) for g, c in mine.items() if g in most))
+                    out[2 * n - 1].append(mine.total())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, pa.int64()) for x in out)], names=["uid", "n", "near", *counted])
+
+    toks = data.select("uid", bleu_words(F.col("prediction")).alias("p"), F.transform(F.coalesce("references", F.array().cast("array<string>")), bleu_words).alias("r"))
     gap = F.array_sort(F.transform("r", lambda x: F.struct(F.abs(F.size(x) - F.size("p")).alias("gap"), F.size(x).alias("size"))))
-    row = ["_row", "uid", "size", "near"]
-    toks = toks.withColumn("gap", F.try_element_at(gap, F.lit(1))).select("_row", "uid", F.size("p").alias("size"), F.col("gap.size").alias("near"), F.concat(F.array("p"), "r").alias("all"))
-    each = toks.select(*row, F.posexplode("all").alias("side", "w"))
-    kinds = F.array(*(F.struct(F.lit(n).alias("n"), _grams("w", n).alias("grams")) for n in sizes))
-    grams = each.select(*row, "side", F.inline(kinds)).select(*row, "side", "n", F.explode_outer("grams").alias("gram"))
-    counts = grams.groupBy(*row, "n", "gram", "side").agg(F.count("gram").alias("c")).groupBy(*row, "n", "gram")
-    counts = counts.agg(F.coalesce(F.max(F.when(F.col("side") == 0, F.col("c"))), F.lit(0)).alias("p"), F.coalesce(F.max(F.when(F.col("side") > 0, F.col("c"))), F.lit(0)).alias("r"))
-    sums = [x for n in sizes for x in (F.sum(F.when(F.col("n") == n, F.least("p", "r"))).alias(f"hit_{n}"), F.sum(F.when(F.col("n") == n, F.col("p"))).alias(f"all_{n}"))]
-    rows = counts.groupBy(*row).agg(*sums).withColumnRenamed("size", "n")
+    toks = toks.select("uid", F.size("p").alias("n"), F.try_element_at(gap, F.lit(1))["size"].alias("near"), _tokens(F.col("p")).alias("p"), F.transform("r", _tokens).alias("r"))
+    rows = toks.mapInArrow(run, ", ".join([f"uid {dict(data.dtypes)['uid']}, n int, near int", *(f"{c} long" for c in counted)]))
     logs = reduce(lambda a, b: a + b, (F.lit(float(w)) * F.ln(F.greatest(F.coalesce(F.col(f"hit_{n}") / F.greatest(F.col(f"all_{n}"), F.lit(1)), F.lit(0.0)), F.lit(TINY))) for n, w in zip(sizes, weights, strict=True)))
     penalty = F.when(F.col("n") > F.col("near"), 1.0).otherwise(F.exp(1 - F.col("near") / F.col("n")))
     value = F.when(F.col("hit_1") > 0, penalty * F.exp(logs))

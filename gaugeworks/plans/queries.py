@@ -14,6 +14,7 @@ from gaugeworks.operators import paging
 from gaugeworks.operators import segmentation as s
 from gaugeworks.operators import text
 from gaugeworks.plans import datasets as data
+from gaugeworks.sources.shared import spread
 
 THRESHOLDS, IOUS, SCORES = [0.0, 0.25, 0.5, 0.75], [0.1, 0.5, 0.75], [0.0, 0.5, 0.9]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,12 +260,12 @@ s AS (SELECT uid, ref, n, sum(least(p, r)) AS hit, sum(p) AS p, sum(r) AS r FROM
 SELECT uid, 'rouge' || n AS rouge_type, round(coalesce(max(2 * hit / (p + r)), 0), 9) AS value
 FROM (SELECT DISTINCT uid FROM d) CROSS JOIN (VALUES (1), (2)) v(n) LEFT JOIN s USING (uid, n) GROUP BY ALL""")
 def text_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = data.table(spark, sf_dir, "part")
-    return rounded(text.rouge(parts.selectExpr("p_partkey AS uid", "p_brand || ' ' || p_type AS prediction", "array(p_type || ' ' || p_brand, p_name) AS references")))
+    return rounded(text.rouge(_texts(spark, sf_dir)))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data.table(spark, sf_dir, "part").selectExpr("p_partkey AS uid", "p_brand || ' ' || p_type AS prediction", "array(p_type || ' ' || p_brand, p_name) AS references")
+    """Dealt out by uid, as the parts of a small file are one task."""
+    return spread(data.table(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey AS uid", "p_brand || ' ' || p_type AS prediction", "array(p_type || ' ' || p_brand, p_name) AS references")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Cuts of lineage in the shared checkpoint folder."""
+"""Cuts of lineage in the shared checkpoint folder, and rows dealt to tasks of one size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHARE = 500_000  # rows of a task that sorts what ``spread`` deals out
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset: one of its own in local mode, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
@@ -26,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame, *keys: str, share: int = SHARE) -> DataFrame:
+    """Rows dealt by keys to as many tasks as give each about ``share`` rows, whatever number of partitions the session sets: so a
+    task's memory doesn't grow with the input. The rows are counted for that."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // share))
+    return rows.repartition(tasks, *keys)

@@ -98,3 +98,14 @@ def test_uids_given_twice_stay_apart(spark):
     data = spark.createDataFrame(rows, "uid long, prediction string, references array<string>")
     assert sorted((r.uid, r.value) for r in text.bleu(data, [1]).collect()) == [(1, 0.0), (1, 1.0), (2, 0.0), (2, 0.0)]
     assert sorted((r.uid, r.value) for r in text.rouge(data, (1,)).collect()) == [(1, 0.0), (1, 1.0), (2, 0.0), (2, 0.0)]
+
+
+def test_grams_are_counted_inside_a_row(spark):
+    """No task holds n-grams of many rows: nothing is shuffled; frequent n-grams are clipped, short and null texts give 0."""
+    rows = [(1, "a b a b a b", ["a b", "b a b a", None]), (2, None, ["x"]), (3, "x", None), (4, "x y", [])]
+    data = spark.createDataFrame(rows, "uid long, prediction string, references array<string>")
+    for out in (text.rouge(data), text.bleu(data, (0.5, 0.5))):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    found = {(r.uid, r.rouge_type): r.value for r in text.rouge(data).collect()}
+    assert found == {(1, "rouge1"): pytest.approx(0.8), (1, "rouge2"): pytest.approx(0.75)} | {(k, f"rouge{n}"): 0.0 for k in (2, 3, 4) for n in (1, 2)}
+    assert {r.uid: r.value for r in text.bleu(data, (0.5, 0.5)).collect()} == {1: pytest.approx((4 / 6 * 3 / 5) ** 0.5), 2: 0.0, 3: 0.0, 4: 0.0}
