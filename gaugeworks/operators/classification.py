@@ -16,7 +16,7 @@ from gaugeworks.errors import EmptyCacheError
 from gaugeworks.functions.ratios import f1, share
 from gaugeworks.operators.paging import page
 from gaugeworks.operators.running import running_sums
-from gaugeworks.sources.shared import cut
+from gaugeworks.sources.shared import cut, spread
 
 RESERVED = ("datum_uid", "gt_label", "pd_label", "pd_score", "pd_winner", "match")
 WRAP = 18446744073709551616.0  # negatives are counted unsigned
@@ -126,7 +126,18 @@ def _tests(thresholds: Sequence[float]) -> list[tuple[float, Column, Column]]:
 
 def _cells(pairs: DataFrame, hardmax: bool) -> DataFrame:
     """Pairs with ``live`` and ``best``, the greatest of their ground truth."""
-    return pairs.withColumn("live", _live(hardmax)).withColumn("best", F.max("live").over(W.partitionBy("datum_uid", "gt_label")))
+    return spread(pairs, "datum_uid").withColumn("live", _live(hardmax)).withColumn("best", F.max("live").over(W.partitionBy("datum_uid", "gt_label")))
+
+
+def _once(pairs: DataFrame, hardmax: bool) -> DataFrame:
+    """``datum_uid, gt_label, pd_label, live, best, first``: a row for each datum and pair of labels with its greatest ``live``, the
+    greatest of its ground truth, and whether it is the ground truth's first. One sort of each task's rows serves all windows."""
+    truth = W.partitionBy("datum_uid", "gt_label")
+    cell = W.partitionBy("datum_uid", "gt_label", "pd_label").orderBy(F.desc("live"))
+    rows = spread(pairs, "datum_uid").select("datum_uid", "gt_label", "pd_label", _live(hardmax).alias("live"))
+    rows = rows.sortWithinPartitions("datum_uid", "gt_label", "pd_label", F.desc("live"))
+    rows = rows.withColumn("_turn", F.row_number().over(cell)).where("_turn = 1").drop("_turn")
+    return rows.withColumns({"best": F.max("live").over(truth), "first": F.row_number().over(truth.orderBy("pd_label")) == 1})
 
 
 def _classified(pairs: DataFrame, thresholds: Sequence[float], hardmax: bool) -> DataFrame:
@@ -143,11 +154,7 @@ def confusion_matrix(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), har
     ``matrix_examples`` gives rows.
     """
     tests, cell = _tests(thresholds), ["score_threshold", "gt_label", "pd_label"]
-    rows = _cells(pairs if datums is None else pairs.where(datums), hardmax)
-    # one row for each datum and pair of labels, so that what follows are plain sums
-    once = rows.groupBy("datum_uid", "gt_label", "pd_label").agg(F.max("live").alias("live"), F.max("best").alias("best"))
-    first = F.row_number().over(W.partitionBy("datum_uid", "gt_label").orderBy("pd_label")) == 1
-    once = once.withColumn("first", first)
+    once = _once(pairs if datums is None else pairs.where(datums), hardmax)
     sums = [F.count_if(on).alias(f"on_{i}") for i, (_, on, _) in enumerate(tests)] + [F.count_if(F.col("first") & alone).alias(f"alone_{i}") for i, (_, _, alone) in enumerate(tests)]
     wide = once.groupBy("gt_label", "pd_label").agg(*sums)
     tall = [F.struct(F.lit(t).alias("score_threshold"), label.alias("pd_label"), F.col(f"{name}_{i}").alias("count")) for i, (t, _, _) in enumerate(tests) for name, label in (("on", F.col("pd_label")), ("alone", F.lit(None).cast("string")))]
@@ -163,11 +170,12 @@ def confusion_matrix(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), har
 def matrix_examples(pairs: DataFrame, thresholds: Sequence[float] = (0.0,), hardmax: bool = True, datums: Column | str | None = None, most: int | None = None) -> DataFrame:
     """``score_threshold, gt_label, pd_label, datum_uid, score``: what the confusion matrix counts, a row each. With ``most`` only the
     least datums of each cell, of which each task gives as many at most before the shuffle."""
-    rows = _classified(pairs if datums is None else pairs.where(datums), thresholds, hardmax)
-    label = F.when(F.col("kind") != "unmatched", F.col("pd_label")).alias("pd_label")
-    score = F.when(F.col("kind") != "unmatched", F.col("pd_score")).alias("score")
+    once = _once(pairs if datums is None else pairs.where(datums), hardmax)
+    label, score = F.lit(None).cast(dict(pairs.dtypes)["pd_label"]), F.lit(None).cast("double")
+    row = lambda t, p, s: F.struct(F.lit(t).alias("score_threshold"), p.alias("pd_label"), s.alias("score"))
+    kinds = [F.when(on, row(t, F.col("pd_label"), F.col("live"))).when(F.col("first") & alone, row(t, label, score)) for t, on, alone in _tests(thresholds)]
     cell = ["score_threshold", "gt_label", "pd_label"]
-    rows = rows.select("score_threshold", "gt_label", label, "datum_uid", score).groupBy(*cell, "datum_uid").agg(F.max("score").alias("score"))
+    rows = once.select("gt_label", "datum_uid", F.inline(F.array_compact(F.array(*kinds)))).select(*cell, "datum_uid", "score")
     if most is None:
         return rows
     turn = F.row_number().over(W.partitionBy(*cell).orderBy("datum_uid"))

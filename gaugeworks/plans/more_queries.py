@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -44,14 +45,22 @@ def classification_of_some_datums(spark: SparkSession, sf_dir: str) -> DataFrame
     return rounded(c.precision_recall(data.class_pairs(spark, sf_dir), THRESHOLDS, datums=URGENT))
 
 
+def _with_counts(rows: DataFrame, matrix: DataFrame, *thresholds: str) -> DataFrame:
+    """Examples, each with the ``count`` of its cell; the matrix has a row for each cell."""
+    a, b = rows.alias("a"), F.broadcast(matrix).alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in (*thresholds, "gt_label", "pd_label")))
+    return a.join(b, same).select("a.*", "b.count")
+
+
 @query(f"""WITH {data.CLASS_CTE}, t AS (SELECT * FROM {_values(THRESHOLDS)} v(score_threshold)),
 r AS (SELECT pairs.*, score_threshold, abs(pd_score) > 1e-8 AND pd_winner AND pd_score >= score_threshold AS s FROM pairs, t),
 x AS (SELECT score_threshold, gt_label, pd_label, datum_uid, max(pd_score) AS score FROM r WHERE s GROUP BY ALL
   UNION ALL SELECT score_threshold, gt_label, NULL, datum_uid, NULL FROM r GROUP BY score_threshold, gt_label, datum_uid HAVING NOT bool_or(s))
 SELECT score_threshold, gt_label, pd_label, datum_uid, round(score, 9) AS score, count(*) OVER (PARTITION BY score_threshold, gt_label, pd_label) AS count FROM x""")
 def classification_matrix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = c.confusion_matrix(data.class_pairs(spark, sf_dir), THRESHOLDS, examples=True)
-    return rounded(out.select("score_threshold", "gt_label", "pd_label", "count", F.inline("examples")))
+    """A row for each example; no cell is held as a list."""
+    pairs = data.class_pairs(spark, sf_dir)
+    return rounded(_with_counts(c.matrix_examples(pairs, THRESHOLDS), c.confusion_matrix(pairs, THRESHOLDS), "score_threshold"))
 
 
 @query(f"SELECT * EXCLUDE (place, count) FROM (SELECT *, row_number() OVER (PARTITION BY score_threshold, gt_label, pd_label ORDER BY datum_uid) AS place FROM ({ORACLE_SQL['classification_matrix_examples']})) WHERE place <= 5")
@@ -65,11 +74,8 @@ def classification_examples_deep_page(spark: SparkSession, sf_dir: str) -> DataF
     """All behind the first half of the datums."""
     pairs = data.class_pairs(spark, sf_dir)
     half = data.table(spark, sf_dir, "orders").count() // 2
-    whole = c.matrix_examples(pairs, THRESHOLDS)
-    sizes = whole.groupBy("score_threshold", "gt_label", "pd_label").agg(F.count("*").alias("count"))
-    on = F.col("a.score_threshold").eqNullSafe(F.col("b.score_threshold")) & F.col("a.gt_label").eqNullSafe(F.col("b.gt_label")) & F.col("a.pd_label").eqNullSafe(F.col("b.pd_label"))
-    rows = page(whole, "datum_uid", None, None, half, 0)
-    return rounded(rows.alias("a").join(F.broadcast(sizes).alias("b"), on).select("a.*", "b.count"))  # a row for each cell
+    rows = c.matrix_examples(page(pairs, "datum_uid", None, None, half, 0), THRESHOLDS)
+    return rounded(_with_counts(rows, c.confusion_matrix(pairs, THRESHOLDS), "score_threshold"))
 
 
 @query(f"SELECT * FROM ({ORACLE_SQL['classification_examples']}) WHERE datum_uid IN (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 20 OFFSET 7)")
@@ -96,8 +102,8 @@ def detection_of_some_datums(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ORACLE_SQL['detection_confusion_matrix'].split('WITH ', 1)[1].rsplit(' SELECT iou_threshold', 1)[0]}
 SELECT iou_threshold, score_threshold, gt_label, pd_label, datum_uid, gt_id, pd_id, count(*) OVER (PARTITION BY iou_threshold, score_threshold, gt_label, pd_label) AS count FROM outcomes""")
 def detection_matrix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = d.confusion_matrix(data.box_pairs(spark, sf_dir), IOUS, SCORES, examples=True)
-    return out.select("iou_threshold", "score_threshold", "gt_label", "pd_label", "count", F.inline("examples"))
+    pairs = data.box_pairs(spark, sf_dir)
+    return _with_counts(d.matrix_examples(pairs, IOUS, SCORES), d.confusion_matrix(pairs, IOUS, SCORES), "iou_threshold", "score_threshold")
 
 
 @query(f"SELECT * FROM ({ORACLE_SQL['detection_examples']}) WHERE datum_uid IN (SELECT DISTINCT event_id // 8 FROM events ORDER BY 1 LIMIT 15 OFFSET 5)")
