@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import classification as c
+from gaugeworks.operators import detection as d
+from gaugeworks.operators import spatial
 from gaugeworks.plans import more_queries  # noqa: F401
 from gaugeworks.plans.queries import QUERIES
 from gaugeworks.sources.shared import spread
@@ -33,3 +35,14 @@ def test_one_sort_serves_a_matrix(spark):
 def test_no_cell_is_held_as_a_list(spark):
     for name in ("classification_matrix_examples", "detection_matrix_examples"):
         assert "AS examples" not in plan_of(QUERIES[name](spark, SF), "optimizedPlan")
+
+
+def test_small_boxes_of_a_large_cell_are_not_compared(spark):
+    """4,000 small boxes of each side lie in one cell of a large one: each meets the large box, not each other small one there."""
+    at = lambda p, of: spark.range(4_001).selectExpr("0L AS datum_uid", f"id AS {of}_id", f"'x' AS {of}_label", *(["0.5D AS pd_score"] if p == "p" else []), *(f"if(id = 4000, 0D, {x} * 8D + 1) AS {p}_{a}min" for a, x in (("x", "(id % 64)"), ("y", "(id div 64)"))), *(f"if(id = 4000, 500D, {x} * 8D + 3) AS {p}_{a}max" for a, x in (("x", "(id % 64)"), ("y", "(id div 64)"))))
+    g, p = at("g", "gt"), at("p", "pd")
+    a, b = (x.groupBy(*spatial.CELL).agg(F.count("*").alias(n)) for x, n in zip(spatial._cells(g, p), "ab", strict=True))
+    assert a.join(b, list(spatial.CELL)).agg(F.sum(F.col("a") * F.col("b"))).first()[0] < 40_000
+    assert d.box_pairs(g, p, 0).where("gt_id = pd_id").count() == 4_001
+    lone_g, lone_p = spatial.alone(g.where("gt_id < 10"), p.where("pd_id > 7 and pd_id < 4000"))
+    assert sorted(r.gt_id for r in lone_g.collect()) == [*range(8)] and lone_p.count() == 3_990
