@@ -55,14 +55,21 @@ def word_rows(data: DataFrame) -> DataFrame:
 
 
 def _first_wins(masks: Column) -> Column:
-    """Struct of ``taken`` bits and ``own``: label and bits of each of the sorted masks that are left to it."""
-    kind = "array<struct<label:string,bits:bigint>>"
+    """Struct of ``taken`` bits and ``own``: for each label the bits of the sorted masks that are left to it. So what follows goes
+    by labels, however many masks touch a word."""
+    labels = F.array_distinct(F.transform(masks, lambda m: m["label"]))
+    zero = F.lit(0).cast("long")
 
-    def step(acc: Column, m: Column) -> Column:
-        free = m["bits"].bitwiseAND(F.bitwise_not(acc["taken"]))
-        return F.struct(acc["taken"].bitwiseOR(m["bits"]).alias("taken"), F.array_append(acc["own"], F.struct(m["label"].alias("label"), free.alias("bits"))).alias("own"))
+    def left(label: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            free = m["bits"].bitwiseAND(F.bitwise_not(acc["taken"]))
+            mine = F.when(m["label"].eqNullSafe(label), free).otherwise(zero)
+            return F.struct(acc["taken"].bitwiseOR(m["bits"]).alias("taken"), acc["bits"].bitwiseOR(mine).alias("bits"))
 
-    return F.aggregate(masks, F.struct(F.lit(0).cast("long").alias("taken"), F.array().cast(kind).alias("own")), step)
+        return F.aggregate(masks, F.struct(zero.alias("taken"), zero.alias("bits")), step, lambda acc: acc["bits"])
+
+    taken = F.aggregate(masks, zero, lambda acc, m: acc.bitwiseOR(m["bits"]))
+    return F.struct(taken.alias("taken"), F.transform(labels, lambda x: F.struct(x.alias("label"), left(x).alias("bits"))).alias("own"))
 
 
 def counts_of_words(rows: DataFrame, shapes: DataFrame) -> DataFrame:

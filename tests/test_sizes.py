@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import classification as c
 from gaugeworks.operators import detection as d
-from gaugeworks.operators import spatial
+from gaugeworks.operators import masks, spatial
 from gaugeworks.plans import more_queries  # noqa: F401
 from gaugeworks.plans.queries import QUERIES
 from gaugeworks.sources.shared import spread
@@ -46,3 +46,20 @@ def test_small_boxes_of_a_large_cell_are_not_compared(spark):
     assert d.box_pairs(g, p, 0).where("gt_id = pd_id").count() == 4_001
     lone_g, lone_p = spatial.alone(g.where("gt_id < 10"), p.where("pd_id > 7 and pd_id < 4000"))
     assert sorted(r.gt_id for r in lone_g.collect()) == [*range(8)] and lone_p.count() == 3_990
+
+
+def test_masks_of_a_word_are_counted_by_label(spark):
+    """300 masks a side share one word: the first keeps a pixel, labels (a null one too) are what is paired."""
+    made = spark.range(300).selectExpr("0L AS uid", "named_struct('label', array('a', 'b', null)[cast(id % 3 AS int)], 'words', array(shiftleft(1L, cast(id % 64 AS int)))) AS m")
+    masks_of = made.groupBy("uid").agg(F.lit(8).alias("height"), F.lit(8).alias("width"), F.sort_array(F.collect_list("m")).alias("groundtruths")).withColumn("predictions", F.col("groundtruths"))
+    rows = masks.mask_counts(masks_of)
+    got = {(r.gt_label, r.pd_label): r["count"] for r in rows.collect()}
+    left, want = set(), {}
+    for m in masks_of.first().groundtruths:
+        bits = m["words"][0] & (1 << 64) - 1
+        if bits not in left:
+            left.add(bits)
+            want[m["label"], m["label"]] = want.get((m["label"], m["label"]), 0) + 1
+    assert got == want and sum(got.values()) == 64
+    word = spark.range(300).select(F.struct(F.lit("a").alias("label"), F.lit(1).cast("long").alias("bits")).alias("m")).agg(F.collect_list("m").alias("m"))
+    assert word.select(F.size(masks._first_wins(F.col("m"))["own"])).first()[0] == 1
