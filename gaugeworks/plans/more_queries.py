@@ -214,10 +214,11 @@ def streaming_detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs written to the shared folder, a datum a second, and read as a stream; a last pair of no label closes all datums."""
     shared = f"{checkpoint_folder(spark)}/pairs-{uuid.uuid4().hex}"
     pairs = data.box_pairs(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("datum_uid") + 86_400))  # a watermark begins at 1970
-    end = pairs.agg((F.max("at") + F.expr("interval 1 day")).alias("at"))
+    pairs.write.parquet(f"{shared}/in/part=0")
+    end = spark.read.parquet(f"{shared}/in/part=0").agg((F.max("at") + F.expr("interval 1 day")).alias("at"))  # of the copy: pairs aren't made again
     last = end.select(*(F.lit(None).cast(t).alias(c) if c not in ("datum_uid", "at") else F.lit(-1).cast(t).alias(c) if c == "datum_uid" else F.col(c) for c, t in pairs.dtypes))
-    for k, part in enumerate((pairs, last, last)):
-        part.write.parquet(f"{shared}/in/part={k}")
+    for k in (1, 2):
+        last.write.parquet(f"{shared}/in/part={k}")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     datums.configure(spark)
     try:
