@@ -1,6 +1,7 @@
 """Judge calls once for a whole table: equal prompts, retries, runs that break off, all twelve scores."""
 
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -78,6 +79,32 @@ def test_retries_ask_anew(spark, rows, tmp_path):
     assert got and all(r.error and r.value is None for r in got) and set(noted(tmp_path / "more").values()) == {2}
 
 
+def test_texts_move_once(spark, tmp_path):
+    """What is shuffled and written follows the prompts, which are ten times the texts; rows don't move again for each score."""
+    rng = random.Random(5)
+    text_of = lambda: ". ".join(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)) for _ in range(20))
+    data = [(str(i), q, text_of(), [q], q.split(". ")) for i, q in enumerate(text_of() for _ in range(200))]
+    size = sum(len(q) + len(r) for _, q, r, *_ in data)
+    frame = spark.createDataFrame(data, SCHEMA).repartition(4)
+    driver = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver")
+    before = driver().totalShuffleWrite()
+    got = judged.judge(frame, RuleClient, store=f"{tmp_path}/replies", per_task=500)
+    assert got.count() == 2000 and got.where("value is null").isEmpty()
+    assert driver().totalShuffleWrite() - before < 20 * size
+
+
+def test_two_replies_to_a_prompt(spark, rows, tmp_path):
+    """What a killed task left besides the reply of its other try: the same one counts for all rows, once, and nothing is asked."""
+    (tmp_path / "notes").mkdir()
+    first = judged.judge(rows, counting(tmp_path / "notes"), store=f"{tmp_path}/replies").collect()
+    asked = noted(tmp_path / "notes")
+    more = [(r.asked, r.attempt, "I say 1.") for r in spark.read.parquet(f"{tmp_path}/replies").collect() if r.reply.startswith("I say")]
+    spark.createDataFrame(more, "asked string, attempt int, reply string").write.mode("append").parquet(f"{tmp_path}/replies")
+    again = judged.judge(rows, counting(tmp_path / "notes"), store=f"{tmp_path}/replies").collect()
+    want = sorted((repr(r.uid), r.type, 1.0 if r.type == "summary_coherence" else r.value) for r in first)
+    assert sorted((repr(r.uid), r.type, r.value) for r in again) == want and noted(tmp_path / "notes") == asked
+
+
 def test_all_twelve_scores(spark, rows):
     done = judged.TextEvaluator(RuleClient).compute_all(rows.where("uid = '5'"), use_stemmer=True)
     kinds = Counter(m.type for m in done["5"])
