@@ -54,7 +54,8 @@ class _Held(StatefulProcessor):
                 late[datum] = late.get(datum, 0) + 1
             else:
                 new.setdefault(datum, []).append(pair)
-                last[datum] = max(last.get(datum, 0), int(at.timestamp() * 1000))
+                ms = int(at.timestamp() * 1000)
+                last[datum] = max(last.get(datum, ms), ms)
         for datum, n in late.items():
             yield Row(pairs=f"[{datum}]", late=n)
         if new:
