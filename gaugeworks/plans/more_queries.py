@@ -173,9 +173,9 @@ f AS (SELECT datum_uid, pixel, arg_min(label, id) FILTER (side = 0) AS gt_label,
 c AS (SELECT datum_uid, gt_label, pd_label, count(*) AS count FROM f GROUP BY ALL)
 FROM c UNION ALL SELECT datum_uid, NULL, NULL, 6000 - sum(count)::BIGINT FROM c GROUP BY 1""")
 def segmentation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thousands of overlapping rectangles a datum, given as runs of pixels."""
+    """Thousands of overlapping rectangles a datum, given as runs of pixels. Ids are decimals: order keys from 11.5 million on exceed a bigint."""
     items = data.table(spark, sf_dir, "lineitem").selectExpr(
-        "l_suppkey AS uid", "((l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey) * 100 + cast(l_quantity AS bigint) AS id", "l_returnflag AS label", "l_orderkey % 2 AS side",
+        "l_suppkey AS uid", "(l_orderkey * 8 + l_linenumber) * 100000000000BD + (l_partkey * 10000 + l_suppkey) * 100 + cast(l_quantity AS bigint) AS id", "l_returnflag AS label", "l_orderkey % 2 AS side",
         "transform(sequence(0L, l_orderkey % 9), j -> named_struct('start', (l_orderkey % 50 + j) * 100 + l_partkey % 90, 'length', 1 + l_partkey % 11)) AS runs",
     )
     mine = [F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("id", "label", "runs")))), lambda x: F.struct(x["label"].alias("label"), x["runs"].alias("runs"))).alias(n) for k, n in enumerate(masks.SIDES)]
